@@ -31,4 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     from reachlab.plans import (  # noqa: F401  (imports register the queries)
         prep_queries,
+        profile_queries,
     )
