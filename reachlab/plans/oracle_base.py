@@ -101,13 +101,14 @@ prepared AS (
     CAST(coalesce(Kidhome + Teenhome > 0, false) AS INTEGER) AS HasChildren
   FROM prep_b)"""
 
-SCORES_CTES = RAW_CTES + """,
+SCORES_CTE = """
 scores AS (
   SELECT 'hash_a' AS model, ID AS id, Response AS label,
          CAST(((ID * 7919) % 1000 + 300 * Response) / 1300.0 AS DOUBLE) AS p FROM campaign_raw
   UNION ALL
   SELECT 'hash_b' AS model, ID AS id, Response AS label,
          CAST(((ID * 104729) % 100 + 10 * Response) / 110.0 AS DOUBLE) AS p FROM campaign_raw)"""
+SCORES_CTES = RAW_CTES + "," + SCORES_CTE
 
 
 def with_raw(body: str) -> str:

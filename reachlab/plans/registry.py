@@ -32,4 +32,5 @@ def load_all() -> None:
     from reachlab.plans import (  # noqa: F401  (imports register the queries)
         prep_queries,
         profile_queries,
+        eval_queries,
     )
