@@ -67,3 +67,24 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str,
     out = joined.select("*", *[(F.col("__o_" + c) + F.sum(c).over(w)).alias(prefix + c)
                                for c in sum_cols])
     return out.drop("__range", *["__o_" + c for c in sum_cols])
+
+
+def rank_within(df: DataFrame, group_cols: Sequence[str], order_col: str, tie_col: str,
+                descending: bool = False, out: str = "row_rank",
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """1-based row number within each group, ordered by ``order_col`` then
+    ``tie_col`` ascending -- the same as ``row_number() OVER (PARTITION BY
+    group ORDER BY order_col, tie_col)`` but without putting a group in one
+    task: rank = (#rows ordered strictly before this value) + (position among
+    rows sharing the value), both from ``running_totals``.
+    """
+    group_cols = list(group_cols)
+    ties = df.groupBy(*group_cols, order_col).agg(F.count(F.lit(1)).alias("__c"))
+    before = running_totals(ties, group_cols, order_col, ["__c"], descending=descending,
+                            rows_per_task=rows_per_task).select(
+        *group_cols, order_col, (F.col("cum___c") - F.col("__c")).alias("__before"))
+    within = running_totals(df.withColumn("__one", F.lit(1).cast("long")),
+                            [*group_cols, order_col], tie_col, ["__one"], descending=False,
+                            rows_per_task=rows_per_task)
+    return within.join(before, [*group_cols, order_col]).select(
+        *df.columns, (F.col("__before") + F.col("cum___one")).alias(out))

@@ -77,8 +77,12 @@ def get_target(key: str) -> str:
 
 
 def feature_list_names(df: DataFrame, target: str = "Response") -> list[str]:
-    """A3: numeric columns except the target (and the row key)."""
-    return numeric_columns(df, exclude={target, ROW_KEY})
+    """A3: numeric columns except the target (and the row key).
+
+    Spark resolves names case-insensitively, so the exclusion does too.
+    """
+    skip = {target.lower(), ROW_KEY.lower()}
+    return [c for c in numeric_columns(df) if c.lower() not in skip]
 
 
 def feature_list(df: DataFrame, target: str = "Response") -> DataFrame:

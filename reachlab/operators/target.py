@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachlab.functions.columns import hash_unit, r6, safe_div
-from reachlab.functions.ordered import running_totals
+from reachlab.functions.ordered import rank_within
 
 # --- fixed values of the reference's targeting widget ---------------------------
 SWEEP_POINTS = 91            # thresholds (5 + i) / 100 for i in 0..90
@@ -137,20 +137,8 @@ def tier_plan(scores: DataFrame, customers: DataFrame | None = None,
 
 
 def rank_rows(scores: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
-    """Row number by p descending, then id ascending, within each model.
-
-    Computed as (#rows with a higher score) + (position among equal scores),
-    both from range-partitioned running totals, so neither a model nor a
-    large group of tied scores ever sits in one task.
-    """
-    group = list(group)
-    ties = scores.groupBy(*group, "p").agg(F.count(F.lit(1)).alias("c"))
-    above = running_totals(ties, group, "p", ["c"], descending=True).select(
-        *group, "p", (F.col("cum_c") - F.col("c")).alias("above"))
-    within = running_totals(scores.withColumn("one", F.lit(1).cast("long")),
-                            [*group, "p"], "id", ["one"], descending=False)
-    return within.join(above, [*group, "p"]).select(
-        *scores.columns, (F.col("above") + F.col("cum_one")).alias("row_rank"))
+    """Row number by p descending, then id ascending, within each model."""
+    return rank_within(scores, group, "p", "id", descending=True)
 
 
 def decile_lift(scores: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:

@@ -121,3 +121,10 @@ def with_prep(body: str, extra: str = "") -> str:
 
 def with_scores(body: str, extra: str = "") -> str:
     return f"WITH {SCORES_CTES}{extra}\n{body}"
+
+# model features of the prepared table (numeric, not the key, not the target)
+PREP_FEATURES = (["Education", "Marital_Status", "Income", "Kidhome", "Teenhome", "Recency"]
+                 + [c for c, _ in _SPEND] + [c for c, _ in _CHANNEL]
+                 + [f"AcceptedCmp{i}" for i in (3, 4, 5, 1, 2)]
+                 + ["Age", "Tenure_Days", "TotalSpend", "TotalPurchases", "TotalAccepted",
+                    "HasChildren"])

@@ -33,4 +33,5 @@ def load_all() -> None:
         prep_queries,
         profile_queries,
         eval_queries,
+        split_queries,
     )
