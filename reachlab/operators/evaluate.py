@@ -49,15 +49,18 @@ def _totals(counts: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 # E1 / E2 -------------------------------------------------------------------------
-def roc_auc(scores: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
-    """Area under ROC, ties counted half; NULL when a class is missing."""
+def roc_auc(scores: DataFrame, group: Sequence[str] = ("model",), rounded: bool = True) -> DataFrame:
+    """Area under ROC, ties counted half; NULL when a class is missing.
+
+    ``rounded=False`` keeps full precision for callers that aggregate further.
+    """
     rc = ranked_counts(scores, group)
     above = F.col("cum_pos") - F.col("pos")
     agg = rc.groupBy(*group).agg(
         F.sum(F.col("neg") * (above + 0.5 * F.col("pos"))).alias("area"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return agg.select(*group, r6(safe_div(F.col("area"), F.col("n_pos") * F.col("n_neg")))
-                      .alias("roc_auc"))
+    auc = safe_div(F.col("area"), F.col("n_pos") * F.col("n_neg"))
+    return agg.select(*group, (r6(auc) if rounded else auc).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:

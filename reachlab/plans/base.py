@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reachlab.operators.prep import prep_full
 from reachlab.sources.campaign import campaign_raw
-from reachlab.sources.fixtures import scores_table
+from reachlab.sources.fixtures import attributions_table, scores_table
 
 _MEMO: dict[tuple, DataFrame] = {}
 
@@ -43,6 +43,37 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "scores", lambda: scores_table(raw(spark, sf_dir)))
 
 
+def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "attributions", lambda: attributions_table(raw(spark, sf_dir)))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared table keyed by ``id`` with the target as ``label``."""
+    return prepared(spark, sf_dir).withColumnRenamed("ID", "id").withColumnRenamed("Response", "label")
+
+
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reachlab.operators.split import stratified_split
+    return _memo(spark, sf_dir, "split", lambda: stratified_split(labelled(spark, sf_dir)))
+
+
+_FITTED: dict[tuple, object] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str, profile: str = "compare"):
+    """A fitted pipeline per (application, data, model, profile)."""
+    from pyspark.sql import functions as F
+
+    from reachlab.operators.catalog import feature_list_names
+    from reachlab.operators.models import fit_model
+    k = _key(spark, sf_dir, f"model:{name}:{profile}")
+    if k not in _FITTED:
+        sp = split(spark, sf_dir)
+        feats = feature_list_names(sp, "label")
+        _FITTED[k] = fit_model(name, sp.where(F.col("split") == "train"), feats, profile=profile)
+    return _FITTED[k]
+
+
 def clear() -> None:
     for df in _MEMO.values():
         try:
@@ -50,3 +81,4 @@ def clear() -> None:
         except Exception:  # session already stopped
             pass
     _MEMO.clear()
+    _FITTED.clear()

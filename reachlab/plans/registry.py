@@ -34,4 +34,6 @@ def load_all() -> None:
         profile_queries,
         eval_queries,
         split_queries,
+        model_queries,
+        explain_queries,
     )

@@ -13,13 +13,11 @@ from reachlab.plans.registry import register
 
 
 def labelled(spark, sf_dir):
-    """Prepared table keyed by ``id`` with the target as ``label``."""
-    df = base.prepared(spark, sf_dir)
-    return df.withColumnRenamed("ID", "id").withColumnRenamed("Response", "label")
+    return base.labelled(spark, sf_dir)
 
 
 def split_table(spark, sf_dir):
-    return S.stratified_split(labelled(spark, sf_dir))
+    return base.split(spark, sf_dir)
 
 
 _H60 = "CAST(('0x' || substr(md5('42|' || CAST(id AS VARCHAR)), 1, 15)) AS BIGINT)"

@@ -16,6 +16,14 @@ SCORE_MODELS = [
     ("hash_a", 7919, 1000, 300, 1300.0),
     ("hash_b", 104729, 100, 10, 110.0),
 ]
+# Linear attribution fixtures (FIXTURES.md section 4): per model, weights over
+# raw columns, intercept and the space the contributions live in.
+ATTRIBUTION_MODELS = {
+    "linear_a": ({"Recency": -0.02, "Income": 0.00001, "MntWines": 0.001,
+                  "NumWebPurchases": 0.05, "AcceptedCmp5": 1.0}, -1.7, "log_odds"),
+    "linear_b": ({"Teenhome": 0.02, "Kidhome": -0.03, "NumStorePurchases": 0.004,
+                  "AcceptedCmp1": 0.1, "Recency": -0.001}, 0.15, "probability"),
+}
 # -------------------------------------------------------------------------------
 
 
@@ -29,3 +37,17 @@ def scores_table(raw: DataFrame) -> DataFrame:
         for name, mult, mod, shift, div in SCORE_MODELS])
     return (base.select("id", "label", F.explode(per_model).alias("m"))
                 .select("m.model", "id", "label", "m.p"))
+
+
+def attributions_table(raw: DataFrame) -> DataFrame:
+    """``attributions(model, id, feature, value, contribution, base_value, space)``
+    from fixed linear scores over the customer table (exact linear SHAP)."""
+    from reachlab.operators.explain import linear_attributions
+
+    rows = raw.withColumnRenamed("ID", "id")
+    parts = [linear_attributions(rows, name, w, intercept=b, space=space)
+             for name, (w, b, space) in ATTRIBUTION_MODELS.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
