@@ -149,11 +149,11 @@ def confusion_matrix(scores: DataFrame, group: Sequence[str] = ("model",),
     s = predicted(scores, threshold)
     counts = s.groupBy(*group, F.col("label").alias("actual"), F.col("pred").alias("predicted")) \
         .agg(F.count(F.lit(1)).alias("count"))
-    spark = scores.sparkSession
-    cells = spark.createDataFrame([(a, b) for a in (0, 1) for b in (0, 1)],
-                                  "actual int, predicted int")
+    cells = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted"))
+                      for a in (0, 1) for b in (0, 1)])
     keys = scores.select(*group).distinct()
-    grid = keys.crossJoin(F.broadcast(cells))               # 4 cells per model
+    grid = keys.select(*group, F.explode(cells).alias("c")).select(
+        *group, "c.actual", "c.predicted")                  # 4 cells per model
     j = grid.join(counts, [*group, "actual", "predicted"], "left")
     n = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     w = Window.partitionBy(*group)                          # 4 rows per model

@@ -190,23 +190,22 @@ def permutation_importance(rows: DataFrame, score_fn, features: Sequence[str],
     repeat) sends the value of the row at index i (ids in order) to the row at
     index i in md5(seed|feature|repeat|id) order.
     """
-    spark = rows.sparkSession
     feats = list(features)
     base_scores = score_fn(rows).select(F.lit(model).alias("model"), "id", "label", "p")
     base_auc = roc_auc(base_scores, rounded=False).select(F.col("roc_auc").alias("base_auc"))
     ordered = rank_within(rows.withColumn("__g", F.lit(0)), ["__g"], "id", "id",
                           out="__i").drop("__g")
-    combos = spark.createDataFrame([(f, r) for f in feats for r in range(repeats)],
-                                   "feature string, rep int")
-    grid = ordered.crossJoin(F.broadcast(combos))           # p x repeats copies
+    combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
+                       for f in feats for r in range(repeats)])
+    grid = ordered.select("*", F.explode(combos).alias("c")).select(
+        *ordered.columns, "c.feature", "c.rep")             # p x repeats copies
     shuffled_key = F.conv(F.substring(hash_order(seed, F.col("feature"), F.col("rep"), F.col("id")),
                                       1, 15), 16, 10).cast("long")
     perm = rank_within(grid.withColumn("__k", shuffled_key), ["feature", "rep"], "__k", "id",
                        out="__j")
     # donor: the row at index j gives its value to the row at index i == j
     value_of = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in feats])
-    donors = ordered.crossJoin(F.broadcast(combos)).select(
-        "feature", "rep", F.col("__i").alias("__j"), value_of.alias("__v"))
+    donors = grid.select("feature", "rep", F.col("__i").alias("__j"), value_of.alias("__v"))
     swapped = perm.join(donors, ["feature", "rep", "__j"])
     permuted = swapped.select(
         "feature", "rep", "id", "label",

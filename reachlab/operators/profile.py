@@ -277,9 +277,8 @@ def density_summary(df: DataFrame, features: Sequence[str], grid: int = 50,
         "feature", "n", "lo", "hi",
         (F.lit(1.059) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
     bw = bw.where(F.col("bw") > 0)
-    points = spark.range(grid).withColumnRenamed("id", "g")
-    gridded = bw.crossJoin(F.broadcast(points)).select(      # #features x grid rows
-        "feature", "g", "n", "bw", "lo", "hi",
+    gridded = bw.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g")).select(
+        "feature", "g", "n", "bw", "lo", "hi",                 # #features x grid rows
         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / (grid - 1)).alias("x"))
     width = (F.col("hi") - F.col("lo")) / bins
     centres = counts.select("feature", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("c"),

@@ -59,10 +59,9 @@ def threshold_sweep(scores: DataFrame, group: Sequence[str] = ("model",),
     y = F.col("label") == 1
     per_k = scores.groupBy(*group, k.alias("k")).agg(
         F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg"))
-    spark = scores.sparkSession
-    grid = spark.range(SWEEP_POINTS).select(F.col("id").cast("int").alias("i"))
     models = per_k.select(*group).distinct()
-    cells = models.crossJoin(F.broadcast(grid))              # 91 rows per model
+    cells = models.select(*group, F.explode(F.sequence(F.lit(0), F.lit(SWEEP_POINTS - 1)))
+                          .alias("i"))                       # 91 rows per model
     # row with bucket k is contacted at threshold i iff t_i <= p iff i < k
     j = cells.join(per_k, group).where(F.col("k") > F.col("i"))
     agg = j.groupBy(*group, "i").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))

@@ -36,4 +36,5 @@ def load_all() -> None:
         split_queries,
         model_queries,
         explain_queries,
+        tune_queries,
     )
