@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reachlab.functions.columns import r6
 
@@ -29,7 +30,7 @@ METRIC_PREFIXES = ["final/", "test/"]
 # ---------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, then drop every non-ASCII character."""
     return s.map(lambda v: None if v is None else
