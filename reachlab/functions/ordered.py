@@ -25,16 +25,18 @@ ROWS_PER_TASK = 1_000_000
 
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str,
                    sum_cols: Sequence[str], descending: bool = True,
-                   rows_per_task: int = ROWS_PER_TASK, prefix: str = "cum_") -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK, prefix: str = "cum_",
+                   n_rows: int | None = None) -> DataFrame:
     """Add ``{prefix}{c}``: inclusive running sum of ``c`` in ``order_col`` order.
 
     ``df`` must hold at most one row per (group_cols, order_col) value, so rows
     with tied scores were already combined and the running sum steps once per
-    distinct score.
+    distinct score. ``n_rows`` (the row count of ``df``, if the caller already
+    knows it) saves the counting job.
     """
     group_cols = list(group_cols)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    n = df.count()
+    n = df.count() if n_rows is None else n_rows
     if n <= rows_per_task:
         w = (Window.partitionBy(*group_cols).orderBy(order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -49,26 +49,53 @@ def _totals(counts: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 # E1 / E2 -------------------------------------------------------------------------
+def ranking_metrics(scores: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
+    """ROC AUC (ties half) and average precision per group, from one ranking pass.
+
+    The per-(group, score) counts are persisted, counted and ranked; the
+    result -- one row per group -- is collected, the counts released, and the
+    rows returned as a DataFrame. Upstream work therefore runs once however
+    deep the scores' lineage is.
+    """
+    from pyspark import StorageLevel
+
+    group = list(group)
+    counts = score_counts(scores, group).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = counts.count()
+        rc = running_totals(counts, group, "p", ["pos", "neg"], descending=True, n_rows=n)
+        above = F.col("cum_pos") - F.col("pos")
+        prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+        agg = rc.groupBy(*group).agg(
+            F.sum(F.col("neg") * (above + 0.5 * F.col("pos"))).alias("area"),
+            F.sum(F.col("pos") * prec).alias("ap_sum"),
+            F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+        out = agg.select(*group, safe_div(F.col("area"), F.col("n_pos") * F.col("n_neg")).alias("roc_auc"),
+                         safe_div(F.col("ap_sum"), F.col("n_pos")).alias("average_precision"),
+                         F.col("n_pos").cast("long").alias("n_pos"),
+                         F.col("n_neg").cast("long").alias("n_neg"))
+        rows = out.collect()                                # one row per group
+        schema = out.schema
+    finally:
+        counts.unpersist()
+    return scores.sparkSession.createDataFrame(rows, schema)
+
+
 def roc_auc(scores: DataFrame, group: Sequence[str] = ("model",), rounded: bool = True) -> DataFrame:
     """Area under ROC, ties counted half; NULL when a class is missing.
 
     ``rounded=False`` keeps full precision for callers that aggregate further.
     """
-    rc = ranked_counts(scores, group)
-    above = F.col("cum_pos") - F.col("pos")
-    agg = rc.groupBy(*group).agg(
-        F.sum(F.col("neg") * (above + 0.5 * F.col("pos"))).alias("area"),
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    auc = safe_div(F.col("area"), F.col("n_pos") * F.col("n_neg"))
-    return agg.select(*group, (r6(auc) if rounded else auc).alias("roc_auc"))
+    m = ranking_metrics(scores, group)
+    return m.select(*group, (r6("roc_auc") if rounded else F.col("roc_auc")).alias("roc_auc"))
 
 
-def average_precision(scores: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
+def average_precision(scores: DataFrame, group: Sequence[str] = ("model",),
+                      rounded: bool = True) -> DataFrame:
     """Sum over thresholds of (recall step) x precision, no interpolation."""
-    rc = ranked_counts(scores, group)
-    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    agg = rc.groupBy(*group).agg(F.sum(F.col("pos") * prec).alias("s"), F.sum("pos").alias("n_pos"))
-    return agg.select(*group, r6(safe_div(F.col("s"), F.col("n_pos"))).alias("average_precision"))
+    m = ranking_metrics(scores, group)
+    ap = F.col("average_precision")
+    return m.select(*group, (r6(ap) if rounded else ap).alias("average_precision"))
 
 
 # E3 ------------------------------------------------------------------------------
@@ -181,8 +208,9 @@ def leaderboard(scores: DataFrame, sort_by: str = "roc_auc",
                 group: Sequence[str] = ("model",)) -> DataFrame:
     """One row per model with every metric, ranked by ``sort_by`` (ties by name)."""
     group = list(group)
-    lb = (class_metrics(scores, group).join(roc_auc(scores, group), group)
-          .join(average_precision(scores, group), group))
+    rm = ranking_metrics(scores, group).select(*group, r6("roc_auc").alias("roc_auc"),
+                                               r6("average_precision").alias("average_precision"))
+    lb = class_metrics(scores, group).join(rm, group)
     w = Window.orderBy(F.col(sort_by).desc_nulls_last(), *[F.col(g) for g in group])
     # one row per model: this global window is over a handful of rows
     return lb.withColumn("rank", F.row_number().over(w))

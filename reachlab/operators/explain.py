@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from reachlab.functions.columns import hash_order, r6, safe_div
 from reachlab.functions.ordered import rank_within, running_totals
-from reachlab.operators.evaluate import roc_auc
+from reachlab.operators.evaluate import ranking_metrics
 
 # --- fixed values of the reference's explainability page ---------------------------
 TOP_DRIVERS = 3
@@ -188,33 +188,39 @@ def permutation_importance(rows: DataFrame, score_fn, features: Sequence[str],
     ``rows`` has id, label and the features; ``score_fn(df)`` maps a frame with
     those columns to a double column ``p``. The permutation of (feature,
     repeat) sends the value of the row at index i (ids in order) to the row at
-    index i in md5(seed|feature|repeat|id) order.
+    index i in md5(seed|feature|repeat|id) order. The id-ordered rows are
+    persisted for the duration (they feed every (feature, repeat) copy); the
+    result has one row per feature.
     """
+    from pyspark import StorageLevel
+
     feats = list(features)
-    base_scores = score_fn(rows).select(F.lit(model).alias("model"), "id", "label", "p")
-    base_auc = roc_auc(base_scores, rounded=False).select(F.col("roc_auc").alias("base_auc"))
+    base = ranking_metrics(score_fn(rows).select(F.lit(model).alias("model"), "id", "label", "p"))
+    base_auc = base.first()["roc_auc"]                      # one scalar
     ordered = rank_within(rows.withColumn("__g", F.lit(0)), ["__g"], "id", "id",
-                          out="__i").drop("__g")
-    combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                       for f in feats for r in range(repeats)])
-    grid = ordered.select("*", F.explode(combos).alias("c")).select(
-        *ordered.columns, "c.feature", "c.rep")             # p x repeats copies
-    shuffled_key = F.conv(F.substring(hash_order(seed, F.col("feature"), F.col("rep"), F.col("id")),
-                                      1, 15), 16, 10).cast("long")
-    perm = rank_within(grid.withColumn("__k", shuffled_key), ["feature", "rep"], "__k", "id",
-                       out="__j")
-    # donor: the row at index j gives its value to the row at index i == j
-    value_of = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in feats])
-    donors = grid.select("feature", "rep", F.col("__i").alias("__j"), value_of.alias("__v"))
-    swapped = perm.join(donors, ["feature", "rep", "__j"])
-    permuted = swapped.select(
-        "feature", "rep", "id", "label",
-        *[F.when(F.col("feature") == f, F.col("__v")).otherwise(F.col(f)).alias(f) for f in feats])
-    scored = score_fn(permuted).select(
-        F.lit(model).alias("model"), "feature", "rep", "id", "label", "p")
-    per_rep = roc_auc(scored, group=("model", "feature", "rep"), rounded=False)
-    drops = per_rep.crossJoin(F.broadcast(base_auc)).withColumn(
-        "drop", F.col("base_auc") - F.col("roc_auc"))
+                          out="__i").drop("__g").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
+                           for f in feats for r in range(repeats)])
+        grid = ordered.select("*", F.explode(combos).alias("c")).select(
+            *ordered.columns, "c.feature", "c.rep")         # p x repeats copies
+        shuffled_key = F.conv(F.substring(hash_order(seed, F.col("feature"), F.col("rep"), F.col("id")),
+                                          1, 15), 16, 10).cast("long")
+        perm = rank_within(grid.withColumn("__k", shuffled_key), ["feature", "rep"], "__k", "id",
+                           out="__j")
+        # donor: the row at index j gives its value to the row at index i == j
+        value_of = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in feats])
+        donors = grid.select("feature", "rep", F.col("__i").alias("__j"), value_of.alias("__v"))
+        swapped = perm.join(donors, ["feature", "rep", "__j"])
+        permuted = swapped.select(
+            "feature", "rep", "id", "label",
+            *[F.when(F.col("feature") == f, F.col("__v")).otherwise(F.col(f)).alias(f) for f in feats])
+        scored = score_fn(permuted).select(
+            F.lit(model).alias("model"), "feature", "rep", "id", "label", "p")
+        per_rep = ranking_metrics(scored, group=("model", "feature", "rep"))   # eager
+    finally:
+        ordered.unpersist()
+    drops = per_rep.withColumn("drop", F.lit(base_auc) - F.col("roc_auc"))
     return drops.groupBy("model", "feature").agg(
         r6(F.avg("drop")).alias("importance_mean"), r6(F.stddev_pop("drop")).alias("importance_std"))
 

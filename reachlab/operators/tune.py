@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachlab.functions.columns import r6
-from reachlab.operators.evaluate import average_precision, roc_auc
+from reachlab.operators.evaluate import average_precision, ranking_metrics, roc_auc
 
 
 @dataclass(frozen=True)
@@ -305,15 +305,13 @@ def rule_search(customers: DataFrame, n_trials: int = RULE_TRIALS, seed: int = S
     spark = customers.sparkSession
     trials = rule_trials(n_trials, seed)
     scored = rule_scores(customers, trials, target)
-    ap = average_precision(scored, group=("trial",))
-    out = ap.join(F.broadcast(rule_params(spark, trials)), "trial")   # n_trials rows
+    m = ranking_metrics(scored, group=("trial",))           # one ranking pass, eager
+    out = m.join(F.broadcast(rule_params(spark, trials)), "trial")   # n_trials rows
     if with_metrics:
-        auc = roc_auc(scored, group=("trial",))
-        n = scored.groupBy("trial").agg(F.count(F.lit(1)).alias("n"))
-        return out.join(auc, "trial").join(n, "trial").select(
-            F.col("trial").cast("long"), F.col("average_precision").alias("ap"),
-            F.col("roc_auc").alias("auc"), "n", "params")
-    return out.select(F.col("trial").cast("long"), F.col("average_precision").alias("score"), "params")
+        return out.select(F.col("trial").cast("long"), r6("average_precision").alias("ap"),
+                          r6("roc_auc").alias("auc"), (F.col("n_pos") + F.col("n_neg")).alias("n"),
+                          "params")
+    return out.select(F.col("trial").cast("long"), r6("average_precision").alias("score"), "params")
 
 
 # --- H4 - H6 -----------------------------------------------------------------------------

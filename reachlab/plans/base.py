@@ -31,6 +31,11 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return df
 
 
+def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Persist ``build()`` once per (application, data directory, name)."""
+    return _memo(spark, sf_dir, name, build)
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "raw", lambda: campaign_raw(spark, sf_dir))
 

@@ -68,7 +68,13 @@ trials AS (SELECT m.trial, m.ap AS score, m.ap, m.auc, m.n,
 
 
 def _rule(spark, sf_dir, with_metrics=False):
-    return T.rule_search(base.raw(spark, sf_dir), with_metrics=with_metrics)
+    """The rule search's trials, computed once per data directory (one row
+    per trial, persisted) and shared by every trial and run view."""
+    full = base.memo(spark, sf_dir, "rule_trials",
+                     lambda: T.rule_search(base.raw(spark, sf_dir), with_metrics=True))
+    if with_metrics:
+        return full
+    return full.select("trial", F.col("ap").alias("score"), "params")
 
 
 def _flat(trials):
