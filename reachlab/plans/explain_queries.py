@@ -63,6 +63,22 @@ def linear_attributions(spark, sf_dir):
                                                 ("value", "contribution", "base_value")], "space")
 
 
+@register("attribution_store", with_raw(ATTR + """
+SELECT id, feature, round(value, 6) AS value, round(contribution, 6) AS contribution, space
+FROM attributions WHERE model = 'linear_a'"""))
+def attribution_store(spark, sf_dir):
+    """A5 + A6: store the attributions per (dataset, model), read one model
+    back through partition pruning (computing and storing it on a miss)."""
+    import os
+
+    from reachlab.sources.store import default_store, load_attributions, store_attributions
+    path = os.path.join(default_store(spark), os.path.basename(sf_dir.rstrip("/")))
+    store_attributions(_attr(spark, sf_dir), path, "marketing")
+    got = load_attributions(spark, path, "marketing", "linear_a", compute=lambda: _attr(spark, sf_dir))
+    return got.select("id", "feature", F.round("value", 6).alias("value"),
+                      F.round("contribution", 6).alias("contribution"), "space")
+
+
 @register("mean_abs_shap", with_raw(_SHAP + "\nSELECT * FROM shap_rank"))
 def mean_abs_shap(spark, sf_dir):
     return X.mean_abs_shap(_attr(spark, sf_dir))

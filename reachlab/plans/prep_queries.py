@@ -92,3 +92,79 @@ SELECT round(spend_resp, 6) AS spend_resp, round(spend_non, 6) AS spend_non,
 FROM m"""))
 def responder_contrast(spark, sf_dir):
     return conclude.responder_contrast(base.prepared(spark, sf_dir))
+
+
+# A2 - A8 ---------------------------------------------------------------------------------
+from reachlab.functions.columns import hash_order  # noqa: E402
+from reachlab.operators import catalog  # noqa: E402
+from reachlab.plans.oracle_base import PREP_FEATURES  # noqa: E402
+
+_PREP_TYPES = {"Education": "int", "Marital_Status": "int", "Income": "double", "Kidhome": "int",
+               "Teenhome": "int", "Recency": "int", "TotalSpend": "decimal(18,2)", "TotalPurchases": "bigint",
+               "TotalAccepted": "int", "HasChildren": "int", "Age": "int", "Tenure_Days": "int"}
+
+
+def _dtype(c):
+    if c.startswith("Mnt"):
+        return "decimal(18,2)"
+    if c.startswith("Num"):
+        return "bigint"
+    if c.startswith("AcceptedCmp"):
+        return "int"
+    return _PREP_TYPES[c]
+
+
+_FEATURE_LIST = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS position, '{_dtype(c)}' AS dtype, count({c}) AS non_null FROM prepared"
+    for i, c in enumerate(PREP_FEATURES))
+
+
+@register("feature_list", with_prep(f"\n, fl AS ({_FEATURE_LIST})\nSELECT * FROM fl"))
+def feature_list(spark, sf_dir):
+    return catalog.feature_list(base.prepared(spark, sf_dir))
+
+
+_SUBSET = ["Income", "Recency", "TotalSpend", "TotalAccepted"]
+
+
+@register("feature_subset", with_prep(
+    f"SELECT ID, round(Income, 6) AS Income, Recency, TotalSpend, TotalAccepted, Response FROM prepared"))
+def feature_subset(spark, sf_dir):
+    df = catalog.feature_subset(base.prepared(spark, sf_dir), _SUBSET)
+    return df.withColumn("Income", r6("Income"))
+
+
+def _desc_rows():
+    names = sorted(set(catalog.FEATURE_DESCRIPTIONS) | set(catalog.ENGINEERED_DESCRIPTIONS))
+    q = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"('{n}', {q(catalog.FEATURE_DESCRIPTIONS.get(n))}, "
+                     f"{q(catalog.ENGINEERED_DESCRIPTIONS.get(n))})" for n in names)
+
+
+@register("feature_descriptions", with_prep(f"""
+, fl AS ({_FEATURE_LIST}),
+cat AS (SELECT * FROM (VALUES {_desc_rows()}) AS t(feature, primary_desc, engineered_desc))
+SELECT fl.feature, fl.position, fl.dtype, fl.non_null,
+       coalesce(primary_desc, engineered_desc, '') AS description
+FROM fl LEFT JOIN cat USING (feature)"""))
+def feature_descriptions(spark, sf_dir):
+    return catalog.describe_features(catalog.feature_list(base.prepared(spark, sf_dir)))
+
+
+@register("preview_head", with_raw("SELECT * FROM campaign_raw ORDER BY ID LIMIT 10"))
+def preview_head(spark, sf_dir):
+    """First 10 rows by ID (a top-k: the limit is the feature)."""
+    return base.raw(spark, sf_dir).orderBy("ID").limit(10)
+
+
+@register("preview_tail", with_raw("SELECT * FROM campaign_raw ORDER BY ID DESC LIMIT 10"))
+def preview_tail(spark, sf_dir):
+    """Last 10 rows by ID."""
+    return base.raw(spark, sf_dir).orderBy(F.col("ID").desc()).limit(10)
+
+
+@register("preview_sample", with_raw(
+    "SELECT * FROM campaign_raw ORDER BY md5('42|' || CAST(ID AS VARCHAR)), ID LIMIT 10"))
+def preview_sample(spark, sf_dir):
+    """A reproducible 10-row sample: first 10 by md5(seed|ID)."""
+    return base.raw(spark, sf_dir).orderBy(hash_order(42, "ID"), "ID").limit(10)
