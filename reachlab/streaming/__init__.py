@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference application has no streaming operator (no watermark, window,
+state or late data; a static snapshot is its stated limitation), so nothing
+is built here. Batch operators are plain DataFrame functions and would run
+unchanged inside ``foreachBatch`` if a stream of customer snapshots appeared.
+"""
