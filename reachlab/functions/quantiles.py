@@ -10,14 +10,20 @@ narrowing a bracket:
 1. one aggregate: count, min, max and ``percentile_approx`` at ``p +- margin``.
    The sketch's rank error is at most ``n / accuracy``, so the value at the
    exact rank lies inside the bracket;
-2. one aggregate: how many values fall below / inside each bracket. While a
-   bracket still holds more than ``final_rows`` values, a further approximate
-   pass inside it shrinks it by about ``accuracy / 6``;
+2. one aggregate: how many values fall below / inside each bracket, and how
+   many strictly between its ends (that count + 2 bounds the distinct values
+   inside). While that bound exceeds ``final_rows``, a further approximate
+   pass inside the bracket shrinks it by about ``accuracy / 6`` (heavy ties at
+   the ends need no narrowing: they collapse in the final grouping);
 3. one grouped count of the few distinct values left inside the brackets; the
    driver reads those bounded rows and picks the two ranks to interpolate.
 
 All passes are ordinary partial aggregations. What reaches the driver is
 bounded by ``final_rows`` per requested quantile, whatever the table size.
+
+Small inputs take a shortcut after pass 1: when all requested columns
+together hold at most ``SMALL_TOTAL`` values, Spark's exact ``percentile``
+finishes in one more pass -- its value map is then bounded by that count.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10000
 _MARGIN_STEPS = 3.0
+SMALL_TOTAL = 4_000_000
 
 
 def _bracket_probs(p: float, margin: float) -> tuple[float, float]:
@@ -38,7 +45,8 @@ def _bracket_probs(p: float, margin: float) -> tuple[float, float]:
 
 def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
                     probs: Sequence[float], accuracy: int = _ACCURACY,
-                    final_rows: int = 2048, max_rounds: int = 8) -> dict[str, list[float | None]]:
+                    final_rows: int = 2048, max_rounds: int = 8,
+                    small_total: int | None = None) -> dict[str, list[float | None]]:
     """Return ``{name: [q(p) for p in probs]}``; None where a column has no values.
 
     ``exprs`` maps a name to a numeric Column (or is a list of column names);
@@ -61,8 +69,18 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
                  .alias(f"ap{i}")]
     row = df.agg(*aggs).first()
 
-    state = {}   # (name, j) -> dict(lo, hi, klo, khi, frac, n, mn, mx)
     result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
+    total = sum(row[f"n{i}"] or 0 for i in range(len(names)))
+    if total <= (SMALL_TOTAL if small_total is None else small_total):
+        live = [(i, n) for i, n in enumerate(names) if row[f"n{i}"]]
+        if live:
+            got = df.agg(*[F.percentile(xs[n], F.array(*[F.lit(p) for p in probs])).alias(f"e{i}")
+                           for i, n in live]).first()
+            for i, n in live:
+                result[n] = [float(v) for v in got[f"e{i}"]]
+        return result
+
+    state = {}   # (name, j) -> dict(lo, hi, klo, khi, frac, n, mn, mx)
     for i, n in enumerate(names):
         cnt = row[f"n{i}"]
         if not cnt:
@@ -88,21 +106,22 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
         aggs = []
         for k_i, key in enumerate(keys):
             s, x = active[key], xs[key[0]]
+            inside = (x >= F.lit(s["lo"])) & (x <= F.lit(s["hi"]))
             aggs += [F.count(F.when(x < F.lit(s["lo"]), 1)).alias(f"b{k_i}"),
-                     F.count(F.when((x >= F.lit(s["lo"])) & (x <= F.lit(s["hi"])), 1))
-                     .alias(f"m{k_i}")]
+                     F.count(F.when(inside, 1)).alias(f"m{k_i}"),
+                     F.count(F.when((x > F.lit(s["lo"])) & (x < F.lit(s["hi"])), 1)).alias(f"d{k_i}")]
         counts = df.agg(*aggs).first()
         narrow = {}
         for k_i, key in enumerate(keys):
             s = active[key]
-            cb, m = counts[f"b{k_i}"], counts[f"m{k_i}"]
+            cb, m, d = counts[f"b{k_i}"], counts[f"m{k_i}"], counts[f"d{k_i}"]
             if not (cb <= s["klo"] and cb + m > s["khi"]):
                 # the sketch guarantee failed (should not happen): restart
                 # this key from the full range, which always brackets
                 s.update(lo=s["mn"], hi=s["mx"])
                 continue
             s.update(cb=cb, m=m)
-            if s["lo"] == s["hi"] or m <= final_rows:
+            if s["lo"] == s["hi"] or m <= final_rows or d + 2 <= final_rows or s.get("stalled"):
                 del active[key]
             else:
                 narrow[key] = s
@@ -123,8 +142,10 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
         for k_i, (key, lo_p, hi_p) in enumerate(plan):
             s = narrow[key]
             new_lo, new_hi = got[f"q{k_i}"]
-            s.update(lo=s["lo"] if lo_p == 0.0 else new_lo,
-                     hi=s["hi"] if hi_p == 1.0 else new_hi)
+            new_lo = s["lo"] if lo_p == 0.0 else new_lo
+            new_hi = s["hi"] if hi_p == 1.0 else new_hi
+            s["stalled"] = (new_lo, new_hi) == (s["lo"], s["hi"])
+            s.update(lo=new_lo, hi=new_hi)
 
     # final pass: distinct values inside the remaining brackets, bounded rows
     pending = {key: s for key, s in state.items() if s["lo"] != s["hi"]}

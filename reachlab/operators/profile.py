@@ -297,11 +297,12 @@ def density_summary(df: DataFrame, features: Sequence[str], grid: int = 50,
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Variance inflation factor per feature, sorted descending.
 
-    Median-fills the features (B11), computes the p x p covariance matrix in
-    one aggregate pass, then solves each feature's least squares on the others
-    from that matrix (pseudo-inverse, so exact collinearity is fine).
-    R^2 >= 0.9999 gives inf; a single feature gives NaN.
+    Median-fills the features (B11), gets the p x p covariance matrix from one
+    pass of per-partition moments, then solves each feature's least squares on
+    the others from that matrix (pseudo-inverse, so exact collinearity is
+    fine). R^2 >= 0.9999 gives inf; a single feature gives NaN.
     """
+    from reachlab.functions.moments import covariance_matrix, pairwise_moments
     from reachlab.operators.prep import median_fill
 
     spark = df.sparkSession
@@ -309,14 +310,9 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     if len(feats) < 2:
         return spark.createDataFrame([(f, float("nan")) for f in feats], "feature string, vif double")
     filled = median_fill(df.select(*[F.col(f).cast("double").alias(f) for f in feats]), feats)
+    means = filled.agg(*[F.avg(f).alias(f) for f in feats]).first()
+    cov = covariance_matrix(pairwise_moments(filled, feats, [means[f] or 0.0 for f in feats]))
     p = len(feats)
-    aggs = [F.covar_pop(feats[i], feats[j]).alias(f"c_{i}_{j}")
-            for i in range(p) for j in range(i, p)]
-    row = filled.agg(*aggs).first()
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = row[f"c_{i}_{j}"] or 0.0
     out = []
     for j, f in enumerate(feats):
         others = [i for i in range(p) if i != j]
@@ -324,7 +320,7 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
         s_oj = cov[others, j]
         beta = np.linalg.pinv(s_oo) @ s_oj
         var = cov[j, j]
-        if var <= 0:
+        if var <= 1e-12 * max(1.0, abs(means[f] or 0.0)) ** 2:
             r2 = 1.0
         else:
             r2 = 1.0 - max(var - s_oj @ beta, 0.0) / var
@@ -335,32 +331,29 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 # C15 / C16 --------------------------------------------------------------------------
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r for every ordered pair, pairwise-complete rows.
+    """Pearson r for every ordered pair over pairwise-complete rows.
 
-    Constant columns get NULL (Spark's corr would divide by zero under ANSI):
-    a first pass finds them, the second computes all pair correlations at once.
+    Constant columns get NULL (pandas and DuckDB give NaN; Spark's ``corr``
+    would divide by zero under ANSI). All pairs come from one pass of
+    per-partition moments (``functions.moments``); the p x p result is
+    returned as p^2 rows.
     """
+    from reachlab.functions.moments import pairwise_moments, pearson_matrix
+
     cols = list(cols)
-    sd = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    live = [c for c in cols if sd[c] is not None and sd[c] > 0]
-    aggs = []
-    for i, a in enumerate(live):
-        for b in live[i:]:
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-                        .alias(f"{a}|{b}"))
     spark = df.sparkSession
-    pairs = [(a, b) for a in cols for b in cols]
-    if aggs:
-        wide = df.agg(*aggs)
-        long = wide.unpivot([], [f"`{c}`" for c in wide.columns], "pair", "r")
-        long = long.select(F.split("pair", r"\|").alias("ab"), "r")
-        sym = long.select(F.col("ab")[0].alias("feature_a"), F.col("ab")[1].alias("feature_b"), "r")
-        sym = sym.unionByName(sym.where(F.col("feature_a") != F.col("feature_b")).select(
-            F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "r"))
-    else:
-        sym = spark.createDataFrame([], "feature_a string, feature_b string, r double")
-    grid = spark.createDataFrame(pairs, "feature_a string, feature_b string")
-    out = grid.join(F.broadcast(sym), ["feature_a", "feature_b"], "left")   # p^2 rows
+    st = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    shift = [st[f"m{i}"] or 0.0 for i in range(len(cols))]
+    live = [bool(st[f"s{i}"]) and st[f"s{i}"] > 0 for i in range(len(cols))]
+    r = pearson_matrix(pairwise_moments(df, cols, shift))
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            v = r[i, j]
+            ok = live[i] and live[j] and not np.isnan(v)
+            rows.append((a, b, float(v) if ok else None))
+    out = spark.createDataFrame(rows, "feature_a string, feature_b string, r double")
     return out.select("feature_a", "feature_b", r6("r").alias("r"))
 
 

@@ -30,8 +30,10 @@ PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 def test_exact_quantiles_match_numpy(values):
     df, pdf = values
-    got = exact_quantiles(df, ["x", "ties", "const"], PROBS)
+    got = exact_quantiles(df, ["x", "ties", "const"], PROBS, small_total=0)   # bracket path
+    small = exact_quantiles(df, ["x", "ties", "const"], PROBS)                # percentile path
     for col in ("x", "ties", "const"):
+        assert np.allclose(got[col], small[col], atol=1e-9), col
         expect = np.quantile(pdf[col].dropna().to_numpy(), PROBS)   # linear, as pandas
         assert np.allclose(got[col], expect, rtol=0, atol=1e-9), col
 
@@ -39,7 +41,7 @@ def test_exact_quantiles_match_numpy(values):
 def test_exact_quantiles_narrowing_rounds(values):
     """Force brackets wider than final_rows so the narrowing passes run."""
     df, pdf = values
-    got = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], accuracy=50, final_rows=20)
+    got = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], accuracy=50, final_rows=20, small_total=0)
     expect = np.quantile(pdf["x"].dropna().to_numpy(), [0.1, 0.5, 0.9])
     assert np.allclose(got["x"], expect, atol=1e-9)
 
