@@ -66,11 +66,11 @@ class MedianImputer(Estimator, HasInputCols):
             self._set(inputCols=list(inputCols))
 
     def _fit(self, dataset: DataFrame) -> "MedianImputerModel":
+        # every column gets a fill value: a NULL may first appear when scoring
         cols = self.getInputCols()
-        nulls = dataset.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-        need = [c for c in cols if nulls[c]]
-        meds = exact_quantiles(dataset, need, [0.5]) if need else {}
-        return MedianImputerModel(need, [float(meds[c][0] or 0.0) for c in need])
+        meds = exact_quantiles(dataset, cols, [0.5])
+        return MedianImputerModel(cols, [float(meds[c][0] if meds[c][0] is not None else 0.0)
+                                         for c in cols])
 
 
 class MedianImputerModel(Model, HasInputCols):
@@ -164,10 +164,30 @@ def _as_training(df: DataFrame, features: Sequence[str], label: str) -> DataFram
 
 
 def fit_model(name: str, train: DataFrame, features: Sequence[str], scale: bool = True,
-              profile: str = "compare", label: str = "label") -> PipelineModel:
+              profile: str = "compare", label: str = "label", smote: bool = False) -> PipelineModel:
+    """Fit the named model's pipeline on ``train``.
+
+    With ``smote``, imputation and scaling are fitted first, the minority
+    class of the transformed training rows is oversampled (D6), and the rest
+    of the pipeline is fitted on the balanced rows; the returned model chains
+    all stages, so scoring never resamples.
+    """
     data = _as_training(train, features, label)
-    n = data.count()
-    return build_pipeline(name, features, n, scale, profile).fit(data)
+    if not smote:
+        n = data.count()
+        return build_pipeline(name, features, n, scale, profile).fit(data)
+    from reachlab.operators.resample import smote as oversample
+
+    pre = [MedianImputer(inputCols=list(features)).fit(data)]
+    cur = pre[0].transform(data)
+    if scale:
+        pre.append(PopulationStandardScaler(inputCols=list(features)).fit(cur))
+        cur = pre[-1].transform(cur)
+    balanced = oversample(cur, features, "label").drop("synthetic", "base_id", "nbr_id")
+    n = balanced.count()
+    tail = build_pipeline(name, features, n, scale=False, profile=profile).getStages()[1:]
+    rest = Pipeline(stages=tail).fit(balanced)
+    return PipelineModel(stages=[*pre, *rest.stages])
 
 
 def score(model: PipelineModel, rows: DataFrame, features: Sequence[str], name: str,
