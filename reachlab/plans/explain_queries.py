@@ -338,3 +338,17 @@ def model_mean_abs_shap(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return X.mean_abs_shap(out)
+
+
+@register("kernel_shap")
+def kernel_shap(spark, sf_dir):
+    """Sampled Shapley values of the MLP (explain profile) for the capped
+    explain sample's test rows, against a 100-row background of its train rows."""
+    from reachlab.operators.kernelshap import kernel_attributions
+    from reachlab.operators.split import explain_sample
+    feats = _feats(spark, sf_dir)
+    sp = base.split(spark, sf_dir)
+    sample = explain_sample(sp.select("id", "label"))
+    rows = sp.select("id", *feats).join(sample.where(F.col("split") == "test").select("id"), "id")
+    bg = sp.select("id", *feats).join(sample.where(F.col("split") == "train").select("id"), "id")
+    return kernel_attributions(base.fitted(spark, sf_dir, "mlp", profile="explain"), rows, bg, feats, "mlp")
