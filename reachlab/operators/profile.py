@@ -35,6 +35,7 @@ IQR_K = 1.5
 Z_THRESHOLD = 3.0
 SEVERITY_LOW_PCT = 1.0
 SEVERITY_MEDIUM_PCT = 5.0
+SCREEN_DISTINCT = 50          # HLL screen: above this a feature is surely continuous
 MINUS = "−"
 # -------------------------------------------------------------------------------
 
@@ -126,26 +127,40 @@ def profile_report(df: DataFrame) -> DataFrame:
 # C7 / C8 / C9 / C10 ---------------------------------------------------------------
 def variable_kind(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """pie: exactly 2 distinct non-null values; bar: <= 5 distinct, all integral,
-    or non-numeric; continuous otherwise."""
+    or non-numeric; continuous otherwise.
+
+    One HyperLogLog pass screens out features that clearly have many distinct
+    values (the sketch is near-exact at small cardinalities; the cut-off keeps
+    a wide margin above 5); only the remaining features are grouped by exact
+    (feature, value), so the shuffle carries a handful of values per feature
+    instead of every distinct value of every continuous column.
+    """
     numeric = set(numeric_columns(df))
     num = [f for f in features if f in numeric]
-    stats = _long(df, num).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.lit(1).alias("one")).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.min((F.col("value") == F.floor("value")).cast("int")).alias("integral"))
-    kind = (F.when(F.col("n_distinct") == 2, "pie")
-            .when((F.col("n_distinct") <= MAX_UNIQUE_INT) & (F.col("integral") == 1), "bar")
-            .otherwise("continuous"))
     spark = df.sparkSession
-    names = spark.createDataFrame([(f,) for f in num], "feature string")
-    out = names.join(stats, "feature", "left").select(
-        "feature", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),
-        F.when(F.col("n_distinct").isNull(), "continuous").otherwise(kind).alias("kind"))
-    others = [f for f in features if f not in numeric]
-    if others:
-        out = out.unionByName(spark.createDataFrame(
-            [(f, None, "bar") for f in others], "feature string, n_distinct long, kind string"))
-    return out
+    approx = df.agg(*[F.approx_count_distinct(F.col(f), 0.05).alias(f) for f in num]).first() if num else {}
+    small = [f for f in num if approx[f] <= SCREEN_DISTINCT]
+    rows = [(f, int(approx[f]), "continuous") for f in num if f not in small]
+    if small:
+        stats = _long(df, small).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+            F.lit(1).alias("one")).groupBy("feature").agg(
+            F.count(F.lit(1)).alias("n_distinct"),
+            F.min((F.col("value") == F.floor("value")).cast("int")).alias("integral"))
+        got = {r["feature"]: r for r in stats.collect()}         # <= SCREEN_DISTINCT per feature
+        for f in small:
+            r = got.get(f)
+            if r is None:
+                rows.append((f, 0, "continuous"))
+            elif r["n_distinct"] == 2:
+                rows.append((f, r["n_distinct"], "pie"))
+            elif r["n_distinct"] <= MAX_UNIQUE_INT and r["integral"] == 1:
+                rows.append((f, r["n_distinct"], "bar"))
+            else:
+                rows.append((f, r["n_distinct"], "continuous"))
+    rows += [(f, None, "bar") for f in features if f not in numeric]
+    order = {f: i for i, f in enumerate(features)}
+    rows.sort(key=lambda r: order[r[0]])
+    return spark.createDataFrame([(f, k) for f, _, k in rows], "feature string, kind string")
 
 
 def _value_text(df: DataFrame, features: Sequence[str]) -> dict[str, bool]:

@@ -115,7 +115,7 @@ def profile_report(spark, sf_dir):
 
 
 # C7 - C10 -------------------------------------------------------------------------
-@register("variable_kind", with_raw(KINDS + "\nSELECT feature, n_distinct, kind FROM kinds"))
+@register("variable_kind", with_raw(KINDS + "\nSELECT feature, kind FROM kinds"))
 def variable_kind(spark, sf_dir):
     return P.variable_kind(base.raw(spark, sf_dir), FEATURES_RAW)
 
