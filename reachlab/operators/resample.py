@@ -15,7 +15,13 @@ without forming all pairs:
    computed. The final k are the smallest distances, ties broken by id.
 
 The answer is exact: cells only prune pairs that provably cannot be among the
-k nearest. Synthetic rows: class balance needs n_major - n_minor rows; each
+k nearest. Identical vectors are a hot-group risk (one cell would hold them
+all): rows are first ranked by id within each group of identical vectors
+(range-partitioned ranks), only the first k + 1 of a group take part in the
+search, and every later member's neighbours are the group's first k members
+at distance 0 -- what the search would return, since ties break by id.
+
+Synthetic rows: class balance needs n_major - n_minor rows; each
 minority row gets an equal share (the remainder goes to the first rows in
 md5 order); sample s of row i interpolates towards the neighbour picked by
 hash(seed, i, s) with a gap hash_unit(seed, i, s, 'gap'), so the output is
@@ -54,6 +60,23 @@ def _pivots(points: DataFrame, n: int, seed: int) -> np.ndarray:
 def exact_knn(points: DataFrame, k: int = K_NEIGHBORS, seed: int = SEED) -> DataFrame:
     """(id, nbr, dist, rank) for the k nearest other rows of ``points(id, x
     array<double>)``; Euclidean distance, ties by neighbour id."""
+    from reachlab.functions.ordered import rank_within
+
+    dup = rank_within(points.select("id", "x"), ["x"], "id", "id", out="__d")
+    dup = dup.persist(StorageLevel.MEMORY_AND_DISK)
+    head = dup.where(F.col("__d") <= k + 1).select("id", "x")
+    near = _search(head, k, seed)
+    firsts = dup.where(F.col("__d") <= k).select("x", F.col("id").alias("nbr"), F.col("__d").alias("rank"))
+    tail = dup.where(F.col("__d") > k + 1).select("id", "x").join(firsts, "x").select(
+        "id", "nbr", F.lit(0.0).alias("dist"), F.col("rank").cast("int").alias("rank"))
+    out = near.unionByName(tail).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    dup.unpersist()
+    return out
+
+
+def _search(points: DataFrame, k: int, seed: int) -> DataFrame:
+    """Pivot-cell search over rows whose identical-vector groups are at most k + 1."""
     spark = points.sparkSession
     pts = points.select("id", "x").persist(StorageLevel.MEMORY_AND_DISK)
     n = pts.count()
@@ -121,7 +144,7 @@ def exact_knn(points: DataFrame, k: int = K_NEIGHBORS, seed: int = SEED) -> Data
     remote = pairs.select("id", "nbr", dist.alias("dist"))
     cand = local.unionByName(remote)
     w = Window.partitionBy("id").orderBy("dist", "nbr")
-    out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     out = out.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     cells.unpersist()

@@ -13,7 +13,7 @@ from reachlab.operators import resample as RS
 def points(spark):
     rng = np.random.default_rng(11)
     x = np.vstack([rng.normal(0, 1, (150, 3)), rng.normal(4, 0.5, (100, 3)),
-                   np.repeat([[9.0, 9.0, 9.0]], 8, axis=0)])          # exact duplicates too
+                   np.repeat([[9.0, 9.0, 9.0]], 40, axis=0)])         # a hot duplicate group
     rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
     return spark.createDataFrame(rows, "id long, x array<double>"), x
 
@@ -26,8 +26,10 @@ def test_knn_matches_brute_force(points, monkeypatch):
     np.fill_diagonal(d, np.inf)
     for i in range(len(x)):
         expect = np.sort(d[i])[:5]
-        mine = np.sort(got[got["id"] == i]["dist"].to_numpy())
-        assert np.allclose(mine, expect, atol=1e-9), i
+        mine = got[got["id"] == i].sort_values("rank")
+        assert np.allclose(np.sort(mine["dist"].to_numpy()), expect, atol=1e-9), i
+        if i >= 250:                                          # duplicates: smallest other ids
+            assert mine["nbr"].tolist() == [j for j in range(250, 290) if j != i][:5]
 
 
 def test_smote_balances_and_interpolates(spark):
