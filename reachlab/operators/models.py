@@ -217,7 +217,7 @@ def score_models(split_df: DataFrame, features: Sequence[str], names: Sequence[s
 
 def cross_validate(folds_df: DataFrame, features: Sequence[str], names: Sequence[str] = MODEL_NAMES,
                    k: int = 5, scale: bool = True, profile: str = "compare", label: str = "label",
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int | None = None) -> DataFrame:
     """Per model, ROC AUC on each held-out fold (fit on the other folds,
     imputation and scaling refit inside), then mean and population std.
 
@@ -232,7 +232,10 @@ def cross_validate(folds_df: DataFrame, features: Sequence[str], names: Sequence
         m = fit_model(n, fit_rows, features, scale, profile, label)
         return score(m, held, features, n, label).withColumn("fold", F.lit(f))
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    # independent fits run as concurrent Spark jobs (a few at a time: each is
+    # many small jobs, and more concurrent drivers-side schedulers only contend)
+    slots = parallelism or min(4, folds_df.sparkSession.sparkContext.defaultParallelism)
+    with ThreadPoolExecutor(max_workers=max(1, slots)) as pool:
         scored = list(pool.map(run, tasks))
     allscores = scored[0]
     for s in scored[1:]:

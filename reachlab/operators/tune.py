@@ -178,7 +178,7 @@ def _pipeline(model: str, params: dict, features: Sequence[str], n_train: int):
 def tune_model(folds_df: DataFrame, test_df: DataFrame, features: Sequence[str], model: str,
                n_trials: int = DEFAULT_TRIALS, k: int = DEFAULT_FOLDS,
                scoring: str = "average_precision", seed: int = SEED,
-               parallelism: int = 4) -> tuple[DataFrame, dict, DataFrame]:
+               parallelism: int | None = None) -> tuple[DataFrame, dict, DataFrame]:
     """H2 + H3. Returns (trials, best params, test scores of the refit best).
 
     ``folds_df`` is the training split with a ``fold`` column (cv_folds).
@@ -203,7 +203,10 @@ def tune_model(folds_df: DataFrame, test_df: DataFrame, features: Sequence[str],
                         vector_to_array("probability")[1].alias("p"))
 
     tasks = [(t, f) for t in range(n_trials) for f in range(k)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    # independent fits run as concurrent Spark jobs (a few at a time: each is
+    # many small jobs, and more concurrent drivers-side schedulers only contend)
+    slots = parallelism or min(4, folds_df.sparkSession.sparkContext.defaultParallelism)
+    with ThreadPoolExecutor(max_workers=max(1, slots)) as pool:
         parts = list(pool.map(run, tasks))
     allscores = parts[0]
     for p in parts[1:]:
