@@ -100,7 +100,7 @@ def runs_from_search(trials: DataFrame, base_time: str = "2026-01-01 00:00:00")
         F.concat(F.lit("rule-"), F.lpad(t.cast("string"), 4, "0")).alias("id"),
         F.concat(F.lit("marketing-Réponse · trial "), t.cast("string"), F.lit(" 🎯")).alias("name"),
         F.lit("rule").alias("model"), F.lit(SEARCH_JOB).alias("job_type"),
-        (F.to_timestamp(F.lit(base_time)) + F.make_dt_interval(mins=(t * 37).cast("int"))).alias("created_at"),
+        (F.to_timestamp_ntz(F.lit(base_time)) + F.make_dt_interval(mins=(t * 37).cast("int"))).alias("created_at"),
         state.alias("state"), summary.alias("summary"), config.alias("config"))
 
 
@@ -114,7 +114,7 @@ def runs_from_board(board: DataFrame, base_time: str = "2025-12-31 12:00:00") ->
         F.concat(F.lit("base-"), F.col("model")).alias("id"),
         F.concat(F.lit("marketing-"), F.col("model")).alias("name"),
         F.col("model"), F.lit(BASELINE_JOB).alias("job_type"),
-        (F.to_timestamp(F.lit(base_time)) + F.make_dt_interval(hours=r.cast("int"))).alias("created_at"),
+        (F.to_timestamp_ntz(F.lit(base_time)) + F.make_dt_interval(hours=r.cast("int"))).alias("created_at"),
         F.lit("finished").alias("state"), summary.alias("summary"),
         F.create_map(F.lit("model"), F.col("model")).alias("config"))
 
