@@ -197,8 +197,10 @@ def permutation_importance(rows: DataFrame, score_fn, features: Sequence[str],
     feats = list(features)
     base = ranking_metrics(score_fn(rows).select(F.lit(model).alias("model"), "id", "label", "p"))
     base_auc = base.first()["roc_auc"]                      # one scalar
-    ordered = rank_within(rows.withColumn("__g", F.lit(0)), ["__g"], "id", "id",
-                          out="__i").drop("__g").persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = rank_within(rows.withColumn("__g", F.lit(0)), ["__g"], "id", "id", out="__i").drop("__g")
+    # the index may come out of few partitions; spread it before the p x repeats expansion
+    ordered = ordered.repartition(rows.sparkSession.sparkContext.defaultParallelism, "id") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
                            for f in feats for r in range(repeats)])
