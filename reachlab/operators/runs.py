@@ -124,6 +124,11 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").partitionBy("job_type").parquet(path)
 
 
+def append_run_metrics(metrics: DataFrame, path: str) -> None:
+    """I1 sink for per-step metrics: append to a parquet table partitioned by run."""
+    metrics.write.mode("append").partitionBy("run_id").parquet(path)
+
+
 def run_metrics(trials: DataFrame, run_id: str = "rule-study") -> DataFrame:
     """I1 per-step metrics of a search study: each trial is a step, logging
     its score and the best score so far."""

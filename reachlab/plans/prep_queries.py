@@ -168,3 +168,17 @@ def preview_tail(spark, sf_dir):
 def preview_sample(spark, sf_dir):
     """A reproducible 10-row sample: first 10 by md5(seed|ID)."""
     return base.raw(spark, sf_dir).orderBy(hash_order(42, "ID"), "ID").limit(10)
+
+
+@register("load_campaign_tsv", with_raw("SELECT * FROM campaign_raw"))
+def load_campaign_tsv(spark, sf_dir):
+    """A1: the customer table written as tab-separated text with a header and
+    read back with the explicit raw schema (no inference pass)."""
+    import os
+    import uuid
+
+    from reachlab.session import ensure_checkpoint_dir
+    from reachlab.sources.campaign import read_campaign_file, write_campaign_file
+    path = os.path.join(ensure_checkpoint_dir(spark), "campaign-tsv", uuid.uuid4().hex)
+    write_campaign_file(base.raw(spark, sf_dir), path, "tsv")
+    return read_campaign_file(spark, path, "tsv")

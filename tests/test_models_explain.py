@@ -150,3 +150,7 @@ def test_run_sink_roundtrip(spark):
     R.append_runs(runs, path)
     back = spark.read.parquet(path)
     assert back.count() == 4 and set(back.columns) >= {"id", "summary", "config", "job_type"}
+    mpath = path + "_metrics"
+    R.append_run_metrics(R.run_metrics(trials), mpath)
+    steps = {(r["step"], r["metric"]): r["value"] for r in spark.read.parquet(mpath).collect()}
+    assert steps[(1, "best_so_far")] == 0.5 and steps[(0, "trial_score")] == 0.4
