@@ -124,7 +124,7 @@ def classifier(name: str, n_features: int, n_train: int, profile: str = "compare
     cfg = PROFILES[profile][name]
     weight = {"weightCol": "weight"} if cfg.get("balanced") else {}
     if name == "logistic":
-        # sklearn: 0.5 |w|^2 + C sum_i w_i loss_i ; MLlib: (1/sum w) sum_i w_i loss_i
+        # reference objective: 0.5 |w|^2 + C sum_i w_i loss_i ; MLlib: (1/sum w) sum_i w_i loss_i
         # + reg/2 |w|^2. Balanced weights sum to n_train, so reg = 1 / (C n_train).
         return LogisticRegression(maxIter=cfg["max_iter"], regParam=1.0 / (cfg["C"] * max(n_train, 1)),
                                   elasticNetParam=0.0, standardization=False, **weight)

@@ -94,7 +94,7 @@ def runs_from_search(trials: DataFrame, base_time: str = "2026-01-01 00:00:00")
         ("note", F.lit("rule search")),
     ])
     config = F.map_concat(F.col("params"), F.create_map(
-        F.lit("_wandb"), F.lit("internal"), F.lit("dataset"), F.lit("marketing"),
+        F.lit("_tracker"), F.lit("internal"), F.lit("dataset"), F.lit("marketing"),
         F.lit("model"), F.lit("rule")))
     return trials.select(
         F.concat(F.lit("rule-"), F.lpad(t.cast("string"), 4, "0")).alias("id"),
