@@ -352,3 +352,33 @@ def kernel_shap(spark, sf_dir):
     rows = sp.select("id", *feats).join(sample.where(F.col("split") == "test").select("id"), "id")
     bg = sp.select("id", *feats).join(sample.where(F.col("split") == "train").select("id"), "id")
     return kernel_attributions(base.fitted(spark, sf_dir, "mlp", profile="explain"), rows, bg, feats, "mlp")
+
+
+@register("model_key_drivers")
+def model_key_drivers(spark, sf_dir):
+    """G7 + G13 on the fitted models: top 3 features per model by mean |SHAP|
+    where attributions exist (logistic: exact linear SHAP; decision tree: Tree
+    SHAP), otherwise by the model's importance (impurity, or permutation for
+    the MLP), with descriptions."""
+    from pyspark.sql import Window
+
+    feats = _feats(spark, sf_dir)
+    test = base.split(spark, sf_dir).where(F.col("split") == "test")
+    shap = X.logistic_attributions(base.fitted(spark, sf_dir, "logistic"), test, feats).unionByName(
+        _tree_shap(spark, sf_dir, "tree"))
+    by_shap = X.mean_abs_shap(shap).select("model", "feature", F.col("mean_abs_shap").alias("score"),
+                                           F.lit("shap").alias("source"))
+    parts = [X.tree_importance(base.fitted(spark, sf_dir, n), feats, n).select(
+        "model", "feature", F.col("importance").alias("score"), F.lit("importance:impurity").alias("source"))
+        for n in ("forest", "gbt")]
+    mlp = base.fitted(spark, sf_dir, "mlp")
+    perm = X.permutation_importance(test.select("id", "label", *feats), X.model_score(mlp, feats), feats,
+                                    repeats=5, model="mlp")
+    parts.append(perm.select("model", "feature", F.col("importance_mean").alias("score"),
+                             F.lit("importance:permutation").alias("source")))
+    ranking = by_shap
+    for part in parts:
+        ranking = ranking.unionByName(part)
+    w = Window.partitionBy("model").orderBy(F.col("score").desc(), "feature")   # #features rows per model
+    top = ranking.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3)
+    return describe_features(top)
