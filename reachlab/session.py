@@ -25,11 +25,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app_name: str = "reachlab") -> SparkSession:
     """Build (or reuse) a session with the defaults above.
 
-    On a cluster ``master`` is left to spark-submit; locally it defaults to
-    ``local[$BENCH_CPUS or *]``.
+    Under spark-submit the session already exists and ``getOrCreate`` returns
+    it (its master wins); a plain local run gets ``local[$BENCH_CPUS or *]``.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and "SPARK_MASTER" not in os.environ and not os.environ.get("SPARK_HOME_CLUSTER"):
+    active = SparkSession.getActiveSession()
+    if master is None and active is None:
         master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
