@@ -30,18 +30,30 @@ def store_attributions(attr: DataFrame, path: str, dataset: str) -> None:
          .partitionBy("dataset", "model").parquet(path))
 
 
-def load_attributions(spark: SparkSession, path: str, dataset: str, model: str,
-                      compute: Callable[[], DataFrame] | None = None) -> DataFrame | None:
-    """Stored rows of (dataset, model); on a miss, compute, store, re-read."""
+def _read(spark: SparkSession, path: str, dataset: str, model: str) -> DataFrame | None:
     try:
         df = spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("model") == model))
-        if df.limit(1).count() > 0:
-            return df.drop("dataset")
+        return df.drop("dataset") if df.limit(1).count() > 0 else None
     except AnalysisException:
-        pass                                   # no store yet, or unreadable: a miss
-    if compute is None:
+        return None                            # no store yet
+    except Exception:  # noqa: BLE001 - a corrupt or foreign file: treat as a miss
         return None
-    fresh = compute()
-    store_attributions(fresh.where(F.col("model") == model), path, dataset)
-    return spark.read.parquet(path).where(
-        (F.col("dataset") == dataset) & (F.col("model") == model)).drop("dataset")
+
+
+def load_attributions(spark: SparkSession, path: str, dataset: str, model: str,
+                      compute: Callable[[], DataFrame] | None = None) -> DataFrame | None:
+    """Stored rows of (dataset, model); on a miss, compute, store and re-read.
+
+    If the store stays unreadable after writing (e.g. a foreign file in it),
+    the computed rows are returned directly.
+    """
+    hit = _read(spark, path, dataset, model)
+    if hit is not None or compute is None:
+        return hit
+    fresh = compute().where(F.col("model") == model)
+    try:
+        store_attributions(fresh, path, dataset)
+    except Exception:  # noqa: BLE001 - an unwritable store is still a miss, not a failure
+        return fresh
+    stored = _read(spark, path, dataset, model)
+    return stored if stored is not None else fresh
