@@ -46,11 +46,14 @@ def _bracket_probs(p: float, margin: float) -> tuple[float, float]:
 def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
                     probs: Sequence[float], accuracy: int = _ACCURACY,
                     final_rows: int = 2048, max_rounds: int = 8,
-                    small_total: int | None = None) -> dict[str, list[float | None]]:
+                    small_total: int | None = None,
+                    extra: Mapping[str, Column] | None = None) -> dict[str, list[float | None]]:
     """Return ``{name: [q(p) for p in probs]}``; None where a column has no values.
 
     ``exprs`` maps a name to a numeric Column (or is a list of column names);
-    NULLs are ignored, as in every engine's quantile.
+    NULLs are ignored, as in every engine's quantile. ``extra`` aggregate
+    columns are computed in the first pass (same scan) and returned under the
+    key ``"__extra"`` as a dict.
     """
     if not isinstance(exprs, Mapping):
         exprs = {c: F.col(c) for c in exprs}
@@ -67,9 +70,12 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
                  F.max(xs[n]).alias(f"mx{i}"),
                  F.percentile_approx(xs[n], F.array(*[F.lit(b) for b in bp]), accuracy)
                  .alias(f"ap{i}")]
-    row = df.agg(*aggs).first()
+    extra = dict(extra or {})
+    row = df.agg(*aggs, *[c.alias(f"x_{i}") for i, c in enumerate(extra.values())]).first()
 
-    result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
+    result: dict = {n: [None] * len(probs) for n in names}
+    if extra:
+        result["__extra"] = {k: row[f"x_{i}"] for i, k in enumerate(extra)}
     total = sum(row[f"n{i}"] or 0 for i in range(len(names)))
     if total <= (SMALL_TOTAL if small_total is None else small_total):
         live = [(i, n) for i, n in enumerate(names) if row[f"n{i}"]]

@@ -57,16 +57,23 @@ def profile_overview(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 # C2 -----------------------------------------------------------------------------
 def profile_describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per feature."""
+    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per feature.
+
+    The moments ride along in the quantile helper's first pass, so the whole
+    table is scanned once for them; the result has one row per feature.
+    """
     spark = df.sparkSession
-    q = exact_quantiles(df, list(features), [0.25, 0.5, 0.75])
-    qdf = spark.createDataFrame([(f, *q[f]) for f in features],
-                                "feature string, q25 double, q50 double, q75 double")
-    stats = _long(df, features).groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    out = stats.join(F.broadcast(qdf), "feature")          # #features rows
+    extra = {}
+    for i, f in enumerate(features):
+        x = F.col(f).cast("double")
+        extra.update({f"c{i}": F.count(x), f"m{i}": F.avg(x), f"s{i}": F.stddev_samp(x),
+                      f"lo{i}": F.min(x), f"hi{i}": F.max(x)})
+    q = exact_quantiles(df, list(features), [0.25, 0.5, 0.75], extra=extra)
+    st = q["__extra"]
+    rows = [(f, int(st[f"c{i}"]), st[f"m{i}"], st[f"s{i}"], st[f"lo{i}"], *q[f], st[f"hi{i}"])
+            for i, f in enumerate(features)]
+    out = spark.createDataFrame(rows, "feature string, count long, mean double, std double, min double, "
+                                      "q25 double, q50 double, q75 double, max double")
     return out.select("feature", "count", *[r6(c).alias(c) for c in
                                             ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
