@@ -46,7 +46,7 @@ def stratified_split(df: DataFrame, label: str = "label", frac: float = TEST_FRA
     j = ranked.join(F.broadcast(sizes), label)              # one row per class
     n_test = F.floor(F.col("__n") * frac + 0.5)
     return j.withColumn("split", F.when(F.col("__r") <= n_test, "test").otherwise("train")) \
-        .drop("__h", "__r", "__n")
+        .drop("__h", "__r", "__n", "__label")
 
 
 def hash_split(df: DataFrame, frac: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
@@ -132,8 +132,8 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)                      # one row per class
+    w = class_weights(df, label).select(F.col(label).alias("__label"), F.col("weight").alias(out))
+    return df.join(F.broadcast(w), df[label].eqNullSafe(w["__label"])).drop("__label")  # one row per class
 
 
 def cv_folds(df: DataFrame, label: str = "label", k: int = FOLDS, seed: int = SEED) -> DataFrame:
