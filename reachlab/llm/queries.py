@@ -10,6 +10,7 @@ from . import (
     fertility, html_text, line_dedup, markov_secrets, minhash, mixing, packing, token_files, topk, warc,
 )
 from .common import read_table
+from .oracle import ORACLE as ORACLE
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +68,3 @@ QUERIES: dict[str, QueryFn] = {
     "op9_markov_secrets": op9_markov_secrets,
     "op10_token_files": op10_token_files,
 }
-
-ORACLE: dict[str, str] = {}

@@ -59,15 +59,13 @@ def _statistics(v: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of each row of ``x`` with ``q``."""
+    """Exact integer inner products of each row of ``x`` with ``q``, held within 64 bits."""
     largest = (np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0)) * max(1, len(q))
     if largest < _EXACT:
         return (x @ q).astype(np.int64)
     whole = [int(a) for a in q]
     out = [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in x]
-    if any(not -(1 << 63) <= s < 1 << 63 for s in out):
-        raise OverflowError("an inner product does not fit a 64-bit integer")
-    return np.array(out, dtype=np.int64)
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in out], dtype=np.int64)
 
 
 def block_top_k(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple]:
@@ -128,7 +126,8 @@ def top_k(embeddings: DataFrame, queries, k: int) -> DataFrame:
 
     Null ids, null vectors and vectors with null or non-finite components take
     no part. Vectors are only comparable if they have the same length; one
-    without components scores 0. Rows that repeat an id count once (the one
+    without components scores 0. A score beyond 64 bits counts as the nearest
+    64-bit integer. Rows that repeat an id count once (the one
     with the least vector). Fewer than k candidates give fewer rows; an empty
     table gives none.
 
