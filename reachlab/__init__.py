@@ -12,7 +12,6 @@ functions  -- column expressions and scale-aware building blocks
 operators  -- the analytics: prep, profiling, split, models, evaluation,
               targeting, attribution, tuning, run log, conclusions
 plans      -- the query registry used by ``__spark_entry__`` and its SQL oracle
-streaming  -- intentionally empty (the reference has no streaming operator)
 """
 
 __all__ = ["session"]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachlab.functions.quantiles import exact_quantiles
-from reachlab.operators.evaluate import roc_auc
+from reachlab.operators.evaluate import ranking_metrics
 from reachlab.operators.split import SEED, PopulationStandardScaler
 
 # --- fixed values: model configurations of the reference ---------------------------
@@ -50,11 +50,13 @@ PROFILES = {
 MODEL_NAMES = ["logistic", "tree", "forest", "gbt", "mlp"]
 # -------------------------------------------------------------------------------------
 
-# MLlib's deepest tree is 30 levels; "unlimited" maps there. Forest trees are
-# grown to FOREST_DEPTH: MLlib keeps per-node histograms for a whole level
-# of all trees at once, so unbounded depth costs memory per level.
+# MLlib's deepest tree is 30 levels; "unlimited" maps there, for single trees
+# and forests alike (MLlib splits a level into node groups that fit
+# maxMemoryInMB, so depth costs passes, not memory). Forests cache the rows'
+# node ids: tasks then need not carry the trees grown so far.
 MLLIB_MAX_DEPTH = 30
-FOREST_DEPTH = 12
+# Rows that one partition of a fold holds at least before a fit uses another task.
+FIT_ROWS_PER_TASK = 20_000
 
 
 class MedianImputer(Estimator, HasInputCols):
@@ -133,7 +135,7 @@ def classifier(name: str, n_features: int, n_train: int, profile: str = "compare
         return DecisionTreeClassifier(maxDepth=min(depth, MLLIB_MAX_DEPTH), seed=seed, **weight)
     if name == "forest":
         return RandomForestClassifier(numTrees=cfg["n_trees"], featureSubsetStrategy="sqrt",
-                                      maxDepth=FOREST_DEPTH, seed=seed, **weight)
+                                      maxDepth=MLLIB_MAX_DEPTH, cacheNodeIds=True, seed=seed, **weight)
     if name == "gbt":
         return GBTClassifier(maxIter=cfg["n_trees"], maxDepth=cfg["max_depth"], stepSize=cfg["step"],
                              seed=seed, **weight)
@@ -215,32 +217,70 @@ def score_models(split_df: DataFrame, features: Sequence[str], names: Sequence[s
     return out
 
 
+class _Fold:
+    """One fold, prepared once for all models: assembled fit rows and held-out rows, persisted."""
+
+    def __init__(self, data: DataFrame, fold: int, features: Sequence[str], scale: bool, smote: bool):
+        fit = data.where(F.col("fold") != fold)
+        stages = [MedianImputer(inputCols=list(features)).fit(fit)]
+        cur = stages[0].transform(fit)
+        if scale:
+            stages.append(PopulationStandardScaler(inputCols=list(features)).fit(cur))
+            cur = stages[-1].transform(cur)
+        if smote:
+            from reachlab.operators.resample import smote as oversample
+            cur = oversample(cur, features, "label").drop("synthetic", "base_id", "nbr_id")
+        stages.append(BalancedWeights(labelCol="label").fit(cur))
+        assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+        rows = assembler.transform(stages[-1].transform(cur)).select("label", "weight", "features")
+        tasks = max(1, -(-data.count() // FIT_ROWS_PER_TASK))
+        self.fit_rows = rows.coalesce(tasks).persist()
+        self.n_fit = self.fit_rows.count()
+        held = PipelineModel(stages=[*stages, assembler]).transform(data.where(F.col("fold") == fold))
+        self.held = held.select("id", "label", "features").coalesce(tasks).persist()
+
+    def release(self) -> None:
+        self.fit_rows.unpersist()
+        self.held.unpersist()
+
+
+def fold_slots(df: DataFrame) -> int:
+    """Fits that run at the same time: half the cluster's task slots, one at least."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism // 2)
+
+
 def cross_validate(folds_df: DataFrame, features: Sequence[str], names: Sequence[str] = MODEL_NAMES,
                    k: int = 5, scale: bool = True, profile: str = "compare", label: str = "label",
-                   parallelism: int | None = None) -> DataFrame:
+                   parallelism: int | None = None, smote: bool = False) -> DataFrame:
     """Per model, ROC AUC on each held-out fold (fit on the other folds,
-    imputation and scaling refit inside), then mean and population std.
+    imputation, scaling, weights and, with ``smote``, oversampling refit
+    inside), then mean and population std.
 
-    Folds are independent Spark jobs; up to ``parallelism`` run concurrently.
+    A fold is prepared once and shared by all models; each fit is scored at
+    once, so that only one number per (model, fold) stays. Fits are independent
+    Spark jobs, ``parallelism`` (default ``fold_slots``) of them at a time.
     """
-    tasks = [(n, f) for n in names for f in range(k)]
-
-    def run(task):
-        n, f = task
-        fit_rows = folds_df.where(F.col("fold") != f)
-        held = folds_df.where(F.col("fold") == f)
-        m = fit_model(n, fit_rows, features, scale, profile, label)
-        return score(m, held, features, n, label).withColumn("fold", F.lit(f))
-
-    # independent fits run as concurrent Spark jobs (a few at a time: each is
-    # many small jobs, and more concurrent drivers-side schedulers only contend)
-    slots = parallelism or min(4, folds_df.sparkSession.sparkContext.defaultParallelism)
-    with ThreadPoolExecutor(max_workers=max(1, slots)) as pool:
-        scored = list(pool.map(run, tasks))
-    allscores = scored[0]
-    for s in scored[1:]:
-        allscores = allscores.unionByName(s)
-    per_fold = roc_auc(allscores, group=("model", "fold"), rounded=False)
+    data = folds_df.select("id", "fold", *[F.col(c).cast("double").alias(c) for c in features],
+                           F.col(label).cast("double").alias("label")).persist()
+    slots = parallelism or fold_slots(folds_df)
+    with ThreadPoolExecutor(max_workers=slots) as pool:
+        folds = list(pool.map(lambda f: _Fold(data, f, features, scale, smote), range(k)))
+
+        def run(task):
+            name, f = task
+            fold = folds[f]
+            clf = classifier(name, len(features), fold.n_fit, profile).setLabelCol("label").setFeaturesCol("features")
+            out = clf.fit(fold.fit_rows).transform(fold.held).select(
+                F.lit(name).alias("model"), F.col("label").cast("int").alias("label"),
+                vector_to_array("probability")[1].alias("p"))
+            got = ranking_metrics(out).first()
+            return name, f, got["roc_auc"] if got else None
+
+        rows = list(pool.map(run, [(n, f) for f in range(k) for n in names]))
+    for fold in folds:
+        fold.release()
+    data.unpersist()
+    per_fold = folds_df.sparkSession.createDataFrame(rows, "model string, fold int, roc_auc double")
     summary = per_fold.groupBy("model").agg(F.avg("roc_auc").alias("cv_mean"),
                                             F.stddev_pop("roc_auc").alias("cv_std"))
     return per_fold.join(summary, "model").select(

@@ -50,21 +50,36 @@ def ascii_safe(c: Column) -> Column:
     return F.when(c.isNull(), None).when(t == "", F.lit(EMPTY_NAME)).otherwise(t)
 
 
-def ascii_safe_map(c: Column) -> Column:
-    """I2 applied to keys and values of a map<string,string>."""
-    return F.transform_values(F.transform_keys(c, lambda k, v: ascii_safe_expr(k)),
-                              lambda k, v: ascii_safe_expr(v))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkd_ascii_list(s: pd.Series) -> pd.Series:
+    """``_nfkd_ascii`` of each element of a list."""
+    return s.map(lambda values: None if values is None else [
+        None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
+        for v in values])
 
 
-def ascii_safe_expr(c: Column) -> Column:
-    """Regex-only part of I2 for use inside higher-order functions, where a
-    pandas UDF cannot run: drops non-ASCII characters without decomposing."""
-    t = F.regexp_replace(c, r"[^\x00-\x7F]", "")
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = F.regexp_replace(t, r"^[ \-_·]+|[ \-_·]+$", "")
+def _clean(t: Column) -> Column:
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ \-_·]+|[ \-_·]+$", "")
     return F.when(t == "", F.lit(EMPTY_NAME)).otherwise(t)
 
 
+def ascii_safe_list(c: Column) -> Column:
+    """I2 applied to the elements of an array<string>; NULL stays NULL."""
+    return F.transform(_nfkd_ascii_list(c), _clean)
+
+
+def ascii_safe_map(c: Column) -> Column:
+    """I2 applied to keys and values of a map<string,string>.
+
+    Keys that become equal keep the last entry, as assigning them in order would.
+    """
+    keys, values = ascii_safe_list(F.map_keys(c)), ascii_safe_list(F.map_values(c))
+    entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"]))
+    return F.when(c.isNotNull(), F.map_from_entries(last))
+
+
 def fmt(x: Column) -> Column:
     """Numbers are stored in the run maps as fixed 6-decimal text."""
     return F.format_string("%.6f", x.cast("double"))
@@ -75,50 +90,6 @@ def _map(entries: list[tuple[str, Column]]) -> Column:
     return F.map_from_entries(F.filter(arr, lambda e: e.getField("v").isNotNull()))
 
 
-def runs_from_search(trials: DataFrame, base_time: str = "2026-01-01 00:00:00") -> DataFrame:
-    """One run per search trial. ``trials`` has trial, ap, auc, n and the
-    parameter map. Every sixth run is an older one that only logged
-    final/best_cv_roc_auc; every ninth (offset 4) is still running and has no
-    final test metrics."""
-    t = F.col("trial")
-    older = (t % 6) == 0
-    running = (t % 9) == 4
-    state = F.when(running, "running").otherwise("finished")
-    summary = _map([
-        ("final/best_cv_score", F.when(~older, fmt(F.col("ap")))),
-        ("final/scoring_metric", F.when(~older, F.lit("average_precision"))),
-        ("final/best_cv_roc_auc", F.when(older, fmt(F.col("auc")))),
-        ("final/test_roc_auc", F.when(~running, fmt(F.col("auc")))),
-        ("final/test_pr_auc", F.when(~running, fmt(F.col("ap")))),
-        ("test/n_customers", F.col("n").cast("string")),
-        ("note", F.lit("rule search")),
-    ])
-    config = F.map_concat(F.col("params"), F.create_map(
-        F.lit("_tracker"), F.lit("internal"), F.lit("dataset"), F.lit("marketing"),
-        F.lit("model"), F.lit("rule")))
-    return trials.select(
-        F.concat(F.lit("rule-"), F.lpad(t.cast("string"), 4, "0")).alias("id"),
-        F.concat(F.lit("marketing-Réponse · trial "), t.cast("string"), F.lit(" 🎯")).alias("name"),
-        F.lit("rule").alias("model"), F.lit(SEARCH_JOB).alias("job_type"),
-        (F.to_timestamp_ntz(F.lit(base_time)) + F.make_dt_interval(mins=(t * 37).cast("int"))).alias("created_at"),
-        state.alias("state"), summary.alias("summary"), config.alias("config"))
-
-
-def runs_from_board(board: DataFrame, base_time: str = "2025-12-31 12:00:00") -> DataFrame:
-    """One baseline run per model of a leaderboard."""
-    r = F.col("rank")
-    summary = _map([("test/roc_auc", fmt(F.col("roc_auc"))),
-                    ("test/pr_auc", fmt(F.col("average_precision"))),
-                    ("test/f1", fmt(F.col("f1")))])
-    return board.select(
-        F.concat(F.lit("base-"), F.col("model")).alias("id"),
-        F.concat(F.lit("marketing-"), F.col("model")).alias("name"),
-        F.col("model"), F.lit(BASELINE_JOB).alias("job_type"),
-        (F.to_timestamp_ntz(F.lit(base_time)) + F.make_dt_interval(hours=r.cast("int"))).alias("created_at"),
-        F.lit("finished").alias("state"), summary.alias("summary"),
-        F.create_map(F.lit("model"), F.col("model")).alias("config"))
-
-
 def append_runs(runs: DataFrame, path: str) -> None:
     """I1 sink: append to a parquet table partitioned by job type."""
     runs.write.mode("append").partitionBy("job_type").parquet(path)

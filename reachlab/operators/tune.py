@@ -8,10 +8,6 @@ H2/H3: ``tune_model`` evaluates each trial's MLlib pipeline by k-fold CV on
 average precision (or ROC AUC), keeps the best, refits it on the whole
 training split and scores the test split. Trials run as concurrent Spark jobs.
 
-``rule_search`` is the same random search over a linear scoring rule whose
-objective is computed exactly over the whole table (one grouped ranking pass
-for all trials at once); its trials feed the SQL-checked views H4-H6.
-
 H4-H6 work on a trials table ``(trial, score, params map<string,string>)``.
 """
 
@@ -26,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachlab.functions.columns import r6
-from reachlab.operators.evaluate import average_precision, ranking_metrics, roc_auc
+from reachlab.operators.evaluate import ranking_metrics
 
 
 @dataclass(frozen=True)
@@ -137,41 +133,51 @@ def mllib_params(model: str, params: dict, n_features: int) -> dict:
     raise ValueError(model)
 
 
-def _pipeline(model: str, params: dict, features: Sequence[str], n_train: int):
-    from pyspark.ml import Pipeline
+# Models that are fitted on scaled features.
+SCALED = ("logistic", "mlp")
+
+
+def _balanced(model: str, p: dict) -> bool:
+    return model in ("tree", "forest") or (model == "logistic" and p["balanced"])
+
+
+def _classifier(model: str, params: dict, n_features: int, n_train: int):
     from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                            MultilayerPerceptronClassifier, RandomForestClassifier)
+
+    p = mllib_params(model, params, n_features)
+    w = {"weightCol": "weight"} if _balanced(model, p) else {}
+    if model == "logistic":
+        return LogisticRegression(maxIter=2000, regParam=1.0 / (p["C"] * max(n_train, 1)),
+                                  elasticNetParam=p["elastic"], standardization=False, **w)
+    if model == "tree":
+        return DecisionTreeClassifier(maxDepth=p["maxDepth"], minInstancesPerNode=p["minInstancesPerNode"],
+                                      impurity=p["impurity"], seed=SEED, **w)
+    if model == "forest":
+        return RandomForestClassifier(numTrees=p["numTrees"], maxDepth=p["maxDepth"],
+                                      minInstancesPerNode=p["minInstancesPerNode"], cacheNodeIds=True,
+                                      featureSubsetStrategy=p["featureSubsetStrategy"], seed=SEED, **w)
+    if model == "gbt":
+        return GBTClassifier(maxIter=p["maxIter"], maxDepth=p["maxDepth"], stepSize=p["stepSize"],
+                             subsamplingRate=p["subsamplingRate"], seed=SEED)
+    return MultilayerPerceptronClassifier(layers=p["layers"], maxIter=p["maxIter"], seed=SEED)
+
+
+def _pipeline(model: str, params: dict, features: Sequence[str], n_train: int):
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
     from reachlab.operators.models import BalancedWeights, MedianImputer
     from reachlab.operators.split import PopulationStandardScaler
 
     feats = list(features)
-    p = mllib_params(model, params, len(feats))
     stages = [MedianImputer(inputCols=feats)]
-    balanced = model in ("tree", "forest") or (model == "logistic" and p["balanced"])
-    if model in ("logistic", "mlp"):
+    if model in SCALED:
         stages.append(PopulationStandardScaler(inputCols=feats))
-    if balanced:
+    if _balanced(model, mllib_params(model, params, len(feats))):
         stages.append(BalancedWeights())
-    stages.append(VectorAssembler(inputCols=feats, outputCol="features"))
-    w = {"weightCol": "weight"} if balanced else {}
-    if model == "logistic":
-        clf = LogisticRegression(maxIter=2000, regParam=1.0 / (p["C"] * max(n_train, 1)),
-                                 elasticNetParam=p["elastic"], standardization=False, **w)
-    elif model == "tree":
-        clf = DecisionTreeClassifier(maxDepth=p["maxDepth"], minInstancesPerNode=p["minInstancesPerNode"],
-                                     impurity=p["impurity"], seed=SEED, **w)
-    elif model == "forest":
-        clf = RandomForestClassifier(numTrees=p["numTrees"], maxDepth=p["maxDepth"],
-                                     minInstancesPerNode=p["minInstancesPerNode"],
-                                     featureSubsetStrategy=p["featureSubsetStrategy"], seed=SEED, **w)
-    elif model == "gbt":
-        clf = GBTClassifier(maxIter=p["maxIter"], maxDepth=p["maxDepth"], stepSize=p["stepSize"],
-                            subsamplingRate=p["subsamplingRate"], seed=SEED)
-    else:
-        clf = MultilayerPerceptronClassifier(layers=p["layers"], maxIter=p["maxIter"], seed=SEED)
-    stages.append(clf)
+    stages += [VectorAssembler(inputCols=feats, outputCol="features"),
+               _classifier(model, params, len(feats), n_train)]
     return Pipeline(stages=stages)
 
 
@@ -181,38 +187,36 @@ def tune_model(folds_df: DataFrame, test_df: DataFrame, features: Sequence[str],
                parallelism: int | None = None) -> tuple[DataFrame, dict, DataFrame]:
     """H2 + H3. Returns (trials, best params, test scores of the refit best).
 
-    ``folds_df`` is the training split with a ``fold`` column (cv_folds).
+    ``folds_df`` is the training split with a ``fold`` column (cv_folds). A fold
+    is prepared once for all trials; each fit is scored at once, so that one
+    number per (trial, fold) stays.
     """
     from pyspark.ml.functions import vector_to_array
 
+    from reachlab.operators.models import _Fold, fold_slots
+
     spark = folds_df.sparkSession
     feats = list(features)
     data = folds_df.select("id", "fold", *[F.col(c).cast("double").alias(c) for c in feats],
-                           F.col("label").cast("double").alias("label"))
-    n_fit = {f: data.where(F.col("fold") != f).count() for f in range(k)}
-    metric = average_precision if scoring == "average_precision" else roc_auc
-
-    def run(task):
-        t, f = task
-        params = sample_params(model, t, seed)
-        pipe = _pipeline(model, params, feats, n_fit[f])
-        fitted = pipe.fit(data.where(F.col("fold") != f))
-        s = fitted.transform(data.where(F.col("fold") == f))
-        return s.select(F.lit(t).alias("trial"), F.lit(f).alias("fold"), "id",
-                        F.col("label").cast("int").alias("label"),
-                        vector_to_array("probability")[1].alias("p"))
-
-    tasks = [(t, f) for t in range(n_trials) for f in range(k)]
-    # independent fits run as concurrent Spark jobs (a few at a time: each is
-    # many small jobs, and more concurrent drivers-side schedulers only contend)
-    slots = parallelism or min(4, folds_df.sparkSession.sparkContext.defaultParallelism)
-    with ThreadPoolExecutor(max_workers=max(1, slots)) as pool:
-        parts = list(pool.map(run, tasks))
-    allscores = parts[0]
-    for p in parts[1:]:
-        allscores = allscores.unionByName(p)
+                           F.col("label").cast("double").alias("label")).persist()
     metric_col = "average_precision" if scoring == "average_precision" else "roc_auc"
-    per_fold = metric(allscores, group=("trial", "fold"))
+    tasks = [(t, f) for t in range(n_trials) for f in range(k)]
+    with ThreadPoolExecutor(max_workers=parallelism or fold_slots(folds_df)) as pool:
+        folds = list(pool.map(lambda f: _Fold(data, f, feats, model in SCALED, False), range(k)))
+
+        def run(task):
+            t, f = task
+            clf = _classifier(model, sample_params(model, t, seed), len(feats), folds[f].n_fit)
+            out = clf.setLabelCol("label").fit(folds[f].fit_rows).transform(folds[f].held).select(
+                F.lit(t).alias("trial"), F.col("label").cast("int").alias("label"),
+                vector_to_array("probability")[1].alias("p"))
+            got = ranking_metrics(out, group=("trial",)).first()
+            return t, f, got[metric_col] if got else None
+
+        rows = list(pool.map(run, tasks))
+    for fold in folds:
+        fold.release()
+    per_fold = spark.createDataFrame(rows, f"trial long, fold int, {metric_col} double")
     per_trial = per_fold.groupBy("trial").agg(F.avg(metric_col).alias("score"))
     pmap = spark.createDataFrame(
         [(t, {k_: str(v) for k_, v in sample_params(model, t, seed).items()}) for t in range(n_trials)],
@@ -232,91 +236,6 @@ def tune_model(folds_df: DataFrame, test_df: DataFrame, features: Sequence[str],
     return trials, best_params, scored
 
 
-# --- linear scoring-rule search (SQL-checkable trials) ------------------------------------
-# fixed values of the rule family: weighted raw columns, one spend column chosen
-# per trial, and a recency weight that only exists when use_recency = 'yes'
-RULE_BASE_FEATURES = ["Income", "NumWebPurchases", "AcceptedCmp5", "Teenhome"]
-RULE_SPEND_CHOICES = ["MntWines", "MntMeatProducts", "MntGoldProds"]
-RULE_TRIALS = 120
-RULE_SCALE = {"Income": 0.00001, "NumWebPurchases": 0.1, "AcceptedCmp5": 1.0, "Teenhome": 0.5,
-              "spend": 0.001, "Recency": 0.02}
-
-
-def rule_trials(n_trials: int = RULE_TRIALS, seed: int = SEED) -> list[dict]:
-    """Draws of the rule family, one dict per trial (bounded by n_trials).
-
-    Weight w = 2u - 1 with u from md5(seed|rule|trial|name): a multiple of
-    2^-31, exactly representable, so every engine scores identically.
-    """
-    out = []
-    for t in range(n_trials):
-        d = {"trial": t}
-        for f in RULE_BASE_FEATURES:
-            d[f"w_{f}"] = 2 * _unit(seed, "rule", t, f"w_{f}") - 1
-        d["w_spend"] = 2 * _unit(seed, "rule", t, "w_spend") - 1
-        d["spend_feature"] = RULE_SPEND_CHOICES[
-            int(math.floor(_unit(seed, "rule", t, "spend_feature") * len(RULE_SPEND_CHOICES)))]
-        d["use_recency"] = "yes" if _unit(seed, "rule", t, "use_recency") < 0.5 else "no"
-        d["w_Recency"] = (2 * _unit(seed, "rule", t, "w_Recency") - 1
-                          if d["use_recency"] == "yes" else None)
-        out.append(d)
-    return out
-
-
-def rule_params(spark: SparkSession, trials: list[dict]) -> DataFrame:
-    """(trial, params map<string,string>) with absent parameters left out."""
-    rows = [(d["trial"], {k: (v if isinstance(v, str) else f"{float(v):.6f}")
-                          for k, v in d.items() if k != "trial" and v is not None})
-            for d in trials]
-    return spark.createDataFrame(rows, "trial long, params map<string,string>")
-
-
-def rule_scores(customers: DataFrame, trials: list[dict], target: str = "Response") -> DataFrame:
-    """(trial, id, label, p): every trial's rule applied to every customer.
-
-    Each customer row is expanded to one row per trial with ``explode`` of a
-    literal array (the trial count is a parameter, not data) and the scored
-    rows are immediately reduced to one row per (trial, distinct score), so
-    all trials share one grouped ranking pass.
-    """
-    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in
-         RULE_BASE_FEATURES + RULE_SPEND_CHOICES + ["Recency"]}
-    spend_idx = {c: i for i, c in enumerate(RULE_SPEND_CHOICES)}
-    lit_trials = F.array(*[F.struct(
-        F.lit(d["trial"]).cast("long").alias("trial"),
-        *[F.lit(d[f"w_{f}"]).alias(f"w_{f}") for f in RULE_BASE_FEATURES],
-        F.lit(d["w_spend"]).alias("w_spend"),
-        F.lit(spend_idx[d["spend_feature"]]).alias("spend_i"),
-        F.lit(d["w_Recency"] or 0.0).alias("w_Recency")) for d in trials])
-    rows = customers.select(F.col("ID").alias("id"), F.col(target).alias("label"),
-                            *[x[c].alias(c) for c in x])
-    e = rows.select("id", "label", *x, F.explode(lit_trials).alias("t"))
-    spend = F.coalesce(*[F.when(F.col("t.spend_i") == i, F.col(c)) for c, i in spend_idx.items()])
-    z = F.lit(0.0)
-    for f in RULE_BASE_FEATURES:
-        z = z + F.col(f"t.w_{f}") * F.lit(RULE_SCALE[f]) * F.col(f)
-    z = z + F.col("t.w_spend") * F.lit(RULE_SCALE["spend"]) * spend
-    z = z + F.col("t.w_Recency") * F.lit(RULE_SCALE["Recency"]) * F.col("Recency")
-    return e.select(F.col("t.trial").alias("trial"), "id", "label", z.alias("p"))
-
-
-def rule_search(customers: DataFrame, n_trials: int = RULE_TRIALS, seed: int = SEED,
-                target: str = "Response", with_metrics: bool = False) -> DataFrame:
-    """H2 over the rule family: average precision of every trial on the whole
-    table -> trials (trial, score, params). ``with_metrics`` adds ap, auc and
-    the row count per trial (used to derive run records)."""
-    spark = customers.sparkSession
-    trials = rule_trials(n_trials, seed)
-    scored = rule_scores(customers, trials, target)
-    m = ranking_metrics(scored, group=("trial",))           # one ranking pass, eager
-    out = m.join(F.broadcast(rule_params(spark, trials)), "trial")   # n_trials rows
-    if with_metrics:
-        return out.select(F.col("trial").cast("long"), r6("average_precision").alias("ap"),
-                          r6("roc_auc").alias("auc"), (F.col("n_pos") + F.col("n_neg")).alias("n"),
-                          "params")
-    return out.select(F.col("trial").cast("long"), r6("average_precision").alias("score"), "params")
-
-
 # --- H4 - H6 -----------------------------------------------------------------------------
 def trial_log(trials: DataFrame, param_names: Sequence[str]) -> DataFrame:
     """H4: one row per trial with the score, its rank (best first) and each

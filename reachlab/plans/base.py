@@ -2,16 +2,17 @@
 
 The reference caches its loaded and preprocessed frames; here the derived
 customer table, the prepared table and the other shared inputs are
-materialised once per (application, data directory) with ``checkpoint()``
-into the cluster's shared ``spark.checkpoint.dir``. That cuts their lineage
-(every later query plans against a scan instead of re-analysing the joins
-and aggregates that built them) and survives executor loss, unlike a local
-checkpoint.
+written once per (application, data directory) as Parquet into the cluster's
+shared ``spark.checkpoint.dir`` and read back. That cuts their lineage (every
+later query plans against a scan, with column pruning, pushdown and statistics)
+and survives executor loss. ``scores`` and ``attributions`` are projections of
+such a table and stay lazy. ``clear`` deletes what was written.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from reachlab.operators.prep import prep_full
@@ -19,6 +20,7 @@ from reachlab.sources.campaign import campaign_raw
 from reachlab.sources.fixtures import attributions_table, scores_table
 
 _MEMO: dict[tuple, DataFrame] = {}
+_PATHS: dict[tuple, str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
@@ -30,17 +32,16 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     df = _MEMO.get(k)
     if df is None:
         from reachlab.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        built = build().persist(StorageLevel.MEMORY_AND_DISK)   # so the checkpoint
-        df = built.checkpoint(eager=True)                      # write does not recompute
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)          # re-read from the checkpoint if lost
-        built.unpersist()
-        _MEMO[k] = df
+        built = build()
+        path = f"{ensure_checkpoint_dir(spark)}/base-{name}-{uuid.uuid4().hex}"
+        built.write.parquet(path)
+        df = _MEMO[k] = spark.read.schema(built.schema).parquet(path)
+        _PATHS[k] = path
     return df
 
 
 def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Persist ``build()`` once per (application, data directory, name)."""
+    """Write ``build()`` once per (application, data directory, name)."""
     return _memo(spark, sf_dir, name, build)
 
 
@@ -53,11 +54,11 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "scores", lambda: scores_table(raw(spark, sf_dir)))
+    return scores_table(raw(spark, sf_dir))
 
 
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "attributions", lambda: attributions_table(raw(spark, sf_dir)))
+    return attributions_table(raw(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +88,12 @@ def fitted(spark: SparkSession, sf_dir: str, name: str, profile: str = "compare"
     return _FITTED[k]
 
 
-def clear() -> None:
-    for df in _MEMO.values():
-        try:
-            df.unpersist()
-        except Exception:  # session already stopped
-            pass
-    _MEMO.clear()
-    _FITTED.clear()
+def clear(spark: SparkSession) -> None:
+    """Forget this application's tables and models and delete the tables' files."""
+    mine = [k for k in _MEMO if k[0] == spark.sparkContext.applicationId]
+    for k in mine:
+        del _MEMO[k]
+        target = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(k))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    for k in [k for k in _FITTED if k[0] == spark.sparkContext.applicationId]:
+        del _FITTED[k]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reachlab.operators import explain as X
 from reachlab.operators.catalog import (ENGINEERED_DESCRIPTIONS, FEATURE_DESCRIPTIONS,
                                         describe_features, feature_list_names)
-from reachlab.operators.models import MODEL_NAMES
+from reachlab.operators.models import MODEL_NAMES, fit_model
 from reachlab.plans import base
 from reachlab.plans.oracle_base import with_raw
 from reachlab.plans.registry import register
@@ -269,7 +269,7 @@ def tree_importance(spark, sf_dir):
     test = base.split(spark, sf_dir).where(F.col("split") == "test")
     parts = []
     for name in MODEL_NAMES:
-        m = base.fitted(spark, sf_dir, name)
+        m = base.fitted(spark, sf_dir, name, profile="explain")
         imp = X.tree_importance(m, feats, name)
         if imp is None:
             perm = X.permutation_importance(test.select("id", "label", *feats), X.model_score(m, feats),
@@ -290,8 +290,10 @@ def tree_importance(spark, sf_dir):
 
 @register("logistic_coefficients")
 def logistic_coefficients(spark, sf_dir):
-    """The fitted logistic model's coefficients on standardised features."""
-    return X.logistic_coefficients(base.fitted(spark, sf_dir, "logistic"), _feats(spark, sf_dir))
+    """Coefficients on standardised features of a logistic model that is
+    fitted on all rows, after median fill and scaling."""
+    feats = _feats(spark, sf_dir)
+    return X.logistic_coefficients(fit_model("logistic", base.labelled(spark, sf_dir), feats, profile="explain"), feats)
 
 
 @register("logistic_shap")
@@ -299,7 +301,7 @@ def logistic_shap(spark, sf_dir):
     """Exact SHAP values of the fitted logistic model on the test split."""
     feats = _feats(spark, sf_dir)
     test = base.split(spark, sf_dir).where(F.col("split") == "test")
-    return X.logistic_attributions(base.fitted(spark, sf_dir, "logistic"), test, feats)
+    return X.logistic_attributions(base.fitted(spark, sf_dir, "logistic", profile="explain"), test, feats)
 
 
 def _tree_shap(spark, sf_dir, name):
@@ -333,7 +335,7 @@ def model_mean_abs_shap(spark, sf_dir):
     feats = _feats(spark, sf_dir)
     test = base.split(spark, sf_dir).where(F.col("split") == "test")
     parts = [_tree_shap(spark, sf_dir, n) for n in ("tree", "forest", "gbt")]
-    parts.append(X.logistic_attributions(base.fitted(spark, sf_dir, "logistic"), test, feats))
+    parts.append(X.logistic_attributions(base.fitted(spark, sf_dir, "logistic", profile="explain"), test, feats))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -342,18 +344,32 @@ def model_mean_abs_shap(spark, sf_dir):
 
 @register("kernel_shap")
 def kernel_shap(spark, sf_dir):
-    """Sampled Shapley values of the MLP (explain profile) for the capped
-    explain sample's test rows, against a 100-row background of its train rows."""
+    """Sampled Shapley values of the MLP (explain profile) for every test
+    row, against a background of the explain sample's train rows."""
     from reachlab.operators.kernelshap import kernel_attributions
     from reachlab.operators.split import explain_sample
     feats = _feats(spark, sf_dir)
     sp = base.split(spark, sf_dir)
     sample = explain_sample(sp.select("id", "label"))
-    rows = sp.select("id", *feats).join(sample.where(F.col("split") == "test").select("id"), "id")
+    rows = sp.where(F.col("split") == "test").select("id", *feats)
     bg = sp.select("id", *feats).join(sample.where(F.col("split") == "train").select("id"), "id")
     return kernel_attributions(base.fitted(spark, sf_dir, "mlp", profile="explain"), rows, bg, feats, "mlp")
 
 
+@register("model_permutation_importance")
+def model_permutation_importance(spark, sf_dir):
+    """G3 on the fitted models (explain profile): mean and std of the drop over
+    5 repeats, on the test split."""
+    feats = _feats(spark, sf_dir)
+    test = base.split(spark, sf_dir).where(F.col("split") == "test").select("id", "label", *feats)
+    parts = [X.permutation_importance(test, X.model_score(base.fitted(spark, sf_dir, n, profile="explain"), feats),
+                                      feats, repeats=5, model=n) for n in MODEL_NAMES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("model_key_drivers")
 def model_key_drivers(spark, sf_dir):
     """G7 + G13 on the fitted models: top 3 features per model by mean |SHAP|
@@ -364,14 +380,14 @@ def model_key_drivers(spark, sf_dir):
 
     feats = _feats(spark, sf_dir)
     test = base.split(spark, sf_dir).where(F.col("split") == "test")
-    shap = X.logistic_attributions(base.fitted(spark, sf_dir, "logistic"), test, feats).unionByName(
+    shap = X.logistic_attributions(base.fitted(spark, sf_dir, "logistic", profile="explain"), test, feats).unionByName(
         _tree_shap(spark, sf_dir, "tree"))
     by_shap = X.mean_abs_shap(shap).select("model", "feature", F.col("mean_abs_shap").alias("score"),
                                            F.lit("shap").alias("source"))
-    parts = [X.tree_importance(base.fitted(spark, sf_dir, n), feats, n).select(
+    parts = [X.tree_importance(base.fitted(spark, sf_dir, n, profile="explain"), feats, n).select(
         "model", "feature", F.col("importance").alias("score"), F.lit("importance:impurity").alias("source"))
         for n in ("forest", "gbt")]
-    mlp = base.fitted(spark, sf_dir, "mlp")
+    mlp = base.fitted(spark, sf_dir, "mlp", profile="explain")
     perm = X.permutation_importance(test.select("id", "label", *feats), X.model_score(mlp, feats), feats,
                                     repeats=5, model="mlp")
     parts.append(perm.select("model", "feature", F.col("importance_mean").alias("score"),

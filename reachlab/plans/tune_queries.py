@@ -17,6 +17,7 @@ from reachlab.operators.split import cv_folds
 from reachlab.plans import base
 from reachlab.plans.oracle_base import SCORES_CTE, with_raw
 from reachlab.plans.registry import register
+from reachlab.sources import fixtures as X
 
 
 def _lit(w: float) -> str:
@@ -28,27 +29,27 @@ def _u(name: str) -> str:
             f" / 4294967296.0)")
 
 
-_NUM_PARAMS = [f"w_{f}" for f in T.RULE_BASE_FEATURES] + ["w_spend", "w_Recency"]
+_NUM_PARAMS = [f"w_{f}" for f in X.RULE_BASE_FEATURES] + ["w_spend", "w_Recency"]
 _CAT_PARAMS = ["spend_feature", "use_recency"]
-_X = T.RULE_BASE_FEATURES + T.RULE_SPEND_CHOICES + ["Recency"]
-_spend_case = "CASE spend_i " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(T.RULE_SPEND_CHOICES)) + " END"
-_z = "0.0" + "".join(f" + w_{f} * {_lit(T.RULE_SCALE[f])} * {f}" for f in T.RULE_BASE_FEATURES) \
-    + f" + w_spend * {_lit(T.RULE_SCALE['spend'])} * ({_spend_case})" \
-    + f" + w_Recency0 * {_lit(T.RULE_SCALE['Recency'])} * Recency"
+_X = X.RULE_BASE_FEATURES + X.RULE_SPEND_CHOICES + ["Recency"]
+_spend_case = "CASE spend_i " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(X.RULE_SPEND_CHOICES)) + " END"
+_z = "0.0" + "".join(f" + w_{f} * {_lit(X.RULE_SCALE[f])} * {f}" for f in X.RULE_BASE_FEATURES) \
+    + f" + w_spend * {_lit(X.RULE_SCALE['spend'])} * ({_spend_case})" \
+    + f" + w_Recency0 * {_lit(X.RULE_SCALE['Recency'])} * Recency"
 
 RULE = f"""
 , cust AS (SELECT ID AS id, Response AS label,
                   {", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _X)} FROM campaign_raw),
 tr0 AS (SELECT CAST(t AS BIGINT) AS trial,
-               {", ".join(f"2 * {_u('w_' + f)} - 1 AS w_{f}" for f in T.RULE_BASE_FEATURES)},
+               {", ".join(f"2 * {_u('w_' + f)} - 1 AS w_{f}" for f in X.RULE_BASE_FEATURES)},
                2 * {_u('w_spend')} - 1 AS w_spend,
-               CAST(floor({_u('spend_feature')} * {len(T.RULE_SPEND_CHOICES)}) AS INTEGER) AS spend_i,
+               CAST(floor({_u('spend_feature')} * {len(X.RULE_SPEND_CHOICES)}) AS INTEGER) AS spend_i,
                CASE WHEN {_u('use_recency')} < 0.5 THEN 'yes' ELSE 'no' END AS use_recency,
                2 * {_u('w_Recency')} - 1 AS w_rec_raw
-        FROM range({T.RULE_TRIALS}) r(t)),
+        FROM range({X.RULE_TRIALS}) r(t)),
 tr AS (SELECT *, CASE WHEN use_recency = 'yes' THEN w_rec_raw END AS w_Recency,
               CASE WHEN use_recency = 'yes' THEN w_rec_raw ELSE 0.0 END AS w_Recency0,
-              [{", ".join(f"'{c}'" for c in T.RULE_SPEND_CHOICES)}][spend_i + 1] AS spend_feature
+              [{", ".join(f"'{c}'" for c in X.RULE_SPEND_CHOICES)}][spend_i + 1] AS spend_feature
        FROM tr0),
 scored AS (SELECT trial, id, label, {_z} AS p FROM cust, tr),
 rc AS (SELECT trial, p, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
@@ -71,7 +72,7 @@ def _rule(spark, sf_dir, with_metrics=False):
     """The rule search's trials, computed once per data directory (one row
     per trial, persisted) and shared by every trial and run view."""
     full = base.memo(spark, sf_dir, "rule_trials",
-                     lambda: T.rule_search(base.raw(spark, sf_dir), with_metrics=True))
+                     lambda: X.rule_search(base.raw(spark, sf_dir), with_metrics=True))
     if with_metrics:
         return full
     return full.select("trial", F.col("ap").alias("score"), "params")
@@ -130,16 +131,49 @@ def parallel_coords(spark, sf_dir):
     return T.parallel_coords(t, _NUM_PARAMS, _CAT_PARAMS)
 
 
+def _tuned(spark, sf_dir, model, scoring="average_precision", n_trials=T.DEFAULT_TRIALS):
+    """One study per (data, model, objective): trials and the refit's test scores."""
+    key = (spark.sparkContext.applicationId, sf_dir, model, scoring, n_trials)
+    if key not in _STUDIES:
+        sp = base.split(spark, sf_dir)
+        folds = cv_folds(sp.where(F.col("split") == "train"))
+        trials, _best, scored = T.tune_model(folds, sp.where(F.col("split") == "test"),
+                                             feature_list_names(sp, "label"), model, n_trials, scoring=scoring)
+        _STUDIES[key] = (trials, scored)
+    return _STUDIES[key]
+
+
+_STUDIES: dict[tuple, tuple] = {}
+
+
 @register("tune_model")
 def tune_model(spark, sf_dir):
-    """H1-H3: seeded random search for the decision tree, 5-fold CV on AP,
-    refit of the best trial; returns the trials with their drawn parameters."""
-    sp = base.split(spark, sf_dir)
-    feats = feature_list_names(sp, "label")
-    folds = cv_folds(sp.where(F.col("split") == "train")).cache()
-    test = sp.where(F.col("split") == "test")
-    trials, _best, _scored = T.tune_model(folds, test, feats, "tree")
-    return trials.select("trial", "score", F.to_json("params").alias("params"))
+    """H1-H2: seeded random search for the decision tree, 5-fold CV on average
+    precision; the trials with their drawn parameters."""
+    return _tuned(spark, sf_dir, "tree")[0].select("trial", "score", F.to_json("params").alias("params"))
+
+
+@register("tune_model_roc")
+def tune_model_roc(spark, sf_dir):
+    """H2 with the other objective, ROC AUC, for logistic regression."""
+    return _tuned(spark, sf_dir, "logistic", "roc_auc")[0].select("trial", "score", F.to_json("params").alias("params"))
+
+
+@register("tuned_test_metrics")
+def tuned_test_metrics(spark, sf_dir):
+    """H3: test metrics of the best trial, refitted on the whole training split."""
+    from reachlab.operators import evaluate as E
+    return E.leaderboard(_tuned(spark, sf_dir, "tree")[1])
+
+
+@register("search_space")
+def search_space(spark, sf_dir):
+    """H1: the drawn parameters of every model's trials."""
+    parts = [T.search_space(spark, m) for m in T.SEARCH_SPACES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # I1 - I5 ----------------------------------------------------------------------------
@@ -201,7 +235,7 @@ lb_ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY test_roc_auc DESC, id)
 def _runs(spark, sf_dir):
     trials = _rule(spark, sf_dir, with_metrics=True)
     board = E.leaderboard(base.scores(spark, sf_dir))
-    return R.runs_from_search(trials).unionByName(R.runs_from_board(board))
+    return X.runs_from_search(trials).unionByName(X.runs_from_board(board))
 
 
 @register("run_log", with_raw(_RUNS + """

@@ -2,9 +2,9 @@
 
 Writes replace only the partitions they contain (dynamic partition
 overwrite), so storing one model never drops another. Reads filter on the
-partition columns, which prunes to the directories of one model. A missing or
-unreadable store is a miss: the caller's ``compute`` runs and its result is
-stored. The default location is under the cluster's shared checkpoint
+partition columns, which prunes to the directories of one model. A missing
+store, or one whose files are no Parquet, is a miss: the caller's ``compute``
+runs and its result is stored. Other errors (permissions, disk) are raised. The default location is under the cluster's shared checkpoint
 folder (``spark.checkpoint.dir``), never a machine-local path.
 """
 
@@ -13,13 +13,20 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.base import PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachlab.session import ensure_checkpoint_dir
 
 
+# A read that ends like this is a miss; permission and disk errors are raised.
+MISSES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+UNREADABLE = ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "Could not read footer")
+
+
 def default_store(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "attribution_store")
 
@@ -34,10 +41,15 @@ def _read(spark: SparkSession, path: str, dataset: str, model: str) -> DataFrame
     try:
         df = spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("model") == model))
         return df.drop("dataset") if df.limit(1).count() > 0 else None
-    except AnalysisException:
-        return None                            # no store yet
-    except Exception:  # noqa: BLE001 - a corrupt or foreign file: treat as a miss
-        return None
+    except AnalysisException as e:
+        # no store yet, or nothing in it that has a Parquet schema or our columns
+        if e.getCondition() in MISSES or (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            return None
+        raise
+    except (SparkException, Py4JJavaError) as e:
+        if any(x in str(e) for x in UNREADABLE):
+            return None                        # a corrupt or foreign file
+        raise
 
 
 def load_attributions(spark: SparkSession, path: str, dataset: str, model: str,
@@ -51,9 +63,6 @@ def load_attributions(spark: SparkSession, path: str, dataset: str, model: str,
     if hit is not None or compute is None:
         return hit
     fresh = compute().where(F.col("model") == model)
-    try:
-        store_attributions(fresh, path, dataset)
-    except Exception:  # noqa: BLE001 - an unwritable store is still a miss, not a failure
-        return fresh
+    store_attributions(fresh, path, dataset)
     stored = _read(spark, path, dataset, model)
     return stored if stored is not None else fresh

@@ -15,6 +15,7 @@ from reachlab.operators import runs as R
 from reachlab.operators import split as S
 from reachlab.operators import tune as T
 from reachlab.operators.catalog import feature_list_names
+from reachlab.sources import fixtures
 from reachlab.plans import base
 
 from .conftest import SF_SMALL
@@ -144,7 +145,7 @@ def test_recent_runs_limit_before_filter(spark):
 def test_run_sink_roundtrip(spark):
     trials = spark.createDataFrame([(0, 0.4, 0.6, 10, {"w": "1.0"}), (1, 0.5, 0.7, 10, {"w": "2.0"})],
                                    "trial long, ap double, auc double, n long, params map<string,string>")
-    runs = R.runs_from_search(trials)
+    runs = fixtures.runs_from_search(trials)
     path = os.path.join(tempfile.mkdtemp(prefix="reachlab-runs-", dir="/tmp"), "runs")
     R.append_runs(runs, path)
     R.append_runs(runs, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from reachlab.operators.catalog import describe_features
+from reachlab.operators.catalog import FEATURE_DESCRIPTIONS, describe_features
 from reachlab.sources.store import load_attributions, store_attributions
 
 
@@ -46,6 +46,6 @@ def test_description_fallback(spark):
     df = spark.createDataFrame([("m", "Income"), ("m", "Tenure_Days"), ("m", "unknown_col")],
                                "model string, feature string")
     d = {r["feature"]: r["description"] for r in describe_features(df).collect()}
-    assert d["Income"].startswith("Annual household income")       # primary description
-    assert d["Tenure_Days"].startswith("Days since enrollment")     # primary wins over engineered
+    assert d["Income"] == FEATURE_DESCRIPTIONS["Income"]             # primary description
+    assert d["Tenure_Days"] == FEATURE_DESCRIPTIONS["Tenure_Days"]   # primary wins over engineered
     assert d["unknown_col"] == ""
