@@ -39,11 +39,12 @@ def _hash_key(seed: int) -> Column:
 def stratified_split(df: DataFrame, label: str = "label", frac: float = TEST_FRACTION,
                      seed: int = SEED) -> DataFrame:
     """D1 exact: per class, the round(n_class x frac) rows first in md5(seed|id)
-    order go to 'test', the rest to 'train'. Adds column ``split``."""
+    order go to 'test', the rest to 'train'. Adds column ``split``. Rows without
+    a label are a class of their own and are split like any other."""
     keyed = df.withColumn("__h", _hash_key(seed))
     ranked = rank_within(keyed, [label], "__h", "id", out="__r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    j = ranked.join(F.broadcast(sizes), label)              # one row per class
+    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    j = ranked.join(F.broadcast(sizes), ranked[label].eqNullSafe(sizes["__label"]))  # one row per class
     n_test = F.floor(F.col("__n") * frac + 0.5)
     return j.withColumn("split", F.when(F.col("__r") <= n_test, "test").otherwise("train")) \
         .drop("__h", "__r", "__n", "__label")
