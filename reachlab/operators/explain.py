@@ -86,9 +86,9 @@ def key_drivers(ranking: DataFrame, score_col: str = "mean_abs_shap", k: int = T
 
 
 # G8 -------------------------------------------------------------------------------------
-def _average_ranks(attr: DataFrame, col: str, out: str) -> DataFrame:
+def _average_ranks(pairs: DataFrame, col: str, out: str) -> DataFrame:
     """Average rank (ties share the mean position) of ``col`` within (model, feature)."""
-    counts = attr.groupBy("model", "feature", col).agg(F.count(F.lit(1)).alias("__c"))
+    counts = pairs.groupBy("model", "feature", col).agg(F.sum("__c").alias("__c"))
     rt = running_totals(counts, ["model", "feature"], col, ["__c"], descending=False)
     return rt.select("model", "feature", col,
                      ((F.col("cum___c") - F.col("__c")) + (F.col("__c") + 1) / 2.0).alias(out))
@@ -97,14 +97,24 @@ def _average_ranks(attr: DataFrame, col: str, out: str) -> DataFrame:
 def driver_direction(attr: DataFrame) -> DataFrame:
     """Spearman correlation of a feature's value with its contribution, mapped
     to an arrow: constant value -> '→', undefined -> '→', > 0.25 '↑',
-    < -0.25 '↓', otherwise '↔'."""
-    rv = _average_ranks(attr, "value", "rv")
-    rc = _average_ranks(attr, "contribution", "rc")
-    j = attr.join(rv, ["model", "feature", "value"]).join(rc, ["model", "feature", "contribution"])
+    < -0.25 '↓', otherwise '↔'.
+
+    Rows are counted per (value, contribution) first, so that a 0/1 feature is
+    a handful of rows in the joins with the ranks, whatever its frequency.
+    """
+    pairs = attr.groupBy("model", "feature", "value", "contribution").agg(F.count(F.lit(1)).alias("__c"))
+    rv = _average_ranks(pairs, "value", "rv")
+    rc = _average_ranks(pairs, "contribution", "rc")
+    j = pairs.join(rv, ["model", "feature", "value"]).join(rc, ["model", "feature", "contribution"])
+    n, w = F.sum("__c"), F.col("__c")
+    mean = lambda c: F.sum(w * c) / n
+    # a difference within rounding is no variance
+    var = lambda c: F.when(mean(c * c) - mean(c) * mean(c) > mean(c) * mean(c) * 1e-12,
+                           mean(c * c) - mean(c) * mean(c)).otherwise(F.lit(0.0))
+    v, c = F.col("rv"), F.col("rc")
     stats = j.groupBy("model", "feature").agg(
-        F.countDistinct("value").alias("n_values"),
-        F.covar_pop("rv", "rc").alias("cov"), F.var_pop("rv").alias("vv"),
-        F.var_pop("rc").alias("vc"))
+        F.countDistinct("value").alias("n_values"), (mean(v * c) - mean(v) * mean(c)).alias("cov"),
+        var(v).alias("vv"), var(c).alias("vc"))
     rho = safe_div(F.col("cov"), F.sqrt(F.col("vv") * F.col("vc")))
     arrow = (F.when(F.col("n_values") < 2, ARROW_FLAT)
              .when(rho.isNull(), ARROW_FLAT)

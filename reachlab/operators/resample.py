@@ -7,12 +7,12 @@ without forming all pairs:
    row count, capped so the pivot matrix stays small enough to broadcast);
 2. every row is assigned to its nearest pivot (a Voronoi cell); each cell's
    radius is the largest member-to-pivot distance;
-3. within each cell, neighbours are found by brute force (``applyInPandas``
-   per cell; cells hold about m / P rows);
+3. within each cell, neighbours are found by brute force, a block of rows
+   against a block of members per task;
 4. a row whose k-th neighbour distance is r must also look at another cell c
    only if d(row, pivot_c) - radius_c <= r (triangle inequality); those
-   (row, cell) pairs are joined to the cell's members and the distances
-   computed. The final k are the smallest distances, ties broken by id.
+   (row, cell) pairs meet the cell's members in the same blocks, each of which
+   gives k rows at most. The final k are the smallest distances, ties by id.
 
 The answer is exact: cells only prune pairs that provably cannot be among the
 k nearest. Identical vectors are a hot-group risk (one cell would hold them
@@ -47,7 +47,10 @@ K_NEIGHBORS = 5
 SEED = 42
 # -----------------------------------------------------------------------------------------
 ROWS_PER_CELL = 2000
+# Pivots that a task compares a row with; cells larger than ROWS_PER_CELL are
+# searched in blocks, so this bounds memory, not the data.
 MAX_PIVOTS = 4096
+BLOCK_ROWS = 256  # rows of one distance matrix
 
 
 def _pivots(points: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -75,6 +78,39 @@ def exact_knn(points: DataFrame, k: int = K_NEIGHBORS, seed: int = SEED) -> Data
     return out
 
 
+def _top_k(ids_x: np.ndarray, x: np.ndarray, ids_y: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``y`` for each row of ``x`` (never itself), ties by id.
+
+    A block of rows at a time: dot products give all squared distances of the
+    block in one matrix, whose rounding error bounds who can be among the k;
+    those few get their exact distance.
+    """
+    query, nbr, dist = [], [], []
+    yy = (y * y).sum(1)
+    for at in range(0, len(x), BLOCK_ROWS):
+        block, ids = x[at:at + BLOCK_ROWS], ids_x[at:at + BLOCK_ROWS]
+        xx = (block * block).sum(1)
+        d2 = xx[:, None] + yy[None, :] - 2.0 * (block @ y.T)
+        d2[ids[:, None] == ids_y[None, :]] = np.inf
+        last = np.partition(d2, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        slack = 1e-9 * (xx + yy.max(initial=0.0) + 1.0)
+        for r in range(len(block)):
+            c = np.flatnonzero(d2[r] <= last[r] + slack[r])
+            c = c[np.isfinite(d2[r][c])]
+            exact = np.sqrt(((y[c] - block[r]) ** 2).sum(1))
+            best = np.lexsort((ids_y[c], exact))[:k]
+            query += [ids[r]] * len(best)
+            nbr += ids_y[c[best]].tolist()
+            dist += exact[best].tolist()
+    return pd.DataFrame({"id": query, "nbr": nbr, "dist": dist}).astype(
+        {"id": "int64", "nbr": "int64", "dist": "float64"})
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d2 = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
 def _search(points: DataFrame, k: int, seed: int) -> DataFrame:
     """Pivot-cell search over rows whose identical-vector groups are at most k + 1."""
     spark = points.sparkSession
@@ -86,37 +122,21 @@ def _search(points: DataFrame, k: int, seed: int) -> DataFrame:
     def assign(batches):
         pv = bpiv.value
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["x"].to_numpy())
-            d = np.sqrt(((x[:, None, :] - pv[None, :, :]) ** 2).sum(-1))
-            c = d.argmin(1)
-            yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], "cell": c.astype("int64"),
-                                "to_pivot": d[np.arange(len(c)), c]})
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[at:at + BLOCK_ROWS]
+                x = np.stack(part["x"].to_numpy())
+                c = _to_pivots(x, pv).argmin(1)
+                yield pd.DataFrame({"id": part["id"], "x": part["x"], "cell": c.astype("int64"),
+                                    "to_pivot": np.sqrt(((x - pv[c]) ** 2).sum(1))})
 
     cells = pts.mapInPandas(assign, "id long, x array<double>, cell long, to_pivot double") \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    radius = {r["cell"]: r["r"] for r in
-              cells.groupBy("cell").agg(F.max("to_pivot").alias("r")).collect()}   # <= P rows
-    rad = np.array([radius.get(i, -np.inf) for i in range(len(piv))])
+    stats = {r["cell"]: r for r in cells.groupBy("cell").agg(
+        F.max("to_pivot").alias("r"), F.count(F.lit(1)).alias("n")).collect()}   # <= P rows
+    rad = np.array([stats[i]["r"] if i in stats else -np.inf for i in range(len(piv))])
     brad = spark.sparkContext.broadcast(rad)
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        x = np.stack(pdf["x"].to_numpy())
-        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-        np.fill_diagonal(d, np.inf)
-        out_q, out_n, out_d = [], [], []
-        for i in range(len(ids)):
-            order = np.lexsort((ids, d[i]))[:k]
-            order = order[np.isfinite(d[i][order])]
-            out_q += [ids[i]] * len(order)
-            out_n += ids[order].tolist()
-            out_d += d[i][order].tolist()
-        return pd.DataFrame({"id": out_q, "nbr": out_n, "dist": out_d})
-
-    schema = "id long, nbr long, dist double"
-    local = cells.groupBy("cell").applyInPandas(within, schema)
+    members = cells.select("cell", F.col("id").alias("nbr"), F.col("x").alias("y"))
+    local = _meet(cells.select("id", "x", "cell"), members, k).persist(StorageLevel.MEMORY_AND_DISK)
     kth = local.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("r"))
     probe = cells.join(kth, "id", "left").select(
         "id", "x", "cell", F.when(F.col("c") >= k, F.col("r")).alias("r"))
@@ -124,34 +144,59 @@ def _search(points: DataFrame, k: int, seed: int) -> DataFrame:
     def other_cells(batches):
         pv, rd = bpiv.value, brad.value
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["x"].to_numpy())
-            d = np.sqrt(((x[:, None, :] - pv[None, :, :]) ** 2).sum(-1))
-            r = pdf["r"].fillna(np.inf).to_numpy()
-            lower = d - rd[None, :]
-            hit = (lower <= r[:, None]) & (np.arange(len(pv))[None, :] != pdf["cell"].to_numpy()[:, None])
-            qi, ci = np.nonzero(hit)
-            if len(qi):
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[qi], "x": pdf["x"].to_numpy()[qi],
-                                    "cell": ci.astype("int64")})
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[at:at + BLOCK_ROWS]
+                x = np.stack(part["x"].to_numpy())
+                r = part["r"].fillna(np.inf).to_numpy()
+                d = _to_pivots(x, pv)
+                hit = d - rd[None, :] - 1e-6 * (1.0 + d) <= r[:, None]   # never too strict by rounding
+                hit &= np.arange(len(pv))[None, :] != part["cell"].to_numpy()[:, None]
+                qi, ci = np.nonzero(hit)
+                if len(qi):
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[qi], "x": part["x"].to_numpy()[qi],
+                                        "cell": ci.astype("int64")})
 
     probes = probe.mapInPandas(other_cells, "id long, x array<double>, cell long")
-    members = cells.select("cell", F.col("id").alias("nbr"), F.col("x").alias("y"))
-    pairs = probes.join(members, "cell")
-    dist = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)),
-                              F.lit(0.0), lambda acc, v: acc + v))
-    remote = pairs.select("id", "nbr", dist.alias("dist"))
-    cand = local.unionByName(remote)
+    cand = local.unionByName(_meet(probes, members, k))
     w = Window.partitionBy("id").orderBy("dist", "nbr")
     out = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     out = out.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
+    local.unpersist()
     cells.unpersist()
     pts.unpersist()
     return out
 
 
+def _meet(probes: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, nbr, dist): each probe's k nearest members of its cell, at most k rows per probe.
+
+    A cell's probes and members are dealt into blocks of about ROWS_PER_CELL
+    rows; each block of probes meets each block of members in a task of its own.
+    """
+    sizes = lambda df, name: df.groupBy(F.col("cell").alias(f"{name}_cell")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_CELL)).cast("long").alias(name))
+    counts = sizes(probes, "p_blocks").join(sizes(members, "m_blocks"), F.col("p_blocks_cell") == F.col("m_blocks_cell"))
+    counts = counts.select(F.col("p_blocks_cell").alias("c"), "p_blocks", "m_blocks").persist()
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    # new names on both sides: the two derive from the same cells
+    p = probes.join(counts, F.col("cell") == F.col("c")).select(
+        F.col("cell").alias("pc"), F.pmod(F.xxhash64("id"), "p_blocks").alias("pb"), each("m_blocks").alias("pm"),
+        F.col("id").alias("pid"), F.col("x").alias("px"))
+    m = members.join(counts, F.col("cell") == F.col("c")).select(
+        F.col("cell").alias("mc"), each("p_blocks").alias("mp"), F.pmod(F.xxhash64("nbr"), "m_blocks").alias("mb"),
+        F.col("nbr").alias("mid"), F.col("y").alias("my"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "nbr": [], "dist": []}).astype({"id": "int64", "nbr": "int64"})
+        return _top_k(a["pid"].to_numpy(), np.stack(a["px"].to_numpy()), b["mid"].to_numpy(),
+                      np.stack(b["my"].to_numpy()), k)
+
+    return p.groupBy("pc", "pb", "pm").cogroup(m.groupBy("mc", "mp", "mb")).applyInPandas(
+        nearest, "id long, nbr long, dist double")
+
+
 def smote(train: DataFrame, features: Sequence[str], label: str = "label", k: int = K_NEIGHBORS,
           seed: int = SEED) -> DataFrame:
     """Return ``train`` plus synthetic minority rows (``synthetic`` flag,
@@ -162,6 +207,8 @@ def smote(train: DataFrame, features: Sequence[str], label: str = "label", k: in
         return train.withColumn("synthetic", F.lit(False))
     minority = min(counts, key=lambda c: (counts[c], c))
     m, need = counts[minority], max(counts.values()) - counts[minority]
+    if need and m < 2:
+        raise ValueError("oversampling needs at least two minority rows to interpolate between")
     base = train.withColumn("synthetic", F.lit(False)).withColumn(
         "base_id", F.lit(None).cast("long")).withColumn("nbr_id", F.lit(None).cast("long"))
     if need == 0:
@@ -185,7 +232,8 @@ def smote(train: DataFrame, features: Sequence[str], label: str = "label", k: in
     nbr_x = mino.select(F.col("id").alias("nbr"), F.col("x").alias("y"))
     j = with_nbr.join(nbr_x, "nbr")
     new_x = F.zip_with("x", "y", lambda a, b: a + F.col("gap") * (b - a))
-    synth = j.select((-(F.col("id") * 100000 + F.col("s") + 1)).alias("id"), new_x.alias("z"),
+    # one number per (row, sample): a row has at most share + 1 samples
+    synth = j.select((-(F.col("id") * F.lit(share + 1) + F.col("s") + 1)).alias("id"), new_x.alias("z"),
                      F.col("id").alias("base_id"), F.col("nbr").alias("nbr_id"))
     synth = synth.select("id", *[F.col("z")[i].alias(c) for i, c in enumerate(feats)],
                          F.lit(minority).cast(train.schema[label].dataType).alias(label),

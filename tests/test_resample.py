@@ -52,3 +52,9 @@ def test_smote_balances_and_interpolates(spark):
         assert r["f2"] == pytest.approx(r["b2"] + t1 * (r["n2"] - r["b2"]), abs=1e-9)
     again = RS.smote(df, ["f1", "f2"]).where("synthetic").orderBy("id").collect()
     assert again == out.where("synthetic").orderBy("id").collect()
+
+
+def test_one_minority_row_is_refused(spark):
+    df = spark.createDataFrame([(1, 0.5, 1), (2, 0.1, 0), (3, 0.2, 0)], "id long, f1 double, label int")
+    with pytest.raises(ValueError):
+        RS.smote(df, ["f1"])
