@@ -508,3 +508,8 @@ def target_summary(df: DataFrame, target: str = "Response") -> DataFrame:
     return agg.select("rows", "levels", label.alias("most_common"),
                       r6(F.when(is01, F.col("ysum") / F.col("rows"))).alias("positive_rate"),
                       r6(F.col("top_c") / F.col("rows") * 100.0).alias("top_share_pct"))
+
+
+def target_describe(df: DataFrame, target: str) -> DataFrame:
+    """C22 for a continuous target: count, mean, std, min, quartiles, max."""
+    return profile_describe(df, [target]).drop("feature")

@@ -37,4 +37,5 @@ def load_all() -> None:
         model_queries,
         explain_queries,
         tune_queries,
+        invariant_queries,
     )
