@@ -36,20 +36,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 ORACLE["op5_line_windows"] = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS at
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL),
 w AS (
-  SELECT doc_id, at, line, lead(at, 1) OVER d AS at_2, lead(at, 2) OVER d AS at_3,
+  SELECT doc_id, pos, line, lead(pos, 1) OVER d AS pos_2, lead(pos, 2) OVER d AS pos_3,
          lead(line, 1) OVER d AS line_2, lead(line, 2) OVER d AS line_3
-  FROM l WHERE regexp_matches(line, '{_WORD}') WINDOW d AS (PARTITION BY doc_id ORDER BY at)),
+  FROM l WHERE regexp_matches(line, '{_WORD}') WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 n AS (
-  SELECT doc_id, at, at_2, at_3, row_number() OVER (PARTITION BY line, line_2, line_3 ORDER BY doc_id, at) AS k
-  FROM w WHERE at_3 IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([at, at_2, at_3]) AS at FROM n WHERE k > 1),
+  SELECT doc_id, pos, pos_2, pos_3, row_number() OVER (PARTITION BY line, line_2, line_3 ORDER BY doc_id, pos) AS k
+  FROM w WHERE pos_3 IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos_2, pos_3]) AS pos FROM n WHERE k > 1),
 kept AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(g.at) AS n_removed,
-         coalesce(string_agg(CASE WHEN g.at IS NULL THEN l.line END, chr(10) ORDER BY l.at), '') AS text
-  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id)
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+         coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, k.text
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
@@ -62,12 +62,12 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
 sized AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (
+pair AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
   FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
-  SELECT both.a, both.b FROM both JOIN sized x ON both.a = x.doc_id JOIN sized y ON both.b = y.doc_id
-  WHERE 100 * both.n >= 75 * (x.n + y.n - both.n)),
+  SELECT pair.a, pair.b FROM pair JOIN sized x ON pair.a = x.doc_id JOIN sized y ON pair.b = y.doc_id
+  WHERE 100 * pair.n >= 75 * (x.n + y.n - pair.n)),
 reach(node, other) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
 c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
@@ -77,7 +77,7 @@ FROM documents d JOIN c ON d.doc_id = c.node LEFT JOIN sized z ON d.doc_id = z.d
 
 ORACLE["op7_segment_top_k"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL),
 p AS (
   SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
