@@ -10,14 +10,17 @@ How buckets are searched without pairing everything in them: exact copies fold
 into one representative first. In each bucket the documents are compared with
 one hub; what joins a hub's component needs no further comparison inside it.
 Only documents of one bucket that are still in different components are then
-compared with each other, after large buckets have been cut by further bands.
+compared with each other, block by block; a large bucket of mostly unlike
+documents is cut by further bands first. No pair of a bucket is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +34,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75  # per cent
 SLOTS = 128
 BAND_SLOTS = 4  # 32 bands: a pair at 0.75 shares none with probability 5e-6
-# Members of one bucket that are compared with each other directly; larger
-# buckets are cut by further bands first (see ``_rest``).
-SMALL_BUCKET = 24
-EXTRA_CUTS = 3
+# How what is left in a bucket is compared (see ``_compared``).
+SMALL_BUCKET = 8
+BLOCK_ROWS = 128
+CUT_STRAYS = 512
 
 _STEP_BITS = U64(56)
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -164,76 +167,96 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def _all(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, links)
+
+
 def _with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "key", F.coalesce("component", "doc_id").alias("component"))
 
 
-def _mixed_buckets(rows: DataFrame) -> DataFrame:
-    """Buckets that hold more than one component: their size and their hub.
+def _compared(texts: DataFrame, now: DataFrame, cut: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links between components that meet in a bucket, and the buckets left to cut.
 
-    The hub is the document with the least hash of (bucket, document), so that
-    the buckets of a large group try different members of it.
+    ``now``: (key, doc_id, component). Buckets of one component are done. In a
+    bucket of at most SMALL_BUCKET documents each pair across components is
+    compared (buckets of the same documents once). Larger buckets are taken
+    together if their largest component is the same: the documents outside it
+    (strays) meet all documents, block by block (``_strays``). If ``cut``, a
+    bucket that is mostly strays, and more than CUT_STRAYS, is left to be cut.
     """
-    hub = F.min(F.struct(F.xxhash64("key", "doc_id"), "doc_id", "component"))
-    return rows.groupBy(F.col("key").alias("k")).agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("c_1"), F.max("component").alias("c_2"),
-        hub.alias("hub")).where("c_1 <> c_2").select(
-        "k", "size", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("hub_component"))
-
-
-def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """Each document of a mixed bucket with the bucket's hub, if in another component."""
-    return rows.join(_mixed_buckets(rows), F.col("key") == F.col("k")).where("component <> hub_component").select(
-        F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
-
-
-class _Search:
-    """The links found so far and the components they make."""
-
-    def __init__(self, texts: DataFrame, bands: DataFrame):
-        self.texts, self.bands = texts, bands
-        self.links: DataFrame | None = None
-        self.groups = texts.sparkSession.createDataFrame([], "node long, component long")
-
-    def add(self, links: DataFrame) -> None:
-        if links.isEmpty():
-            return
-        self.links = links if self.links is None else self.links.union(links)
-        self.groups = components(self.links)
-
-    def compare(self, pairs: DataFrame) -> None:
-        self.add(_confirmed(self.texts, pairs))
-
-    def rest(self, rows: DataFrame) -> None:
-        """Compare what the hubs left in different components of one bucket.
-
-        Buckets of at most SMALL_BUCKET documents: each pair across components.
-        Larger ones are cut: a document's new keys are the bucket's key with
-        each of its bands, where a similar pair meets again (it shares about ten
-        of the 32), and a hub is tried in each part. After EXTRA_CUTS cuts what
-        is left is compared pair by pair, whatever its size: nothing is lost.
-        """
-        for cut in range(EXTRA_CUTS + 1):
-            now = materialise(_with_component(rows, self.groups), "buckets")
-            mixed = _mixed_buckets(now).select("k", "size")
-            left = materialise(now.join(mixed, F.col("key") == F.col("k")).drop("k"), "mixed")
-            discard(now)
-            small = left if cut == EXTRA_CUTS else left.where(F.col("size") <= SMALL_BUCKET)
-            other = small.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
-            self.compare(small.join(other, (F.col("key") == F.col("k")) & (F.col("doc_id") > F.col("b"))
-                                    & (F.col("component") != F.col("c_b")))
-                         .select(F.col("doc_id").alias("a"), "b").distinct())
-            large = left.where(F.col("size") > SMALL_BUCKET).select("key", "doc_id")
-            if cut == EXTRA_CUTS or large.isEmpty():
-                break
-            rows = materialise(
-                large.join(self.bands, "doc_id").select("doc_id", "key", F.explode("bands").alias("band"))
-                .select("doc_id", F.xxhash64("key", "band").alias("key")), "bands")
-            discard(left)
-            now = materialise(_with_component(rows, self.groups), "buckets")
-            self.compare(_hub_pairs(now))
-            discard(now)
+    parts = now.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
+    mixed = parts.groupBy(F.col("key").alias("k")).agg(
+        F.sum("n").alias("size"), F.bit_xor("members").alias("members"),
+        F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
+        "k", "size", "members", F.col("top.component").alias("largest"), (F.col("size") - F.col("top.n")).alias("strays"))
+    left = materialise(now.join(mixed, F.col("key") == F.col("k")).drop("k"), "mixed")
+    small = left.where(F.col("size") <= SMALL_BUCKET)
+    # buckets of the same documents (bands of one pair) fold into the first
+    once = small.groupBy(F.col("size").alias("s"), F.col("members").alias("m")).agg(F.min("key").alias("k"))
+    small = small.join(once, (F.col("key") == F.col("k")) & (F.col("size") == F.col("s"))
+                       & (F.col("members") == F.col("m")), "left_semi")
+    other = small.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
+    pairs = small.join(other, (F.col("key") == F.col("k")) & (F.col("doc_id") > F.col("b"))
+                       & (F.col("component") != F.col("c_b"))).select(F.col("doc_id").alias("a"), "b").distinct()
+    many = (F.col("strays") > CUT_STRAYS) & (2 * F.col("strays") > F.col("size")) if cut else F.lit(False)
+    large = left.where((F.col("size") > SMALL_BUCKET) & ~many)
+    links = [_confirmed(texts, pairs), _strays(texts, large.select("largest", "doc_id", "component").distinct())]
+    return links, left.where((F.col("size") > SMALL_BUCKET) & many).select("key", "doc_id") if cut else None
+
+
+def _strays(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between strays and documents of other components.
+
+    ``rows``: (largest, doc_id, component). Documents are dealt into blocks, and
+    strays once more as strays; each block of strays meets each block of
+    documents, so that a task holds two blocks at a time.
+    """
+    rows = materialise(rows, "large")
+    stray = F.col("component") != F.col("largest")
+    sizes = rows.groupBy(F.col("largest").alias("g")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("long").alias("blocks"),
+        F.ceil(F.count_if(stray) / F.lit(BLOCK_ROWS)).cast("long").alias("stray_blocks")).where("stray_blocks > 0")
+    met = rows.join(sizes, F.col("largest") == F.col("g"))
+    at = F.xxhash64("doc_id")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    base = [F.col("g"), F.col("doc_id"), F.col("component")]
+    members = met.select(*base, F.lit(False).alias("stray"), F.pmod(at, "blocks").alias("block"),
+                         F.explode(each("stray_blocks")).alias("stray_block"))
+    strays = met.where(stray).select(*base, F.lit(True).alias("stray"), F.explode(each("blocks")).alias("block"),
+                                     F.pmod(at, "stray_blocks").alias("stray_block"))
+    dealt = members.union(strays.select(*members.columns))
+    whole = dealt.join(texts.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).drop("d")
+    return materialise(whole.groupBy("g", "block", "stray_block").applyInPandas(_compare_strays, "a long, b long"), "links")
+
+
+def _compare_strays(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["stray", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    texts = [(t or "").encode() for t in pdf["text"]]
+    sets: list[np.ndarray] = []
+    for part in slices(texts, 2_000_000):
+        sets += shingle_sets(texts[part], SHINGLE_WORDS)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values = np.concatenate(sets) if sets else np.empty(0, U64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    component = pdf["component"].to_numpy(np.int64).copy()
+    ids = pdf["doc_id"].to_numpy(np.int64)
+    found: list[tuple[int, int]] = []
+    for i in range(int(pdf["stray"].sum())):
+        low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        times = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
+        both = np.bincount(owner[at], minlength=len(sets))
+        alike = np.flatnonzero(100 * both >= SIMILARITY * (sizes[i] + sizes - both))
+        for j in alike[component[alike] != component[i]].tolist():
+            if component[j] != component[i] and ids[i] != ids[j]:
+                found.append((int(ids[i]), int(ids[j])))
+                component[component == component[j]] = component[i]
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -269,23 +292,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     meeting = rows.select(F.col("doc_id").alias("d")).distinct()
     texts = materialise(docs.join(meeting, F.col("doc_id") == F.col("d"), "left_semi"), "texts")
 
-    search = _Search(texts, bands)
     # a doc_id on rows with different texts ties their groups together
     again = copies.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("x")).union(
-        copies.select("a").join(classes.select(F.col("rep").alias("a")), "a", "left_semi")).distinct()
-    search.add(copies.join(again, F.col("a") == F.col("x"), "left_semi"))
+        copies.select(F.col("a").alias("x")).join(classes.select(F.col("rep").alias("x")), "x", "left_semi"))
+    links = [copies.join(again, F.col("a") == F.col("x"), "left_semi")]
     # one comparison per document first: with the least of its buckets' hubs
-    search.compare(rows.where("hub < doc_id").groupBy("doc_id").agg(F.min("hub").alias("b"))
-                   .select(F.col("doc_id").alias("a"), "b"))
-    now = materialise(_with_component(rows, search.groups), "buckets")
-    search.compare(_hub_pairs(now))
-    discard(now)
-    search.rest(rows.drop("hub"))
+    links.append(_confirmed(texts, rows.where("hub < doc_id").groupBy("doc_id").agg(F.min("hub").alias("b"))
+                            .select(F.col("doc_id").alias("a"), "b")))
+    groups = components(_all(links))
+    rows = rows.drop("hub")
+    for cut in (True, False):
+        found, large = _compared(texts, materialise(_with_component(rows, groups), "buckets"), cut)
+        new = materialise(_all(found), "links")
+        if not new.isEmpty():
+            links.append(new)
+            groups = components(_all(links))
+        if not cut or large.isEmpty():
+            break
+        # A similar pair meets again in the bucket's key with another band (it
+        # shares about ten of the 32); texts that share only a passage part.
+        rows = large.join(bands, "doc_id").select("doc_id", "key", F.explode("bands").alias("band")) \
+            .select("doc_id", F.xxhash64("key", "band").alias("key"))
 
     # a copy hangs on its representative, whose component is final
-    copied = copies.join(search.groups, F.col("b") == F.col("node"), "left").select(
+    copied = copies.join(groups, F.col("b") == F.col("node"), "left").select(
         F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
-    groups = search.groups.union(copied).groupBy("node").agg(F.min("component").alias("component"))
+    groups = groups.union(copied).groupBy("node").agg(F.min("component").alias("component"))
     found = features.select("doc_id", "n_shingles").join(groups, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
