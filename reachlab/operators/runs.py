@@ -8,6 +8,7 @@ map<string,string>, config map<string,string>)``; per-step metrics are rows of
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -50,22 +51,33 @@ def ascii_safe(c: Column) -> Column:
     return F.when(c.isNull(), None).when(t == "", F.lit(EMPTY_NAME)).otherwise(t)
 
 
+def _safe(v: str | None) -> str | None:
+    """I2 for one Python string (higher-order functions cannot hold a Python UDF)."""
+    if v is None:
+        return None
+    v = unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
+    return re.sub(r"\s+", " ", v).strip(STRIP_CHARS) or EMPTY_NAME
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _safe_list(s: pd.Series) -> pd.Series:
+    return s.map(lambda values: None if values is None else [_safe(v) for v in values])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkd_ascii_list(s: pd.Series) -> pd.Series:
-    """``_nfkd_ascii`` of each element of a list."""
-    return s.map(lambda values: None if values is None else [
-        None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
-        for v in values])
+def _safe_keys(keys: pd.Series) -> pd.Series:
+    return keys.map(lambda ks: None if ks is None else list(dict.fromkeys(_safe(k) for k in ks)))
 
 
-def _clean(t: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ \-_·]+|[ \-_·]+$", "")
-    return F.when(t == "", F.lit(EMPTY_NAME)).otherwise(t)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _safe_values(keys: pd.Series, values: pd.Series) -> pd.Series:
+    return pd.Series([None if ks is None else list({_safe(k): _safe(v) for k, v in zip(ks, vs)}.values())
+                      for ks, vs in zip(keys, values)], dtype=object)
 
 
 def ascii_safe_list(c: Column) -> Column:
     """I2 applied to the elements of an array<string>; NULL stays NULL."""
-    return F.transform(_nfkd_ascii_list(c), _clean)
+    return _safe_list(c)
 
 
 def ascii_safe_map(c: Column) -> Column:
@@ -73,11 +85,8 @@ def ascii_safe_map(c: Column) -> Column:
 
     Keys that become equal keep the last entry, as assigning them in order would.
     """
-    keys, values = ascii_safe_list(F.map_keys(c)), ascii_safe_list(F.map_values(c))
-    entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"]))
-    return F.when(c.isNotNull(), F.map_from_entries(last))
+    keys, values = F.map_keys(c), F.map_values(c)
+    return F.map_from_arrays(_safe_keys(keys), _safe_values(keys, values))
 
 
 def fmt(x: Column) -> Column:

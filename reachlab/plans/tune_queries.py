@@ -262,6 +262,12 @@ def ascii_safe(spark, sf_dir):
     return runs.select("id", F.col("name").alias("raw_name"), R.ascii_safe(F.col("name")).alias("safe_name"))
 
 
+@register("ascii_safe_maps")
+def ascii_safe_maps(spark, sf_dir):
+    """I2 on maps: every run's config with safe keys and values, one row per entry."""
+    return _runs(spark, sf_dir).select("id", F.explode(R.ascii_safe_map(F.col("config"))).alias("key", "value"))
+
+
 @register("recent_runs", with_raw(_RUNS + """
 SELECT id, safe_name AS name, model, job_type, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, state,
        n_summary, n_config FROM recent"""))

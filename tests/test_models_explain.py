@@ -155,3 +155,13 @@ def test_run_sink_roundtrip(spark):
     R.append_run_metrics(R.run_metrics(trials), mpath)
     steps = {(r["step"], r["metric"]): r["value"] for r in spark.read.parquet(mpath).collect()}
     assert steps[(1, "best_so_far")] == 0.5 and steps[(0, "trial_score")] == 0.4
+
+
+def test_ascii_safe_maps_and_lists(spark):
+    entries = ["Réponse", " café · ", "Reponse", "x", "é  è", "日本"]
+    df = spark.createDataFrame([(1, ["Ünïx", None, "·"]), (2, None)], "i int, l array<string>").withColumn(
+        "m", F.when(F.col("i") == 1, F.create_map(*[F.lit(e) for e in entries])))
+    got = df.select("i", R.ascii_safe_map(F.col("m")).alias("m"), R.ascii_safe_list(F.col("l")).alias("l")) \
+        .orderBy("i").collect()
+    assert got[0]["m"] == {"Reponse": "x", "e e": "run"} and got[0]["l"] == ["Unix", None, "run"]
+    assert got[1]["m"] is None and got[1]["l"] is None
