@@ -40,8 +40,9 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         .select("doc_id", "row", "w.*"), "windows")
     # a missing id comes last
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"), F.col("i"))
-    first = windows.groupBy(F.col("h_1").alias("f_1"), F.col("h_2").alias("f_2")).agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join below deals both sides and Spark can split a hot window
+    first = materialise(windows.groupBy(F.col("h_1").alias("f_1"), F.col("h_2").alias("f_2")).agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     later = windows.join(first, (F.col("h_1") == F.col("f_1")) & (F.col("h_2") == F.col("f_2"))) \
         .where(place > F.col("first"))
     return later.select("doc_id", "row", F.explode("covers").alias("at")).groupBy("doc_id", "row").agg(

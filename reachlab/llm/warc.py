@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import new_folder
+from .common import materialise, new_folder
 from .files import list_files, locate, make_folder, open_for_reading, open_for_writing, remove
 
 PARTITION_BYTES = 64 << 20
@@ -363,8 +363,9 @@ def write_pages(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    shared = rows.where(F.col("bytes") >= LEAST_SHARED_BYTES).groupBy(F.col("digest").alias("d")).agg(
-        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join deals both sides and Spark can split a hot payload
+    shared = materialise(rows.where(F.col("bytes") >= LEAST_SHARED_BYTES).groupBy(F.col("digest").alias("d")).agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "payloads")
     met = rows.join(shared, F.col("digest") == F.col("d"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     name = lambda c: F.concat(F.lit(_PAGE), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
