@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,10 @@ def with_new_columns(df: DataFrame, names: list[str]) -> DataFrame:
 def rows_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns, in that order; extra input columns play no part."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, for work on Python copies of texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

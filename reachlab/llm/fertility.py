@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, rows_of
+from .common import materialise, small_batches
 from .hashing import SPACE, U64, Words, mix, slices
 
 MIN_WORDS = 50
@@ -158,9 +158,9 @@ def _measures(piece_path: str, rank_path: str):
         if key not in _FERTILITY:
             _FERTILITY[key] = Fertility(*key)
         fertility = _FERTILITY[key]
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [(t or "").encode() for t in batch.column(3).to_pylist()]
-            for part in slices(texts, 2_000_000):
+            for part in slices(texts):
                 some = texts[part]
                 columns = shape(some)
                 yield pa.RecordBatch.from_arrays(

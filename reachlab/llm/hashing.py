@@ -127,8 +127,12 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return [np.unique(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def slices(texts: list[bytes], limit: int = 4_000_000) -> Iterator[slice]:
-    """Consecutive slices of about ``limit`` bytes, so that work arrays stay small."""
+def slices(texts: list[bytes], limit: int = 500_000) -> Iterator[slice]:
+    """Consecutive slices of about ``limit`` bytes, so that work arrays stay small.
+
+    The arrays take some 100 bytes for each byte of text; a text above the limit
+    is a slice of its own.
+    """
     begin, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, rows_of
+from .common import discard, materialise, rows_of, small_batches
 from .components import components
 from .hashing import U64, Words, mix, shingle_sets, shingles, slices, stream
 
@@ -104,10 +104,10 @@ _FEATURES = T.StructType([
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         ids = batch.column(0)
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        for part in slices(texts, 2_000_000):
+        for part in slices(texts):
             some = texts[part]
             words = Words(some)
             values, docs = shingles(words, words.hashes(fold=True), SHINGLE_WORDS)
@@ -133,7 +133,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         left = [(t or "").encode() for t in batch.column(2).to_pylist()]
         right = [(t or "").encode() for t in batch.column(3).to_pylist()]
         keep = np.zeros(len(left), dtype=bool)
@@ -236,7 +236,7 @@ def _compare_strays(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["stray", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
     texts = [(t or "").encode() for t in pdf["text"]]
     sets: list[np.ndarray] = []
-    for part in slices(texts, 2_000_000):
+    for part in slices(texts):
         sets += shingle_sets(texts[part], SHINGLE_WORDS)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     values = np.concatenate(sets) if sets else np.empty(0, U64)
