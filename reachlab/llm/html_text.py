@@ -24,6 +24,7 @@ SHARE = 0.12  # of the best path's fused ratio that content needs
 INSIDE_ARTICLE = 8.0  # evidence of <article>, <main> or such a class above a path
 
 # Fixed values of HTML: elements without an end tag, inline elements, raw text.
+_IN_HEAD = set("base link meta title script style noscript template".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
               "strike strong sub sup time tt u var wbr br img".split())
@@ -117,8 +118,14 @@ def blocks(source: str) -> list[Block]:
                     break  # a stray end tag of an inline element
             continue
         if tag == "br":
-            text(" ") if now else None
+            if now is not None:
+                text(" ")
             continue
+        if tag not in _IN_HEAD:  # anything else ends a head that is still open
+            for i, (open_tag, _, _) in enumerate(stack):
+                if open_tag == "head":
+                    close(i)
+                    break
         ends = set(_CLOSES.get(tag, ()))
         if tag in _ENDS_P:
             ends.add("p")

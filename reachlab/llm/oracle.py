@@ -16,8 +16,9 @@ WITH a AS (
   SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(h1|p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
 c AS (
-  SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(
-    x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(replace(
+    x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', ' '),
+    '&amp;?', '&', 'g') AS x
   FROM b),
 d AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d

@@ -244,6 +244,8 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     ("<main><p>x &lt;b&gt; y</p><form><input><p>Mail, please.</p></form><script>if (a<b) {}</script></main>", "x <b> y"),
     ("plain text, without tags", "plain text, without tags"),
     ("<div hidden><p>no, no.</p></div><p>yes, yes.", "yes, yes."),
+    ("<head><title>no</title><p>Open, head.</p><p>More, text.", "Open, head. More, text."),
+    ("<html><head><meta x><body><p>a&nbsp;b, c.</p><div class='post-meta ad'>x, y.</div>", "a b, c."),
     ("", ""),
 ])
 def test_main_text(source, want):
