@@ -176,13 +176,13 @@ def campaign_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_campaign_file(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame:
     """A1: load the raw table from a tab-separated file with header, or parquet.
 
-    An explicit schema avoids an inference pass over the whole file. NaN in
-    floating columns becomes NULL so that later operators see one kind of
-    missing value.
+    An explicit schema avoids an inference pass over the whole file. A line that
+    does not fit it fails the read instead of becoming NULLs. NaN in floating
+    columns becomes NULL so that later operators see one kind of missing value.
     """
     if fmt in ("tsv", "csv"):
         sep = "\t" if fmt == "tsv" else ","
-        df = spark.read.csv(path, sep=sep, header=True, schema=RAW_SCHEMA, mode="PERMISSIVE")
+        df = spark.read.csv(path, sep=sep, header=True, schema=RAW_SCHEMA, mode="FAILFAST")
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:

@@ -115,3 +115,15 @@ def test_variable_kind_rules(spark):
                                "flag int, small double, cont double, cnt int")
     kinds = {r["feature"]: r["kind"] for r in profile.variable_kind(df, ["flag", "small", "cont", "cnt"]).collect()}
     assert kinds == {"flag": "pie", "small": "bar", "cont": "continuous", "cnt": "bar"}
+
+
+def test_malformed_line_fails_the_read(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from reachlab.sources.campaign import RAW_COLUMNS, read_campaign_file
+    good = ["1"] * len(RAW_COLUMNS)
+    bad = ["1", "not a year", *["1"] * (len(RAW_COLUMNS) - 2)]
+    (tmp_path / "x.tsv").write_text("\n".join("\t".join(r) for r in (RAW_COLUMNS, good, bad)) + "\n")
+    with pytest.raises(Exception) as e:
+        read_campaign_file(spark, str(tmp_path / "x.tsv")).collect()
+    assert isinstance(e.value, PySparkException) or "MALFORMED" in str(e.value).upper()
