@@ -179,25 +179,24 @@ def _with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def _compared(texts: DataFrame, now: DataFrame, cut: bool) -> tuple[list[DataFrame], DataFrame | None]:
     """Links between components that meet in a bucket, and the buckets left to cut.
 
-    ``now``: (key, doc_id, component). Buckets of one component are done. In a
+    ``now``: (key, doc_id, component), each once. Buckets of one component are done. In a
     bucket of at most SMALL_BUCKET documents each pair across components is
     compared (buckets of the same documents once). Larger buckets are taken
     together if their largest component is the same: the documents outside it
     (strays) meet all documents, block by block (``_strays``). If ``cut``, a
     bucket that is mostly strays, and more than CUT_STRAYS, is left to be cut.
     """
-    parts = now.groupBy("key", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
+    parts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy(F.col("key").alias("k")).agg(
-        F.sum("n").alias("size"), F.bit_xor("members").alias("members"),
-        F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
-        "k", "size", "members", F.col("top.component").alias("largest"), (F.col("size") - F.col("top.n")).alias("strays"))
+        F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"),
+        F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
+        "k", "size", F.col("top.component").alias("largest"), (F.col("size") - F.col("top.n")).alias("strays"))
     left = materialise(now.join(mixed, F.col("key") == F.col("k")).drop("k"), "mixed")
     small = left.where(F.col("size") <= SMALL_BUCKET)
     # buckets of the same documents (bands of one pair) fold into the first
-    once = small.groupBy(F.col("size").alias("s"), F.col("members").alias("m")).agg(F.min("key").alias("k"))
-    small = small.join(once, (F.col("key") == F.col("k")) & (F.col("size") == F.col("s"))
-                       & (F.col("members") == F.col("m")), "left_semi")
+    once = small.groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("members")) \
+        .groupBy("members").agg(F.min("key").alias("k"))
+    small = small.join(once, F.col("key") == F.col("k"), "left_semi")
     other = small.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
     pairs = small.join(other, (F.col("key") == F.col("k")) & (F.col("doc_id") > F.col("b"))
                        & (F.col("component") != F.col("c_b"))).select(F.col("doc_id").alias("a"), "b").distinct()
@@ -285,7 +284,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     bands = usable.join(classes.select(F.col("rep").alias("r")), F.col("doc_id") == F.col("r"), "left_semi") \
         .select("doc_id", "bands")
-    rows = bands.select("doc_id", F.explode("bands").alias("key"))
+    # rows that repeat a doc_id are one member of a bucket
+    rows = bands.select("doc_id", F.explode("bands").alias("key")).distinct()
     buckets = rows.groupBy(F.col("key").alias("k")).agg(
         F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     rows = materialise(rows.join(buckets, F.col("key") == F.col("k")).select("doc_id", "key", "hub"), "buckets")
@@ -312,7 +312,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         # A similar pair meets again in the bucket's key with another band (it
         # shares about ten of the 32); texts that share only a passage part.
         rows = large.join(bands, "doc_id").select("doc_id", "key", F.explode("bands").alias("band")) \
-            .select("doc_id", F.xxhash64("key", "band").alias("key"))
+            .select("doc_id", F.xxhash64("key", "band").alias("key")).distinct()
 
     # a copy hangs on its representative, whose component is final
     copied = copies.join(groups, F.col("b") == F.col("node"), "left").select(

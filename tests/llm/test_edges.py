@@ -74,6 +74,23 @@ def test_a_repeated_id_ties_groups(spark):
     assert got == {1: 1, 2: 1, 5: 1, 6: 1}
 
 
+@pytest.mark.parametrize("times", [2, 4])
+def test_near_texts_on_repeated_rows(spark, times):
+    """Chains of near texts, in which the first compared is too far from the last."""
+    texts = {}
+    for chain in range(40):
+        w = [f"c{chain}_{i}" for i in range(80)]
+        for step in range(4):
+            texts[1000 * step + chain] = " ".join(w)
+            w[15 * step + 3] = f"e{chain}_{step}"
+            w[15 * step + 9] = f"f{chain}_{step}"
+    got = H.rows(minhash.near_duplicates(H.documents(spark, list(texts.items()) * times)))
+    assert len(got) == times * len(texts)
+    want = H.near_groups(texts)
+    assert {k: c for k, (_, c) in want.items()} == {r["doc_id"]: r["component_id"] for r in got}
+    assert any(c % 1000 != k for k, (_, c) in want.items())
+
+
 def test_mixing(spark, docs, empty):
     got = H.rows(mixing.mix_sources(docs).taken())
     assert len(got) == len(ROWS) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
