@@ -2,7 +2,7 @@
 
 Fertility of a document: characters per token under two public vocabularies, the
 share of byte-fallback tokens, and the entropy of its tokens. A document is
-rejected outside a band, which is set per language from all documents.
+rejected outside a band, which is set per language from its distinct texts.
 """
 
 from __future__ import annotations
@@ -201,12 +201,14 @@ def _quartiles(measured: DataFrame) -> DataFrame:
     """Median and quartiles of each measure per language, from counts on a fixed grid.
 
     The counts cover all documents that pass the base rules, do not depend on
-    the order of rows, and are a bounded number of rows per language.
+    the order of rows, and are a bounded number of rows per language. A text
+    counts once per language, however many rows hold it (told by ``row``).
     """
     pairs = F.explode(F.array(*[
         F.struct(F.lit(name).alias("measure"), F.round(F.col(name) / band.bin).cast("long").alias("at"))
         for name, band in BANDS.items()])).alias("m")
-    counts = measured.where("not base_failed").select("lang_key", pairs).groupBy(
+    texts = measured.where("not base_failed").groupBy("lang_key", "row").agg(*[F.min(c).alias(c) for c in BANDS])
+    counts = texts.select("lang_key", pairs).groupBy(
         "lang_key", "m.measure", "m.at").agg(F.count(F.lit(1)).alias("n"))
     # a short sorted list per language and measure: the grid bounds its length
     grid = counts.groupBy("lang_key", "measure").agg(
@@ -247,7 +249,8 @@ def quality(documents: DataFrame, piece_path: str | None = None, rank_path: str
     base_failed: fewer than 50 words, or more than half of them in repeated
     three-word windows. Otherwise ``kept`` says whether every measure lies in
     its language's band. Null texts have no words and fail; a missing language
-    is a language of its own. Rows that repeat count as often as they occur.
+    is a language of its own. The bands count each distinct text of a language
+    once; rows that repeat are judged, and returned, as often as they occur.
     Columns other than the three play no part. An empty table gives an empty one.
     """
     if piece_path is None or rank_path is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,21 @@ def test_quality(spark, docs, empty):
     assert fertility.quality(empty).count() == 0
 
 
+def test_copies_do_not_set_the_bands(spark):
+    """One atypical text on four fifths of a language's rows."""
+    rng = random.Random(8)
+    short, long = "the of and to in is it on at by as we he".split(), "government important different information".split()
+    text = lambda share: " ".join(
+        rng.choice(long if rng.random() < share else short) + f"{rng.choice('abcdefgh')}" * rng.randint(0, 1)
+        for _ in range(150))
+    clean = [(i, text(rng.uniform(0.3, 0.8))) for i in range(60)]
+    odd = text(0.0)
+    alone = {r["doc_id"]: r["kept"] for r in H.rows(fertility.quality(H.documents(spark, [*clean, (1000, odd)])))}
+    got = H.rows(fertility.quality(H.documents(spark, clean + [(1000 + i, odd) for i in range(240)])))
+    assert len(got) == 300 and sum(alone[i] for i, _ in clean) >= 58
+    assert {r["doc_id"]: r["kept"] for r in got if r["doc_id"] <= 1000} == alone
+
+
 def test_secrets(spark, docs, empty):
     more = docs.unionByName(H.documents(spark, [(30, 'x PASSWORD: "abc123" ſecret=abcdef AKIA' + "A" * 16 + " " + "f" * 24),
                                                 (31, "password=abc12 AKIA123 " + "0123456789abcdef" * 2)], CLASH))
