@@ -1,8 +1,10 @@
 """Secrets in texts: fixed patterns, and character Markov models for the rest.
 
-A long run of letters and digits is scored under Markov models of random strings
-(one per alphabet) and one of ordinary identifiers. It is a secret if the log
-likelihood ratio per character is above a threshold. The identifiers' model is
+A run of letters, digits and separators is scored under Markov models of random
+strings (one per alphabet) and one of ordinary identifiers. It is a secret if the
+log likelihood ratio per character is above a threshold. If the whole run is not,
+its parts between separators are scored alone, and then the stretches of the run
+whose ratios add up to the most. The identifiers' model is
 trained on words of a bounded sample of documents, the random models on drawn
 strings; both samples carry their labels by construction.
 """
@@ -24,6 +26,8 @@ TRAINING_DOCUMENTS = 2000
 RANDOM_STRINGS = 3000  # per alphabet
 THRESHOLD = 0.8  # nats per character
 LEAST_LENGTH = 16
+STRONG = 20.0  # nats of a stretch, whatever its length
+NUMBER = 8  # so many digits in a row are a number, and no part of a stretch
 SEED = 9
 
 # The base patterns.
@@ -36,7 +40,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _N = len(_SYMBOLS)
-_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}={{0,2}}")
+_SEPARATORS = np.flatnonzero([not c.isalnum() for c in _SYMBOLS])
+_PART = re.compile(r"[A-Za-z0-9]+")
+_NUMBER = re.compile(rf"[0-9]{{{NUMBER},}}")
 _WORD = re.compile(r"[A-Za-z0-9+/_-]{2,}")
 _CODE = np.full(128, -1, dtype=np.int64)
 _CODE[np.frombuffer(_SYMBOLS.encode(), np.uint8)] = np.arange(_N)
@@ -85,15 +91,102 @@ def log_ratio(run: str, random: np.ndarray, ordinary: np.ndarray) -> float:
     return float((random[:, before, codes].sum(axis=1).max() - ordinary[before, codes].sum()) / len(codes))
 
 
-def random_runs(text: str, random: np.ndarray, ordinary: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of runs that look random: letters and digits mixed, ratio above the threshold."""
+def _codes(run: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a run and the symbol before each, a separator standing for the start of a word."""
+    codes = _CODE[np.frombuffer(run.encode(), np.uint8)]
+    before = np.concatenate([[_N], codes[:-1]])
+    before[np.isin(before, _SEPARATORS)] = _N
+    return codes, before
+
+
+def _best_stretch(gains: np.ndarray) -> tuple[float, int, int]:
+    """(sum, start, end) of the stretch with the greatest sum of any row of ``gains``."""
+    total = np.concatenate([np.zeros((len(gains), 1)), np.cumsum(gains, axis=1)], axis=1)
+    low = np.minimum.accumulate(total, axis=1)
+    k, end = np.unravel_index(np.argmax(total - low), total.shape)
+    return float(total[k, end] - low[k, end]), int(np.argmin(total[k, : end + 1])), int(end)
+
+
+def _stretches(run: str, random: np.ndarray, ordinary: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Random parts and stretches of a run that is not random as a whole."""
+    free = []  # what numbers and random parts leave of the run
+    at = 0
+    taken = [(m.start(), m.end(), False) for m in _NUMBER.finditer(run)]
+    for m in _PART.finditer(run):
+        if m.end() - m.start() >= LEAST_LENGTH and not m.group().isdigit() \
+                and log_ratio(m.group(), random, ordinary) > THRESHOLD:
+            taken = [t for t in taken if not m.start() <= t[0] < m.end()] + [(*m.span(), True)]
+    for a, b, secret in sorted(taken):
+        free.append((at, a))
+        at = b
+        if secret:
+            yield a, b
+    free.append((at, len(run)))
+    codes, before = _codes(run)
+    gains = random[:, before, codes] - ordinary[before, codes]
+    of = np.isin(codes, _SEPARATORS)
+    gains[:, of] = np.minimum(gains[:, of], 0.0)  # separators speak for neither
+    while free:
+        low, high = free.pop()
+        if low >= high:
+            continue
+        # above the threshold per character, as each is charged with it
+        _, a, b = _best_stretch(gains[:, low:high] - THRESHOLD)
+        a, b = low + a, low + b
+        if a >= b:
+            continue
+        if gains[:, a:b].sum(axis=1).max() >= STRONG and any(c.isalpha() for c in run[a:b]):
+            yield a, b
+        elif b - a == high - low:
+            continue
+        free += [(low, a), (b, high)]
+
+
+def _worth(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """The most that a pair of symbols can add to a run's or a stretch's ratio, at least 0."""
+    most = np.maximum((random - ordinary).max(axis=0), 0.0)
+    most[_SEPARATORS] = np.maximum(most[_SEPARATORS], most[_N])
+    return most
+
+
+def _candidates(text: str, worth: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of symbols that could hold a secret: all others cannot reach the least sum."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(points < 128, _CODE[np.minimum(points, 127)], -1)
+    inside = np.concatenate([[False], codes >= 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return []
+    before = np.concatenate([[_N], codes[:-1]])
+    before[starts] = _N
+    total = np.concatenate([[0.0], np.cumsum(np.where(codes >= 0, worth[before, codes], 0.0))])
+    least = min(STRONG, THRESHOLD * LEAST_LENGTH)
+    some = total[ends] - total[starts] >= least - 1e-6
+    return list(zip(starts[some].tolist(), ends[some].tolist(), strict=True))
+
+
+def random_runs(text: str, random: np.ndarray, ordinary: np.ndarray,
+                worth: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spans that look random: whole runs, parts or stretches of them; not plain numbers.
+
+    A run or a part needs LEAST_LENGTH characters and a ratio above THRESHOLD a
+    character; any stretch, however short, that ratio and STRONG nats.
+    """
     found = []
-    for m in _RUN.finditer(text):
-        run = m.group().rstrip("=")
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) \
-                and log_ratio(run, random, ordinary) > THRESHOLD:
-            found.append(m.span())
-    return found
+    for low, high in _candidates(text, _worth(random, ordinary) if worth is None else worth):
+        run = text[low:high]
+        if not any(c.isalpha() for c in run):
+            continue
+        more = 0
+        while more < 2 and text[high + more: high + more + 1] == "=":
+            more += 1
+        if len(run) >= LEAST_LENGTH and log_ratio(run, random, ordinary) > THRESHOLD:
+            found.append((low, high + more))
+        else:
+            found += [(low + a, low + b + (more if b == len(run) else 0))
+                      for a, b in _stretches(run, random, ordinary)]
+    return sorted(found)
 
 
 def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +224,13 @@ _RESULT = T.StructType([
 def _find(random: np.ndarray, ordinary: np.ndarray):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = (*KINDS, "markov")
+        worth = _worth(random, ordinary)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 base = base_spans(text)
-                more = [(a, 3, b) for a, b in random_runs(text, random, ordinary)
+                more = [(a, 3, b) for a, b in random_runs(text, random, ordinary, worth)
                         if not any(a < y and x < b for x, _, y in base)]
                 say = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
                 rows.append((doc_id, *(sum(k == i for _, k, _ in base) for i in range(3)),

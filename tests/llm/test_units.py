@@ -234,6 +234,38 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert hit > 0.97 and false < 0.03
 
 
+def test_secrets_of_letters_and_behind_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ordinary, drawn = markov_secrets.ordinary_model(docs), markov_secrets.random_models()
+    rng = random.Random(6)
+    words = [w for w in sorted({m for r in docs.collect() for m in markov_secrets._WORD.findall(r["text"])})
+             if w.isalpha() and w.islower() and 3 <= len(w) <= 9]
+    some = lambda n: rng.sample(words, n)
+
+    def found(make, n=150):
+        hits = 0
+        for _ in range(n):
+            before, secret, after = make()
+            text = f"{' '.join(some(3))} é {before}{secret}{after} {' '.join(some(3))}"
+            at = text.index(before + secret) + len(before)
+            spans = markov_secrets.random_runs(text, drawn, ordinary)
+            hits += any(a <= at + 3 and at + len(secret) - 3 <= b for a, b in spans)
+        return hits / n
+
+    draw = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    upper, lower, base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", markov_secrets._SYMBOLS[:62]
+    assert found(lambda: ("", draw(upper + lower, 24), "")) > 0.97
+    assert found(lambda: ("", draw(upper, 24), "")) > 0.95 and found(lambda: ("", draw(lower, 24), "")) > 0.8
+    assert found(lambda: ("", draw(base62, 14), "")) > 0.5
+    for by in "-_/":
+        assert found(lambda: (by.join(some(6)) + by, draw(base62, 24), "")) > 0.9  # noqa: B023
+        assert found(lambda: (by.join(some(3)) + by, draw(base62, 24), by + by.join(some(3)))) > 0.9  # noqa: B023
+    plain = [rng.choice("-_/").join(some(rng.randint(1, 7))) for _ in range(500)]
+    plain += ["2024-01-15", "4390-6985-7587-3170", "order-4390698575873170", "43906985758731701234", "-" * 60, "_/+-" * 9]
+    assert sum(bool(markov_secrets.random_runs(x, drawn, ordinary)) for x in plain) <= 5
+    assert not any(markov_secrets.random_runs(x, drawn, ordinary) for x in plain[500:])
+
+
 @pytest.mark.parametrize("source, want", [
     ("<body><nav><a href=x>Home, news.</a></nav><div id=content><p>First &amp; second, long sentence here.</p>"
      "<p>Another  one\n, with <b>bold</b> text.</p></div><div class='sidebar'><p>Other, things.</p></div>"
