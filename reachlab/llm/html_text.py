@@ -3,8 +3,8 @@
 Each text block of a page has a path, the tags from the root to its block. Per
 path, text length and punctuation are summed up and divided by the number of
 nodes; both ratios are smoothed over near paths, fused, and paths above a
-threshold give the content blocks. Elements that never hold the article
-(navigation, scripts, forms, ...) are left out before.
+threshold give the content blocks. Elements that never hold the article (navigation, scripts, ...) are left out before; a suspect name,
+or a form, speaks against what is in it, unless it is a wrapper of the page.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # Parameters of the method.
 SPREAD = 1.0  # of the smoothing over paths, in tree steps
 SHARE = 0.12  # of the best path's fused ratio that content needs
+SUSPECT = 64.0  # evidence of a suspect name or a form against what is in it
+WRAPPER = 4  # a suspect with so many times the other text is a wrapper, if nothing marks the article
 INSIDE_ARTICLE = 8.0  # evidence of <article>, <main> or such a class above a path
 
 # Fixed values of HTML: elements without an end tag, inline elements, raw text.
@@ -29,7 +31,7 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
               "strike strong sub sup time tt u var wbr br img".split())
 _NEVER = set("script style noscript template svg math canvas iframe object audio video head title nav footer aside "
-             "form button select option textarea input dialog menu".split())
+             "button select option textarea input dialog menu".split())
 _RAW = re.compile(r"(script|style|noscript|template|textarea|title|iframe|svg)\b", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
                   r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -49,34 +51,68 @@ _ENDS_P = set("address article aside blockquote details div dl fieldset figcapti
               "h6 header hr main menu nav ol p pre section table ul".split())
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "tbody": {"table"}, "option": {"select"}, "p": set("td th li dd button table".split())}
+_VALUE = re.compile(r"""=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|style\s*=\s*[^>]*?display\s*:\s*none", re.I)
+_ROOTS = {"html", "body", "main"}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟।]")
 
 
+class Node:
+    """An element: whether it is hidden or suspect, and what its article is.
+
+    ``holds``: it is or contains html, body, main or an article; ``marks``: it
+    contains a main, an article, a first heading or a name of such.
+    """
+
+    __slots__ = ("tag", "up", "never", "unseen", "suspect", "article", "holds", "marks", "chars")
+
+    def __init__(self, tag: str, up: Node | None, never: bool, unseen: bool, suspect: bool, article: bool):
+        self.tag, self.up, self.never, self.unseen, self.suspect = tag, up, never, unseen, suspect
+        self.article: Node | None = up.article if up and up.article else self if article else None
+        self.holds = self.marks = False
+        self.chars = 0
+
+    def line(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node:
+            yield node
+            node = node.up
+
+
 class Block:
-    __slots__ = ("path", "parts", "article", "linked")
+    __slots__ = ("path", "parts", "node", "linked", "suspect")
 
-    def __init__(self, path: tuple[str, ...], article: bool):
-        self.path, self.article = path, article
+    def __init__(self, path: tuple[str, ...], node: Node | None):
+        self.path, self.node = path, node
         self.parts: list[str] = []
         self.linked = 0
+        self.suspect = False
+
+    @property
+    def article(self) -> Node | None:
+        return self.node.article if self.node else None
+
+    def line(self) -> Iterator[Node]:
+        return self.node.line() if self.node else iter(())
 
 
 def blocks(source: str) -> list[Block]:
     """The text blocks of a page in order, without those in elements that never hold the article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, hidden, inside an article
+    stack: list[Node] = []
     now: Block | None = None
     links = 0
     at, n = 0, len(source)
 
     def text(raw: str) -> None:
         nonlocal now
-        if not raw or stack and stack[-1][1]:
+        if not raw or stack and stack[-1].never:
             return
         if now is None:
             if raw.isspace():
                 return
-            now = Block(tuple(t for t, _, _ in stack if t not in _INLINE), bool(stack) and stack[-1][2])
+            now = Block(tuple(x.tag for x in stack if x.tag not in _INLINE), stack[-1] if stack else None)
             out.append(now)
         raw = html.unescape(raw)
         now.parts.append(raw)
@@ -85,7 +121,8 @@ def blocks(source: str) -> list[Block]:
 
     def close(to: int) -> None:
         nonlocal now, links
-        for tag, _, _ in stack[to:]:
+        for node in stack[to:]:
+            tag = node.tag
             if tag not in _INLINE:
                 now = None
             elif tag == "a":
@@ -111,10 +148,10 @@ def blocks(source: str) -> list[Block]:
         tag = m[2].lower()
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     close(i)
                     break
-                if tag in _INLINE and stack[i][0] not in _INLINE:
+                if tag in _INLINE and stack[i].tag not in _INLINE:
                     break  # a stray end tag of an inline element
             continue
         if tag == "br":
@@ -122,8 +159,8 @@ def blocks(source: str) -> list[Block]:
                 text(" ")
             continue
         if tag not in _IN_HEAD:  # anything else ends a head that is still open
-            for i, (open_tag, _, _) in enumerate(stack):
-                if open_tag == "head":
+            for i, node in enumerate(stack):
+                if node.tag == "head":
                     close(i)
                     break
         ends = set(_CLOSES.get(tag, ()))
@@ -132,28 +169,52 @@ def blocks(source: str) -> list[Block]:
         if ends:
             stop = _SCOPE.get(tag, set()) | (set() if "p" not in ends else _SCOPE["p"])
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
+                if stack[i].tag in ends:
                     close(i)
                     break
-                if stack[i][0] in stop or stack[i][0] not in _INLINE and stack[i][0] not in ends | {"p"}:
+                if stack[i].tag in stop or stack[i].tag not in _INLINE and stack[i].tag not in ends | {"p"}:
                     break
         if tag not in _INLINE:
             now = None
         if tag in _VOID or m[0].endswith("/>") and not _RAW.match(tag):
             continue
-        hidden, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        up = stack[-1] if stack else None
         names = " ".join(x.strip("\"'") for x in _NAME.findall(m[3])) if m[3] else ""
-        hidden |= tag in _NEVER or tag == "header" and not article or bool(names and _BAD_NAME.search(names)) \
-            or bool(m[3] and re.search(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", m[3], re.I))
-        article |= tag in ("article", "main") or bool(names and _GOOD_NAME.search(names))
+        bad, good = bool(names and _BAD_NAME.search(names)), bool(names and _GOOD_NAME.search(names))
+        unseen = bool(m[3] and (_HIDDEN.search(_VALUE.sub("=", m[3])) or _UNSEEN.search(m[3])))
+        never = bool(up and up.never) or tag in _NEVER or tag == "header" and not (up and up.article)
+        node = Node(tag, up, never, unseen, bad or tag == "form", tag in ("article", "main") or good)
+        inside = any(x.suspect and not x.holds for x in node.up.line()) if up else False
+        # comments may be articles: such a name among suspects holds nothing
+        root = tag in _ROOTS or tag == "article" and not (bad and inside)
+        if root or tag == "h1" or good and not bad:
+            for x in node.line():
+                x.holds |= root
+                x.marks |= tag not in ("html", "body")
         if _RAW.fullmatch(tag):
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.end() if end else n
             continue
         if tag == "a":
             links += 1
-        stack.append((tag, hidden, article))
-    return out
+        stack.append(node)
+    return _seen(out)
+
+
+def _seen(found: list[Block]) -> list[Block]:
+    """The blocks that no element hides; those in suspect elements are marked."""
+    found = [b for b in found if not any(x.unseen and not x.holds for x in b.line())]
+    total, marked = 0, False
+    for b in found:
+        n = len("".join(b.parts).strip())
+        total += n
+        for x in b.line():
+            x.chars += n
+            marked |= x.marks
+    for b in found:
+        b.suspect = any(x.suspect and not x.holds and not x.marks
+                        and (marked or x.chars < WRAPPER * (total - x.chars) or x.chars == 0) for x in b.line())
+    return found
 
 
 def _steps(a: tuple[str, ...], b: tuple[str, ...]) -> int:
@@ -173,22 +234,24 @@ def main_text(source: str) -> str:
         if said:
             found.append((b, said))
     # per path: nodes, characters outside links, punctuation, evidence of an article
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[tuple[tuple[str, ...], bool], list[float]] = {}
     for b, said in found:
-        s = sums.setdefault(b.path, [0, 0, 0, False])
+        s = sums.setdefault((b.path, b.suspect), [0, 0, 0, False])
         s[0] += 1
         s[1] += max(0, len(said) - b.linked)
         s[2] += len(_PUNCTUATION.findall(said))
-        s[3] |= b.article
+        s[3] |= b.article is not None
     if not sums:
         return ""
-    some_article = any(s[3] for s in sums.values())
+    some_article = any(s[3] for (_, suspect), s in sums.items() if not suspect)
     paths = list(sums)
     fused = []
     for p in paths:
         length = points = weight = 0.0
         for q in paths:
-            w = math.exp(-_steps(p, q) ** 2 / (2 * SPREAD ** 2))
+            if q[1] != p[1]:
+                continue
+            w = math.exp(-_steps(p[0], q[0]) ** 2 / (2 * SPREAD ** 2))
             nodes, chars, marks, _ = sums[q]
             length += w * chars / nodes
             points += w * marks / nodes
@@ -196,10 +259,10 @@ def main_text(source: str) -> str:
         value = math.sqrt((length / weight) * (points / weight + 0.5))
         if some_article:
             value *= INSIDE_ARTICLE if sums[p][3] else 1 / INSIDE_ARTICLE
-        fused.append(value)
+        fused.append(value / SUSPECT if p[1] else value)
     least = SHARE * max(fused)
     content = {p for p, v in zip(paths, fused, strict=True) if v >= least}
-    return " ".join(said for b, said in found if b.path in content)
+    return " ".join(said for b, said in found if (b.path, b.suspect) in content)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

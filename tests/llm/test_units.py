@@ -282,3 +282,25 @@ def test_secrets_of_letters_and_behind_words(spark):
 ])
 def test_main_text(source, want):
     assert html_text.main_text(source) == want
+
+
+_ARTICLE = "".join(f"<p>Sentence one of {i}, which is long. {'And more of it, still. ' * 20}</p>" for i in range(10))
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<body class="no-sidebar">', "</body>"), ('<body class="has-header"><div>', "</div></body>"),
+    ('<body><div class="content-with-sidebar">', "</div>"), ('<body><div class="layout-sidebar">', "</div><p>Tail."),
+    ('<article class="post comments-open">', "</article>"), ('<div class="overflow-hidden">', "</div>"),
+    ('<div style="overflow:hidden"><article>', "</article></div>"), ("<body><form action=x><div>", "</div></form>"),
+    ('<body style="display:none"><main>', "</main>"), ('<div class="menu-open"><h1>T</h1><div>', "</div></div>"),
+])
+def test_wrappers_hide_nothing(before, after):
+    got = html_text.main_text(f"<html>{before}{_ARTICLE}{after}</html>")
+    assert all(f"Sentence one of {i}," in got for i in range(10))
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "class=x hidden", 'style="a:b; display: none"',
+                                       'aria-hidden="true"', "class=sidebar"])
+def test_hidden_parts_of_an_article_go(attribute):
+    got = html_text.main_text(f"<article>{_ARTICLE}<div {attribute}><p>Not, this. One.</p></div></article>")
+    assert "Sentence one of 9," in got and "Not, this" not in got
