@@ -2,8 +2,10 @@
 
 Each text block of a page has a path, the tags from the root to its block. Per
 path, text length and punctuation are summed up and divided by the number of
-nodes; both ratios are smoothed over near paths, fused, and paths above a
-threshold give the content blocks. Elements that never hold the article (navigation, scripts, ...) are left out before; a suspect name,
+nodes; both ratios are smoothed over near paths and fused. The blocks of paths
+above a threshold show where the content is (the article elements, or else the
+common ancestor); every block in there counts, short or not. Elements that never
+hold the article (navigation, scripts, ...) are left out before; a suspect name,
 or a form, speaks against what is in it, unless it is a wrapper of the page.
 """
 
@@ -226,6 +228,20 @@ def _steps(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return len(a) + len(b) - 2 * same
 
 
+def _holders(best: list[Block]) -> set[Node]:
+    """The articles of the content blocks; without one, the least element round all of them."""
+    articles = {b.article for b in best if b.article and not b.suspect}
+    if articles:
+        return articles
+    lines = [[x for x in b.line() if x.tag not in _INLINE][::-1] for b in best if not b.suspect]
+    least: set[Node] = set()
+    for level in zip(*lines, strict=False):
+        if any(x is not level[0] for x in level):
+            break
+        least = {level[0]}
+    return least
+
+
 def main_text(source: str) -> str:
     """The page's main text: content blocks in page order, joined by one space."""
     found = []
@@ -262,7 +278,10 @@ def main_text(source: str) -> str:
         fused.append(value / SUSPECT if p[1] else value)
     least = SHARE * max(fused)
     content = {p for p, v in zip(paths, fused, strict=True) if v >= least}
-    return " ".join(said for b, said in found if (b.path, b.suspect) in content)
+    holders = _holders([b for b, _ in found if (b.path, b.suspect) in content])
+    return " ".join(said for b, said in found if (b.path, b.suspect) in content
+                    or not b.suspect and any(x in holders for x in b.line())
+                    and (2 * b.linked <= len(said) or not any(x in holders and x.tag in ("html", "body") for x in b.line())))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

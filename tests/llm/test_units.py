@@ -285,6 +285,8 @@ def test_main_text(source, want):
 
 
 _ARTICLE = "".join(f"<p>Sentence one of {i}, which is long. {'And more of it, still. ' * 20}</p>" for i in range(10))
+_SHORT = ("<ul><li>first item<li>second item</ul><table><tr><td>cell a<td>cell b</table>"
+          "<blockquote>A quote</blockquote><figure><img src=x><figcaption>A caption</figcaption></figure>")
 
 
 @pytest.mark.parametrize("before, after", [
@@ -299,6 +301,16 @@ def test_wrappers_hide_nothing(before, after):
     assert all(f"Sentence one of {i}," in got for i in range(10))
 
 
+@pytest.mark.parametrize("before, after", [("<article>", "</article>"), ("<main><div>", "</div></main>"),
+                                           ("<body><div>", "</div>")])
+def test_short_blocks_of_an_article_stay(before, after):
+    got = html_text.main_text(f"<html>{before}{_ARTICLE}{_SHORT}{_ARTICLE}{after}"
+                              '<div class="sidebar"><p>Other, things. Here.</p></div><form><p>Mail, please.</p></form>')
+    for part in ("first item second item", "cell a cell b", "A quote", "A caption"):
+        assert part in got
+    assert not any(x in got for x in ("Other", "Mail"))
+
+
 @pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "class=x hidden", 'style="a:b; display: none"',
                                        'aria-hidden="true"', "class=sidebar"])
 def test_hidden_parts_of_an_article_go(attribute):
