@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries that SQL can express, straight from their definitions.
 
-Tokenisers, trained models and pseudorandom draws have no SQL form: packing,
-mixing, fertility, secrets and token files are tested by brute force instead.
+Tokenisers, trained models, eigenvectors and pseudorandom draws have no SQL form: packing,
+mixing, fertility, secrets, token files, token counts and whitening are tested by brute
+force instead.
 """
 
 from __future__ import annotations
@@ -86,3 +87,28 @@ p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE["op12_phrases"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w), (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+      WHERE i + k - 1 <= len(w)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+inner_ AS (
+  SELECT DISTINCT y.lang, y.phrase FROM f x, unnest([1, 2, 3, 4]) AS s(i), unnest([2, 3, 4]) AS t(len), f y
+  WHERE x.k > t.len AND s.i + t.len - 1 <= x.k AND y.lang = x.lang
+    AND y.phrase = array_to_string(x.w[s.i : s.i + t.len - 1], ' ') AND 100 * x.a >= 100 * y.a),
+c AS (SELECT f.* FROM f ANTI JOIN inner_ USING (lang, phrase) WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, s.i AS pos, l.a AS l, r.a AS r, n.n,
+         CAST((1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM c, unnest([1, 2, 3, 4]) AS s(i), f l, f r, n
+  WHERE s.i < c.k AND l.lang = c.lang AND r.lang = c.lang AND n.lang = c.lang
+    AND l.phrase = array_to_string(c.w[1 : s.i], ' ') AND r.phrase = array_to_string(c.w[s.i + 1 : c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM top WHERE rank <= 2000
+"""

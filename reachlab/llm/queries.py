@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    fertility, html_text, line_dedup, markov_secrets, minhash, mixing, packing, token_files, topk, warc,
+    bpe_count, collocations, fertility, html_text, line_dedup, markov_secrets, minhash, mixing, packing, token_files,
+    topk, warc, whitening,
 )
 from .common import read_table
 from .oracle import ORACLE as ORACLE
@@ -56,6 +57,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.token_counts(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_genetic_packing": op1_genetic_packing,
     "op2_tag_path_text": op2_tag_path_text,
@@ -67,4 +80,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_fertility": op8_fertility,
     "op9_markov_secrets": op9_markov_secrets,
     "op10_token_files": op10_token_files,
+    "op11_whitening": op11_whitening,
+    "op12_phrases": op12_phrases,
+    "op13_token_counts": op13_token_counts,
 }
