@@ -1,52 +1,126 @@
-"""Exact quantiles that never hold a whole column in one task.
+"""Exact quantiles by radix selection; no task and no driver ever holds a column.
 
 Spark's exact ``percentile`` aggregate keeps a value -> count map of the whole
 group in a single buffer, so a global median over billions of distinct incomes
-lands in one task. ``percentile_approx`` is bounded but approximate. This
-module gets the exact, linearly interpolated quantile (the definition shared by
-pandas ``quantile``, Spark ``percentile`` and DuckDB ``quantile_cont``) by
-narrowing a bracket:
-
-1. one aggregate: count, min, max and ``percentile_approx`` at ``p +- margin``.
-   The sketch's rank error is at most ``n / accuracy``, so the value at the
-   exact rank lies inside the bracket;
-2. one aggregate: how many values fall below / inside each bracket, and how
-   many strictly between its ends (that count + 2 bounds the distinct values
-   inside). While that bound exceeds ``final_rows``, a further approximate
-   pass inside the bracket shrinks it by about ``accuracy / 6`` (heavy ties at
-   the ends need no narrowing: they collapse in the final grouping);
-3. one grouped count of the few distinct values left inside the brackets; the
-   driver reads those bounded rows and picks the two ranks to interpolate.
-
-All passes are ordinary partial aggregations. What reaches the driver is
-bounded by ``final_rows`` per requested quantile, whatever the table size.
-
-Small inputs take a shortcut after pass 1: when all requested columns
-together hold at most ``SMALL_TOTAL`` values, Spark's exact ``percentile``
-finishes in one more pass -- its value map is then bounded by that count.
+lands in one task. This module finds the exact, linearly interpolated quantile (the
+definition shared by pandas ``quantile``, Spark ``percentile`` and DuckDB
+``quantile_cont``) digit by digit:
+
+1. one aggregate counts each column's values, which fixes the ranks to find;
+2. doubles become 64-bit integers of the same order (``order_key``). One partial
+   aggregation counts, for all columns at once, the values per leading 16 bits:
+   at most 65,536 counts a column, however many rows there are. A running sum over
+   these counts names the digit that holds each rank;
+3. the next 16 bits are counted among the values with that digit only, and so on:
+   four passes at most, fewer where a digit holds a single value (integers, ties).
+
+What reaches the driver is one row per requested rank and pass: a digit, how many
+values lie before it, its least and largest value. Heavy ties, narrow bands and
+long tails take the same four passes; nothing is sketched or sampled.
+
+Small inputs take a shortcut after step 1: when all requested columns together hold
+at most ``SMALL_TOTAL`` values, Spark's exact ``percentile`` finishes in one more
+pass -- its value map is then bounded by that count.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 10000
-_MARGIN_STEPS = 3.0
 SMALL_TOTAL = 4_000_000
+DIGIT_BITS = 16
+# Fixed values of the 64-bit floating-point format.
+_FRACTION_BITS = 52
+_BIAS = 1023
+_INFINITE = 2047 << _FRACTION_BITS
 
 
-def _bracket_probs(p: float, margin: float) -> tuple[float, float]:
-    return max(0.0, p - margin), min(1.0, p + margin)
+def order_key(x: Column) -> Column:
+    """The double ``x`` as a 64-bit integer: a < b exactly if key(a) < key(b).
+
+    For positive numbers it is the number's own bit pattern (exponent, then
+    fraction), for negative ones its opposite. Both zeros are 0; infinities lie
+    beyond all numbers and NaN beyond them (as Spark sorts it); NULL stays NULL.
+    Every step is exact: powers of two, and quotients by them.
+    """
+    a = F.abs(x)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    near = F.floor(F.log2(a)).cast("double")  # off by one at most, next to a power of two
+    e = F.when(a < power(near), near - 1).when(a / 2 >= power(near), near + 1).otherwise(near)
+    fraction = ((a / power(e) - 1) * float(1 << _FRACTION_BITS)).cast("long")
+    normal = (e + _BIAS).cast("long") * F.lit(1 << _FRACTION_BITS) + fraction
+    size = (F.when(F.isnan(x), F.lit(_INFINITE + 1)).when(a == float("inf"), F.lit(_INFINITE))
+            .when(a < 2.0 ** -1022, (a / 2.0 ** -1074).cast("long")).otherwise(normal))
+    return F.when(x.isNull(), F.lit(None).cast("long")).when(x < 0, -size).otherwise(size)
+
+
+def key_value(key: int) -> float:
+    """The double whose ``order_key`` is ``key``."""
+    value = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -value if key < 0 else value
+
+
+@dataclass
+class _Target:
+    """One value to find: the ``rank``-th (from 0) among those that begin with ``prefix``."""
+
+    column: int
+    rank: int
+    prefix: int = 0
+    value: float | None = None
+
+
+def _select(df: DataFrame, xs: Sequence[Column], targets: Sequence[_Target]) -> None:
+    """Set each target's value, a digit of all of them per pass."""
+    columns = sorted({t.column for t in targets})
+    keys = df.select(*[order_key(xs[c]).alias(f"k{c}") for c in columns])
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        left = [t for t in targets if t.value is None]
+        if not left:
+            return
+        for t, found in _digit(keys, left, shift):
+            t.rank -= found["before"]
+            t.prefix = found["digit"]
+            if found["least"] == found["largest"]:
+                t.value = key_value(found["least"])
+
+
+def _digit(keys: DataFrame, targets: list[_Target], shift: int) -> list[tuple[_Target, Row]]:
+    """For each target the digit (with all before it) that holds its rank."""
+    first = shift + DIGIT_BITS == 64
+    slots = []
+    for c in sorted({t.column for t in targets}):
+        k = F.col(f"k{c}")
+        begins = k.isNotNull() if first else F.shiftright(k, shift + DIGIT_BITS).isin(
+            sorted({t.prefix for t in targets if t.column == c}))
+        slots.append(F.when(begins, F.struct(F.lit(c).alias("c"), k.alias("k"))))
+    values = keys.select(F.explode(F.array(*slots)).alias("v")).where(F.col("v").isNotNull())
+    counts = values.select("v.c", "v.k", F.shiftright("v.k", shift).alias("digit")).groupBy("c", "digit").agg(
+        F.count(F.lit(1)).alias("n"), F.min("k").alias("least"), F.max("k").alias("largest"))
+    counts = counts.withColumn("prefix", F.lit(0).cast("long") if first else F.shiftright("digit", DIGIT_BITS))
+    # at most 2^DIGIT_BITS counts per column and prefix
+    so_far = Window.partitionBy("c", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("before", F.sum("n").over(so_far) - F.col("n"))
+    wanted = keys.sparkSession.createDataFrame(
+        [(i, t.column, t.prefix, t.rank) for i, t in enumerate(targets)], "t int, wc int, wp long, rank long")
+    held = counts.join(F.broadcast(wanted), (F.col("c") == F.col("wc")) & (F.col("prefix") == F.col("wp"))  # #ranks rows
+                       & (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+    return [(targets[r["t"]], r) for r in _read(held.select("t", "digit", "before", "least", "largest"))]
+
+
+def _read(rows: DataFrame) -> list[Row]:
+    """The only rows that come to the driver: one per rank to find."""
+    return rows.collect()
 
 
 def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
-                    probs: Sequence[float], accuracy: int = _ACCURACY,
-                    final_rows: int = 2048, max_rounds: int = 8,
-                    small_total: int | None = None,
+                    probs: Sequence[float], small_total: int | None = None,
                     extra: Mapping[str, Column] | None = None) -> dict[str, list[float | None]]:
     """Return ``{name: [q(p) for p in probs]}``; None where a column has no values.
 
@@ -58,134 +132,31 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column] | Sequence[str],
     if not isinstance(exprs, Mapping):
         exprs = {c: F.col(c) for c in exprs}
     names = list(exprs)
-    xs = {n: exprs[n].cast("double") for n in names}
+    xs = [exprs[n].cast("double") for n in names]
     probs = [float(p) for p in probs]
-    margin = _MARGIN_STEPS / accuracy
-
-    # pass 1: counts, extremes and approximate brackets for every (column, p)
-    aggs = []
-    for i, n in enumerate(names):
-        bp = sorted({b for p in probs for b in _bracket_probs(p, margin)})
-        aggs += [F.count(xs[n]).alias(f"n{i}"), F.min(xs[n]).alias(f"mn{i}"),
-                 F.max(xs[n]).alias(f"mx{i}"),
-                 F.percentile_approx(xs[n], F.array(*[F.lit(b) for b in bp]), accuracy)
-                 .alias(f"ap{i}")]
     extra = dict(extra or {})
-    row = df.agg(*aggs, *[c.alias(f"x_{i}") for i, c in enumerate(extra.values())]).first()
+    row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                 *[c.alias(f"x_{i}") for i, c in enumerate(extra.values())]).first()
 
     result: dict = {n: [None] * len(probs) for n in names}
     if extra:
         result["__extra"] = {k: row[f"x_{i}"] for i, k in enumerate(extra)}
-    total = sum(row[f"n{i}"] or 0 for i in range(len(names)))
-    if total <= (SMALL_TOTAL if small_total is None else small_total):
-        live = [(i, n) for i, n in enumerate(names) if row[f"n{i}"]]
-        if live:
-            got = df.agg(*[F.percentile(xs[n], F.array(*[F.lit(p) for p in probs])).alias(f"e{i}")
-                           for i, n in live]).first()
-            for i, n in live:
-                result[n] = [float(v) for v in got[f"e{i}"]]
+    live = [i for i in range(len(names)) if row[f"n{i}"]]
+    if not live or not probs:
+        return result
+    if sum(row[f"n{i}"] for i in live) <= (SMALL_TOTAL if small_total is None else small_total):
+        got = df.agg(*[F.percentile(xs[i], F.array(*[F.lit(p) for p in probs])).alias(f"e{i}") for i in live]).first()
+        for i in live:
+            result[names[i]] = [float(v) for v in got[f"e{i}"]]
         return result
 
-    state = {}   # (name, j) -> dict(lo, hi, klo, khi, frac, n, mn, mx)
-    for i, n in enumerate(names):
-        cnt = row[f"n{i}"]
-        if not cnt:
-            continue
-        bp = sorted({b for p in probs for b in _bracket_probs(p, margin)})
-        approx = dict(zip(bp, row[f"ap{i}"]))
-        mn, mx = row[f"mn{i}"], row[f"mx{i}"]
-        for j, p in enumerate(probs):
-            h = (cnt - 1) * p
-            klo, khi = math.floor(h), math.ceil(h)
-            lo_p, hi_p = _bracket_probs(p, margin)
-            lo = mn if lo_p == 0.0 else approx[lo_p]
-            hi = mx if hi_p == 1.0 else approx[hi_p]
-            state[(n, j)] = dict(lo=lo, hi=hi, klo=klo, khi=khi, frac=h - klo,
-                                 n=cnt, mn=mn, mx=mx, cb=None, m=None)
-
-    # pass 2..: count below / inside, narrow large brackets
-    active = dict(state)
-    for _ in range(max_rounds):
-        if not active:
-            break
-        keys = list(active)
-        aggs = []
-        for k_i, key in enumerate(keys):
-            s, x = active[key], xs[key[0]]
-            inside = (x >= F.lit(s["lo"])) & (x <= F.lit(s["hi"]))
-            aggs += [F.count(F.when(x < F.lit(s["lo"]), 1)).alias(f"b{k_i}"),
-                     F.count(F.when(inside, 1)).alias(f"m{k_i}"),
-                     F.count(F.when((x > F.lit(s["lo"])) & (x < F.lit(s["hi"])), 1)).alias(f"d{k_i}")]
-        counts = df.agg(*aggs).first()
-        narrow = {}
-        for k_i, key in enumerate(keys):
-            s = active[key]
-            cb, m, d = counts[f"b{k_i}"], counts[f"m{k_i}"], counts[f"d{k_i}"]
-            if not (cb <= s["klo"] and cb + m > s["khi"]):
-                # the sketch guarantee failed (should not happen): restart
-                # this key from the full range, which always brackets
-                s.update(lo=s["mn"], hi=s["mx"])
-                continue
-            s.update(cb=cb, m=m)
-            if s["lo"] == s["hi"] or m <= final_rows or d + 2 <= final_rows or s.get("stalled"):
-                del active[key]
-            else:
-                narrow[key] = s
-        if not narrow:
-            continue
-        aggs, plan = [], []
-        for k_i, (key, s) in enumerate(narrow.items()):
-            x = xs[key[0]]
-            inside = F.when((x >= F.lit(s["lo"])) & (x <= F.lit(s["hi"])), x)
-            rel_lo = (s["klo"] - s["cb"]) / max(s["m"] - 1, 1)
-            rel_hi = (s["khi"] - s["cb"]) / max(s["m"] - 1, 1)
-            lo_p = max(0.0, rel_lo - margin)
-            hi_p = min(1.0, rel_hi + margin)
-            aggs.append(F.percentile_approx(inside, F.array(F.lit(lo_p), F.lit(hi_p)), accuracy)
-                        .alias(f"q{k_i}"))
-            plan.append((key, lo_p, hi_p))
-        got = df.agg(*aggs).first()
-        for k_i, (key, lo_p, hi_p) in enumerate(plan):
-            s = narrow[key]
-            new_lo, new_hi = got[f"q{k_i}"]
-            new_lo = s["lo"] if lo_p == 0.0 else new_lo
-            new_hi = s["hi"] if hi_p == 1.0 else new_hi
-            s["stalled"] = (new_lo, new_hi) == (s["lo"], s["hi"])
-            s.update(lo=new_lo, hi=new_hi)
-
-    # final pass: distinct values inside the remaining brackets, bounded rows
-    pending = {key: s for key, s in state.items() if s["lo"] != s["hi"]}
-    for key, s in state.items():
-        if s["lo"] == s["hi"]:
-            result[key[0]][key[1]] = float(s["lo"])
-    if pending:
-        keys = list(pending)
-        items = []
-        for k_i, key in enumerate(keys):
-            s, x = pending[key], xs[key[0]]
-            inside = (x >= F.lit(s["lo"])) & (x <= F.lit(s["hi"]))
-            items.append(F.when(inside, F.struct(F.lit(k_i).alias("k"), x.alias("v"))))
-        long = (df.select(F.explode(F.array(*items)).alias("e"))
-                  .where(F.col("e").isNotNull())
-                  .select("e.k", "e.v"))
-        rows = long.groupBy("k", "v").count().collect()
-        by_key: dict[int, list[tuple[float, int]]] = {}
-        for r in rows:
-            by_key.setdefault(r["k"], []).append((r["v"], r["count"]))
-        for k_i, key in enumerate(keys):
-            s = pending[key]
-            vals = sorted(by_key.get(k_i, []))
-
-            def at(rank: int) -> float:
-                seen = s["cb"]
-                for v, c in vals:
-                    seen += c
-                    if seen > rank:
-                        return v
-                return vals[-1][0]
-
-            a, b = at(s["klo"]), at(s["khi"])
-            result[key[0]][key[1]] = a + (b - a) * s["frac"]
+    places = {(i, j): (row[f"n{i}"] - 1) * p for i in live for j, p in enumerate(probs)}
+    ranks = sorted({(i, r) for (i, _), h in places.items() for r in (math.floor(h), math.ceil(h))})
+    targets = {(i, r): _Target(i, r) for i, r in ranks}
+    _select(df, xs, list(targets.values()))
+    for (i, j), h in places.items():
+        low, high = targets[i, math.floor(h)].value, targets[i, math.ceil(h)].value
+        result[names[i]][j] = low if low == high else low + (high - low) * (h - math.floor(h))
     return result
 
 

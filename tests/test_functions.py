@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from reachlab.functions import quantiles
 from reachlab.functions.ordered import rank_within, running_totals
-from reachlab.functions.quantiles import exact_quantiles
+
+from reachlab.functions.quantiles import exact_quantiles, key_value, order_key
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +32,7 @@ PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 def test_exact_quantiles_match_numpy(values):
     df, pdf = values
-    got = exact_quantiles(df, ["x", "ties", "const"], PROBS, small_total=0)   # bracket path
+    got = exact_quantiles(df, ["x", "ties", "const"], PROBS, small_total=0)   # radix path
     small = exact_quantiles(df, ["x", "ties", "const"], PROBS)                # percentile path
     for col in ("x", "ties", "const"):
         assert np.allclose(got[col], small[col], atol=1e-9), col
@@ -38,12 +40,44 @@ def test_exact_quantiles_match_numpy(values):
         assert np.allclose(got[col], expect, rtol=0, atol=1e-9), col
 
 
-def test_exact_quantiles_narrowing_rounds(values):
-    """Force brackets wider than final_rows so the narrowing passes run."""
+def test_order_keys_order_every_kind_of_double(spark):
+    """Keys sort like the values, are their bit patterns, and turn back into them."""
+    rng = np.random.default_rng(1)
+    bits = rng.integers(-2**63, 2**63, 3000, dtype=np.int64).view(np.float64)
+    edges = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7976931348623157e308, -1.7976931348623157e308,
+             np.inf, -np.inf, 1.0, np.nextafter(1.0, 0), np.nextafter(1.0, 2), 0.1, -3.0]
+    powers = [f(2.0**e) for e in range(-1074, 1024, 7) for f in (lambda v: v, lambda v: np.nextafter(v, 0), lambda v: -v)]
+    x = np.array([v for v in [*bits, *edges, *powers] if not np.isnan(v)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    got = df.select("x", order_key(F.col("x")).alias("k")).collect()
+    assert got[-1]["k"] is None
+    for r in got[:-1]:
+        assert key_value(r["k"]) == r["x"]
+        assert r["k"] == (1 if r["x"] >= 0 else -1) * int(np.abs(np.float64(r["x"])).view(np.int64))
+    nan = spark.range(1).select(order_key(F.lit(float("nan"))).alias("k")).first()["k"]
+    assert nan > max(r["k"] for r in got[:-1])
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-300, -1e250])
+def test_radix_passes_on_any_scale(values, scale):
     df, pdf = values
-    got = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], accuracy=50, final_rows=20, small_total=0)
-    expect = np.quantile(pdf["x"].dropna().to_numpy(), [0.1, 0.5, 0.9])
-    assert np.allclose(got["x"], expect, atol=1e-9)
+    got = exact_quantiles(df, {"x": F.col("x") * F.lit(scale)}, PROBS, small_total=0)
+    x = pdf["x"].dropna().to_numpy() * scale
+    assert np.allclose(got["x"], np.quantile(x, PROBS), rtol=1e-12, atol=0)
+
+
+def test_a_thin_band_between_heavy_ties_stays_in_spark(spark, monkeypatch):
+    """A million distinct neighbours between two ties that hold most rows: one row per rank is read."""
+    read = []
+    monkeypatch.setattr(quantiles, "_read", lambda rows: read.append(rows.collect()) or read[-1])
+    n = 1_000_000
+    band = spark.range(n).select((F.lit(1.0) + F.col("id") * F.lit(2.0**-50)).alias("x"))
+    ties = spark.range(2 * n).select(F.when(F.col("id") < n, 0.5).otherwise(2.0).alias("x"))
+    probs = [0.1, 0.34, 0.5, 0.66, 0.9]
+    got = exact_quantiles(band.unionByName(ties), ["x"], probs, small_total=0)
+    x = np.sort(np.concatenate([1 + np.arange(n) * 2.0**-50, np.full(n, 0.5), np.full(n, 2.0)]))
+    assert got["x"] == list(np.quantile(x, probs))
+    assert 2 <= len(read) <= 4 and all(len(rows) <= 2 * len(probs) for rows in read)
 
 
 def test_exact_quantiles_empty(spark):

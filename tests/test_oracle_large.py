@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 from reachlab.functions import ordered, quantiles
 from reachlab.functions.ordered import rank_within, running_totals
 from reachlab.operators import evaluate as E
+from reachlab.operators import profile
 from reachlab.operators import split as S
 from reachlab.sources.tables import TABLES
 from scripts.oracle_check import _rows
@@ -22,7 +23,8 @@ from .conftest import SF_SMALL
 
 NAMES = ["roc_auc", "average_precision", "roc_curve", "pr_curve", "leaderboard", "decile_lift", "stratified_split",
          "cv_folds", "explain_sample", "driver_direction", "beeswarm_points", "permutation_importance",
-         "profile_describe", "box_summary", "outliers_iqr", "prep_income", "variable_kind", "standardize"]
+         "profile_describe", "box_summary", "box_summary_by_target", "density_summary", "outliers_iqr", "prep_income",
+         "median_fill", "variable_kind", "standardize"]
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,7 @@ def duck():
 def test_large_plans_match_oracle(spark, duck, monkeypatch, name):
     monkeypatch.setattr(ordered, "ROWS_PER_TASK", 60)
     monkeypatch.setattr(quantiles, "SMALL_TOTAL", 0)
+    monkeypatch.setattr(profile, "SCREEN_DISTINCT", 8)
     sdf = entry.queries()[name](spark, SF_SMALL)
     got = [tuple(r) for r in sdf.collect()]
     cur = duck.execute(entry.oracle_sql()[name])
