@@ -220,23 +220,23 @@ def score_models(split_df: DataFrame, features: Sequence[str], names: Sequence[s
 class _Fold:
     """One fold, prepared once for all models: assembled fit rows and held-out rows, persisted."""
 
-    def __init__(self, data: DataFrame, fold: int, features: Sequence[str], scale: bool, smote: bool):
+    def __init__(self, data: DataFrame, fold: int, features: Sequence[str], scale: bool):
         fit = data.where(F.col("fold") != fold)
         stages = [MedianImputer(inputCols=list(features)).fit(fit)]
         cur = stages[0].transform(fit)
         if scale:
             stages.append(PopulationStandardScaler(inputCols=list(features)).fit(cur))
             cur = stages[-1].transform(cur)
-        if smote:
-            from reachlab.operators.resample import smote as oversample
-            cur = oversample(cur, features, "label").drop("synthetic", "base_id", "nbr_id")
-        stages.append(BalancedWeights(labelCol="label").fit(cur))
+        self._keep(data, cur, data.where(F.col("fold") == fold), features, stages)
+
+    def _keep(self, data: DataFrame, fit: DataFrame, held: DataFrame, features: Sequence[str], stages: list) -> None:
+        weights = BalancedWeights(labelCol="label").fit(fit)
         assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-        rows = assembler.transform(stages[-1].transform(cur)).select("label", "weight", "features")
+        rows = assembler.transform(weights.transform(fit)).select("label", "weight", "features")
         tasks = max(1, -(-data.count() // FIT_ROWS_PER_TASK))
         self.fit_rows = rows.coalesce(tasks).persist()
         self.n_fit = self.fit_rows.count()
-        held = PipelineModel(stages=[*stages, assembler]).transform(data.where(F.col("fold") == fold))
+        held = PipelineModel(stages=[*stages, weights, assembler]).transform(held)
         self.held = held.select("id", "label", "features").coalesce(tasks).persist()
 
     def release(self) -> None:
@@ -244,6 +244,17 @@ class _Fold:
         self.held.unpersist()
 
 
+class _SmoteFold(_Fold):
+    """A fold of rows that are filled and scaled already; its fit rows are oversampled among themselves."""
+
+    def __init__(self, data: DataFrame, fold: int, features: Sequence[str], neighbours: DataFrame):
+        from reachlab.operators.resample import smote
+
+        fit = smote(data.where(F.col("fold") != fold), features, "label",
+                    neighbours=neighbours.where(F.col("held") == fold))
+        self._keep(data, fit.drop("synthetic", "base_id", "nbr_id"), data.where(F.col("fold") == fold), features, [])
+
+
 def fold_slots(df: DataFrame) -> int:
     """Fits that run at the same time: half the cluster's task slots, one at least."""
     return max(1, df.sparkSession.sparkContext.defaultParallelism // 2)
@@ -252,24 +263,37 @@ def fold_slots(df: DataFrame) -> int:
 def cross_validate(folds_df: DataFrame, features: Sequence[str], names: Sequence[str] = MODEL_NAMES,
                    k: int = 5, scale: bool = True, profile: str = "compare", label: str = "label",
                    parallelism: int | None = None, smote: bool = False) -> DataFrame:
-    """Per model, ROC AUC on each held-out fold (fit on the other folds,
-    imputation, scaling, weights and, with ``smote``, oversampling refit
-    inside), then mean and population std.
+    """Per model, ROC AUC on each held-out fold (fit on the other folds, with
+    imputation, scaling and weights refitted inside), then mean and population std.
+
+    With ``smote`` the minority class is oversampled inside each fold's fit rows
+    (D6). As in the reference, imputation and scaling are then fitted once on all
+    the rows given, so that all folds share one space and one neighbour search
+    (``fold_neighbours``); no synthetic row has a parent in the held-out fold.
 
     A fold is prepared once and shared by all models; each fit is scored at
     once, so that only one number per (model, fold) stays. Fits are independent
     Spark jobs, ``parallelism`` (default ``fold_slots``) of them at a time.
     """
-    data = folds_df.select("id", "fold", *[F.col(c).cast("double").alias(c) for c in features],
-                           F.col(label).cast("double").alias("label")).persist()
+    feats = list(features)
+    data = folds_df.select("id", "fold", *[F.col(c).cast("double").alias(c) for c in feats],
+                           F.col(label).cast("double").alias("label"))
+    neighbours = None
+    if smote:
+        data = MedianImputer(inputCols=feats).fit(data).transform(data)
+        data = PopulationStandardScaler(inputCols=feats).fit(data).transform(data) if scale else data
+    data = data.persist()
+    if smote:
+        neighbours = minority_neighbours(data, feats, k)
     slots = parallelism or fold_slots(folds_df)
     with ThreadPoolExecutor(max_workers=slots) as pool:
-        folds = list(pool.map(lambda f: _Fold(data, f, features, scale, smote), range(k)))
+        folds = list(pool.map(lambda f: _SmoteFold(data, f, feats, neighbours) if smote
+                              else _Fold(data, f, feats, scale), range(k)))
 
         def run(task):
             name, f = task
             fold = folds[f]
-            clf = classifier(name, len(features), fold.n_fit, profile).setLabelCol("label").setFeaturesCol("features")
+            clf = classifier(name, len(feats), fold.n_fit, profile).setLabelCol("label").setFeaturesCol("features")
             out = clf.fit(fold.fit_rows).transform(fold.held).select(
                 F.lit(name).alias("model"), F.col("label").cast("int").alias("label"),
                 vector_to_array("probability")[1].alias("p"))
@@ -286,3 +310,17 @@ def cross_validate(folds_df: DataFrame, features: Sequence[str], names: Sequence
     return per_fold.join(summary, "model").select(
         "model", "fold", F.round("roc_auc", 6).alias("roc_auc"), F.round("cv_mean", 6).alias("cv_mean"),
         F.round("cv_std", 6).alias("cv_std"))
+
+
+def minority_neighbours(data: DataFrame, features: Sequence[str], folds: int) -> DataFrame:
+    """``fold_neighbours`` of the rows of the rarer label of ``data(id, fold, label, features...)``.
+
+    The folds are stratified, so the rarer label is the same with any fold left out.
+    """
+    from reachlab.operators.resample import fold_neighbours
+
+    counts = {r["label"]: r["count"] for r in data.where(F.col("label").isNotNull())
+              .groupBy("label").count().collect()}  # one row per class
+    rarer = min(counts, key=lambda c: (counts[c], c))
+    x = F.array(*[F.col(c) for c in features])
+    return fold_neighbours(data.where(F.col("label") == rarer).select("id", x.alias("x"), "fold"), folds)

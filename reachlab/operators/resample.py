@@ -32,7 +32,7 @@ minority rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachlab.functions.columns import hash_order, hash_unit
+from reachlab.session import ensure_checkpoint_dir
 
 # --- fixed values of the resampler (library defaults of the reference) -----------------
 K_NEIGHBORS = 5
@@ -60,17 +61,20 @@ def _pivots(points: DataFrame, n: int, seed: int) -> np.ndarray:
     return np.array([r["x"] for r in rows], dtype=float)
 
 
-def exact_knn(points: DataFrame, k: int = K_NEIGHBORS, seed: int = SEED) -> DataFrame:
+def exact_knn(points: DataFrame, k: int = K_NEIGHBORS, seed: int = SEED,
+              wanted: DataFrame | None = None) -> DataFrame:
     """(id, nbr, dist, rank) for the k nearest other rows of ``points(id, x
-    array<double>)``; Euclidean distance, ties by neighbour id."""
+    array<double>)``; Euclidean distance, ties by neighbour id. With
+    ``wanted(id)`` only these rows' neighbours are searched, among all points."""
     from reachlab.functions.ordered import rank_within
 
+    only = lambda df: df if wanted is None else df.join(wanted, "id", "left_semi")
     dup = rank_within(points.select("id", "x"), ["x"], "id", "id", out="__d")
     dup = dup.persist(StorageLevel.MEMORY_AND_DISK)
     head = dup.where(F.col("__d") <= k + 1).select("id", "x")
-    near = _search(head, k, seed)
+    near = _search(head, k, seed, only)
     firsts = dup.where(F.col("__d") <= k).select("x", F.col("id").alias("nbr"), F.col("__d").alias("rank"))
-    tail = dup.where(F.col("__d") > k + 1).select("id", "x").join(firsts, "x").select(
+    tail = only(dup.where(F.col("__d") > k + 1).select("id", "x")).join(firsts, "x").select(
         "id", "nbr", F.lit(0.0).alias("dist"), F.col("rank").cast("int").alias("rank"))
     out = near.unionByName(tail).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
@@ -111,8 +115,9 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _search(points: DataFrame, k: int, seed: int) -> DataFrame:
-    """Pivot-cell search over rows whose identical-vector groups are at most k + 1."""
+def _search(points: DataFrame, k: int, seed: int, only: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pivot-cell search over rows whose identical-vector groups are at most k + 1,
+    for those that ``only`` leaves."""
     spark = points.sparkSession
     pts = points.select("id", "x").persist(StorageLevel.MEMORY_AND_DISK)
     n = pts.count()
@@ -136,9 +141,10 @@ def _search(points: DataFrame, k: int, seed: int) -> DataFrame:
     rad = np.array([stats[i]["r"] if i in stats else -np.inf for i in range(len(piv))])
     brad = spark.sparkContext.broadcast(rad)
     members = cells.select("cell", F.col("id").alias("nbr"), F.col("x").alias("y"))
-    local = _meet(cells.select("id", "x", "cell"), members, k).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = only(cells)
+    local = _meet(asked.select("id", "x", "cell"), members, k).persist(StorageLevel.MEMORY_AND_DISK)
     kth = local.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("r"))
-    probe = cells.join(kth, "id", "left").select(
+    probe = asked.join(kth, "id", "left").select(
         "id", "x", "cell", F.when(F.col("c") >= k, F.col("r")).alias("r"))
 
     def other_cells(batches):
@@ -197,10 +203,56 @@ def _meet(probes: DataFrame, members: DataFrame, k: int) -> DataFrame:
         nearest, "id long, nbr long, dist double")
 
 
+def fold_neighbours(points: DataFrame, folds: int, k: int = K_NEIGHBORS, margin: int | None = None,
+                    seed: int = SEED) -> DataFrame:
+    """(held, id, nbr, dist, rank): each row's k nearest rows when fold ``held`` is left out.
+
+    ``points(id, x, fold)`` lie in one space for all folds. Their neighbours are
+    searched once, ``margin`` (default: k) more than needed. Leaving a fold out only
+    takes neighbours away, so who still has k of them has the right ones; only the
+    rows left with fewer search again, among the rows of the other folds. A row has
+    no neighbours for its own fold.
+    """
+    ensure_checkpoint_dir(points.sparkSession)  # each step's plan is long: lineage is cut between them
+    margin = k if margin is None else margin
+    points = points.checkpoint()
+    fold_of = points.select(F.col("id").alias("nbr"), F.col("fold").alias("nbr_fold"))
+    graph = _cut(exact_knn(points, k + margin, seed))
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: (f != F.col("fold")) & (f != F.col("nbr_fold")))
+    left = graph.join(points.select("id", "fold"), "id").join(fold_of, "nbr").select(
+        "id", "nbr", "dist", F.explode(others).alias("held"))
+    w = Window.partitionBy("held", "id").orderBy("dist", "nbr")  # k + margin rows at most
+    left = left.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    left = left.select("held", "id", "nbr", "dist", "rank").checkpoint()
+    sizes = {r["fold"]: r["count"] for r in points.groupBy("fold").count().collect()}  # one row per fold
+    out = None
+    for held in range(folds):
+        need = min(k, sum(n for f, n in sizes.items() if f != held) - 1)
+        rest = points.where(F.col("fold") != held)
+        found = left.where(F.col("held") == held)
+        enough = found.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= need).select("id")
+        short = rest.join(enough, "id", "left_anti").select("id").checkpoint()
+        if need > 0 and short.take(1):
+            new = _cut(exact_knn(rest, k, seed, wanted=short)).withColumn("held", F.lit(held))
+            found = found.join(short, "id", "left_anti").unionByName(new)
+        out = found if out is None else out.unionByName(found)
+    return out.checkpoint()
+
+
+def _cut(persisted: DataFrame) -> DataFrame:
+    """The rows of a persisted result in the shared folder, without its lineage."""
+    out = persisted.checkpoint()
+    persisted.unpersist()
+    return out
+
+
 def smote(train: DataFrame, features: Sequence[str], label: str = "label", k: int = K_NEIGHBORS,
-          seed: int = SEED) -> DataFrame:
+          seed: int = SEED, neighbours: DataFrame | None = None) -> DataFrame:
     """Return ``train`` plus synthetic minority rows (``synthetic`` flag,
-    ``base_id`` and ``nbr_id`` for traceability) so both classes are equal."""
+    ``base_id`` and ``nbr_id`` for traceability) so both classes are equal.
+
+    ``neighbours(id, nbr, rank)``: the minority rows' k nearest minority rows, if
+    they are known already (``fold_neighbours``)."""
     feats = list(features)
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}   # 2 rows
     if len(counts) < 2:
@@ -215,7 +267,7 @@ def smote(train: DataFrame, features: Sequence[str], label: str = "label", k: in
         return base
     vec = F.array(*[F.col(c).cast("double") for c in feats])
     mino = train.where(F.col(label) == minority).select("id", vec.alias("x"))
-    knn = exact_knn(mino, k, seed)
+    knn = exact_knn(mino, k, seed) if neighbours is None else neighbours
     kk = min(k, m - 1)
     share, extra = divmod(need, m)
     ranked = mino.withColumn("__h", F.conv(F.substring(hash_order(seed, "id"), 1, 15), 16, 10)

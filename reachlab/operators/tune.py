@@ -202,7 +202,7 @@ def tune_model(folds_df: DataFrame, test_df: DataFrame, features: Sequence[str],
     metric_col = "average_precision" if scoring == "average_precision" else "roc_auc"
     tasks = [(t, f) for t in range(n_trials) for f in range(k)]
     with ThreadPoolExecutor(max_workers=parallelism or fold_slots(folds_df)) as pool:
-        folds = list(pool.map(lambda f: _Fold(data, f, feats, model in SCALED, False), range(k)))
+        folds = list(pool.map(lambda f: _Fold(data, f, feats, model in SCALED), range(k)))
 
         def run(task):
             t, f = task
@@ -216,6 +216,7 @@ def tune_model(folds_df: DataFrame, test_df: DataFrame, features: Sequence[str],
         rows = list(pool.map(run, tasks))
     for fold in folds:
         fold.release()
+    data.unpersist()
     per_fold = spark.createDataFrame(rows, f"trial long, fold int, {metric_col} double")
     per_trial = per_fold.groupBy("trial").agg(F.avg(metric_col).alias("score"))
     pmap = spark.createDataFrame(
