@@ -6,9 +6,9 @@ feature) with partial aggregation; per-customer views rank at most #features
 rows per (model, id); ranks over all customers (Spearman) come from
 ``functions.ordered.running_totals`` instead of a whole-group window.
 
-Permutation importance (G3) permutes a feature by joining each row's index to
-the index of the row that follows it in md5(seed, feature, repeat, id) order
--- a shuffle join, never a collected column.
+Permutation importance (G3) sends each row's value of a feature to another row by a
+keyed permutation of the row numbers (``functions.permute``): narrow (feature, repeat,
+place, value) rows meet the table in one shuffle join; nothing is ranked per repeat.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from reachlab.functions.columns import hash_order, r6, safe_div
 from reachlab.functions.ordered import rank_within, running_totals
+from reachlab.functions.permute import bottom_k, permuted
 from reachlab.operators.evaluate import ranking_metrics
 
 # --- fixed values of the reference's explainability page ---------------------------
@@ -137,12 +138,11 @@ def beeswarm_points(attr: DataFrame, ranking: DataFrame, n_features: int = BEESW
 
 
 def ranked_sample(ids: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """The first n ids per model ordered by the 60-bit prefix of md5(seed|id),
-    ties by id (exact, range-ranked: no model sits in one task)."""
+    """The first n ids per model ordered by the 60-bit prefix of md5(seed|id), ties by
+    id: every partition keeps its own n, only those are ranked together."""
     keyed = ids.withColumn("__k", F.conv(F.substring(hash_order(seed, "id"), 1, 15), 16, 10)
                            .cast("long"))
-    ranked = rank_within(keyed, ["model"], "__k", "id", out="__r")
-    return ranked.where(F.col("__r") <= n).select("model", "id")
+    return bottom_k(keyed, ["model"], ["__k", "id"], n).select("model", "id")
 
 
 # G11 ------------------------------------------------------------------------------------
@@ -196,38 +196,33 @@ def permutation_importance(rows: DataFrame, score_fn, features: Sequence[str],
     feature's values are permuted across rows.
 
     ``rows`` has id, label and the features; ``score_fn(df)`` maps a frame with
-    those columns to a double column ``p``. The permutation of (feature,
-    repeat) sends the value of the row at index i (ids in order) to the row at
-    index i in md5(seed|feature|repeat|id) order. The id-ordered rows are
-    persisted for the duration (they feed every (feature, repeat) copy); the
-    result has one row per feature.
+    those columns to a double column ``p``. Rows are numbered in id order; the value of row i goes to row ``permuted(i)`` under (feature,
+    repeat). Only these values are copied features x repeats times before the
+    shuffle; the rows they belong to join them where they are scored. The
+    numbered rows are persisted meanwhile; the result has one row per feature.
     """
     from pyspark import StorageLevel
 
     feats = list(features)
     base = ranking_metrics(score_fn(rows).select(F.lit(model).alias("model"), "id", "label", "p"))
     base_auc = base.first()["roc_auc"]                      # one scalar
-    ordered = rank_within(rows.withColumn("__g", F.lit(0)), ["__g"], "id", "id", out="__i").drop("__g")
-    # the index may come out of few partitions; spread it before the p x repeats expansion
+    ordered = rank_within(rows.select("id", "label", *feats).withColumn("__g", F.lit(0)), ["__g"], "id", "id",
+                          out="__i").drop("__g")
+    # the numbers may come out of few partitions; spread the rows before they are copied
     ordered = ordered.repartition(rows.sparkSession.sparkContext.defaultParallelism, "id") \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                           for f in feats for r in range(repeats)])
-        grid = ordered.select("*", F.explode(combos).alias("c")).select(
-            *ordered.columns, "c.feature", "c.rep")         # p x repeats copies
-        shuffled_key = F.conv(F.substring(hash_order(seed, F.col("feature"), F.col("rep"), F.col("id")),
-                                          1, 15), 16, 10).cast("long")
-        perm = rank_within(grid.withColumn("__k", shuffled_key), ["feature", "rep"], "__k", "id",
-                           out="__j")
-        # donor: the row at index j gives its value to the row at index i == j
-        value_of = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in feats])
-        donors = grid.select("feature", "rep", F.col("__i").alias("__j"), value_of.alias("__v"))
-        swapped = perm.join(donors, ["feature", "rep", "__j"])
-        permuted = swapped.select(
+        n = ordered.count()
+        combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"),
+                                    F.col(f).cast("double").alias("v")) for f in feats for r in range(repeats)])
+        moved = ordered.select("__i", F.explode(combos).alias("c")).select(
+            F.col("c.feature").alias("feature"), F.col("c.rep").alias("rep"), F.col("c.v").alias("__v"),
+            (permuted(F.col("__i") - 1, n, seed, F.col("c.feature"), F.col("c.rep")) + 1).alias("__to"))
+        swapped = moved.join(ordered, F.col("__to") == F.col("__i"))
+        permuted_rows = swapped.select(
             "feature", "rep", "id", "label",
             *[F.when(F.col("feature") == f, F.col("__v")).otherwise(F.col(f)).alias(f) for f in feats])
-        scored = score_fn(permuted).select(
+        scored = score_fn(permuted_rows).select(
             F.lit(model).alias("model"), "feature", "rep", "id", "label", "p")
         per_rep = ranking_metrics(scored, group=("model", "feature", "rep"))   # eager
     finally:

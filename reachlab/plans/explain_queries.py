@@ -155,25 +155,34 @@ def customer_explanation(spark, sf_dir):
 def _perm_sql() -> str:
     feats = sorted({f for w, _, _ in ATTRIBUTION_MODELS.values() for f in w})
     cols = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in feats)
+    # one step of the permutation: four rounds on the halves of a place, by md5 of the key
+    mixed = lambda i, half: (
+        f"CAST(('0x' || substr(md5('42|' || feature || '|' || CAST(rep AS VARCHAR) || '|{i}|' || "
+        f"CAST({half} AS VARCHAR)), 1, 15)) AS BIGINT)")
+
+    def step(source):
+        out = f"(SELECT feature, rep, i, place // b AS l, place % b AS r, n, a, b FROM {source})"
+        for i in range(4):
+            new = f"(l + {mixed(i, 'r')}) % a AS l, r" if i % 2 == 0 else f"l, (r + {mixed(i, 'l')}) % b AS r"
+            out = f"(SELECT feature, rep, i, {new}, n, a, b FROM {out})"
+        return f"SELECT feature, rep, i, l * b + r AS place, n, a, b FROM {out}"
+
     blocks = []
     for name, (w, b, _space) in ATTRIBUTION_MODELS.items():
         fl = list(w)
         combos = ", ".join(f"('{f}')" for f in fl)
-        case_v = "CASE c.feature " + " ".join(f"WHEN '{f}' THEN o.{f}" for f in fl) + " END"
+        case_v = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN o.{f}" for f in fl) + " END"
         score = lambda src: f"{_lit(b)} + " + " + ".join(
             f"{_lit(v)} * coalesce({src}{f}, 0.0)" for f, v in w.items())
-        swapped = ", ".join(f"CASE WHEN g.feature = '{f}' THEN d.v ELSE g.{f} END AS {f}" for f in fl)
+        swapped = ", ".join(f"CASE WHEN d.feature = '{f}' THEN d.v ELSE o.{f} END AS {f}" for f in fl)
         blocks.append(f"""
-{name}_combos AS (SELECT f.feature, CAST(r.rep AS INTEGER) AS rep
-                  FROM (VALUES {combos}) f(feature), range(10) r(rep)),
-{name}_grid AS (SELECT o.*, c.feature, c.rep,
-                  row_number() OVER (PARTITION BY c.feature, c.rep ORDER BY
-                    CAST(('0x' || substr(md5('42|' || c.feature || '|' || CAST(c.rep AS VARCHAR) || '|'
-                          || CAST(o.id AS VARCHAR)), 1, 15)) AS BIGINT), o.id) AS j
-                FROM ordered o, {name}_combos c),
-{name}_donors AS (SELECT c.feature, c.rep, o.i AS j, {case_v} AS v FROM ordered o, {name}_combos c),
-{name}_perm AS (SELECT g.feature, g.rep, g.label, {swapped}
-                FROM {name}_grid g JOIN {name}_donors d ON d.feature = g.feature AND d.rep = g.rep AND d.j = g.j),
+{name}_start AS (SELECT f.feature, CAST(r.rep AS INTEGER) AS rep, o.i, o.i - 1 AS place, s.*
+                 FROM ordered o, (VALUES {combos}) f(feature), range(10) r(rep), perm_size s),
+{name}_walk AS ({step(f"{name}_start")}
+                UNION ALL {step(f"(SELECT * FROM {name}_walk WHERE place >= n)")}),
+{name}_donors AS (SELECT t.feature, t.rep, t.place + 1 AS j, {case_v} AS v FROM {name}_walk t JOIN ordered o USING (i)
+                  WHERE t.place < t.n),
+{name}_perm AS (SELECT d.feature, d.rep, o.label, {swapped} FROM {name}_donors d JOIN ordered o ON o.i = d.j),
 {name}_scored AS (SELECT feature, rep, label, {score('')} AS p FROM {name}_perm),
 {name}_base AS (SELECT label, {score('')} AS p FROM ordered),
 {name}_auc AS (
@@ -194,7 +203,9 @@ def _perm_sql() -> str:
                FROM {name}_auc, {name}_base_auc GROUP BY feature)""")
     union = " UNION ALL ".join(f"SELECT * FROM {n}_imp" for n in ATTRIBUTION_MODELS)
     return (f"\n, rows_t AS (SELECT ID AS id, Response AS label, {cols} FROM campaign_raw),\n"
-            f"ordered AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM rows_t),"
+            f"ordered AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM rows_t),\n"
+            f"perm_side AS (SELECT count(*) AS n, CAST(floor(sqrt(greatest(count(*) - 1, 0))) AS BIGINT) + 1 AS a FROM rows_t),\n"
+            f"perm_size AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM perm_side),"
             + ",".join(blocks) + f",\nperm_imp AS ({union})")
 
 
@@ -359,11 +370,11 @@ def kernel_shap(spark, sf_dir):
 @register("model_permutation_importance")
 def model_permutation_importance(spark, sf_dir):
     """G3 on the fitted models (explain profile): mean and std of the drop over
-    5 repeats, on the test split."""
+    10 repeats, on the test split."""
     feats = _feats(spark, sf_dir)
     test = base.split(spark, sf_dir).where(F.col("split") == "test").select("id", "label", *feats)
     parts = [X.permutation_importance(test, X.model_score(base.fitted(spark, sf_dir, n, profile="explain"), feats),
-                                      feats, repeats=5, model=n) for n in MODEL_NAMES]
+                                      feats, model=n) for n in MODEL_NAMES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

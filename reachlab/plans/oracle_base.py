@@ -112,7 +112,7 @@ SCORES_CTES = RAW_CTES + "," + SCORES_CTE
 
 
 def with_raw(body: str) -> str:
-    return f"WITH {RAW_CTES}\n{body}"
+    return f"WITH RECURSIVE {RAW_CTES}\n{body}"
 
 
 def with_prep(body: str, extra: str = "") -> str:
