@@ -22,11 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is the cluster's ``spark.checkpoint.dir``; the session helper sets one
-    only where the setting is missing (local tests).
+    It is the session's ``spark.checkpoint.dir``; without that setting, the folder
+    of the context (the session helper makes one for local masters).
     """
-    ensure_checkpoint_dir(spark)
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    folder = ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or folder).rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -68,6 +68,14 @@ def with_new_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns, in that order; extra input columns play no part."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_batches
+from .common import free_name, materialise, small_batches
 from .hashing import SPACE, U64, Words, mix, slices
 
 MIN_WORDS = 50
@@ -282,7 +282,8 @@ def quality(documents: DataFrame, piece_path: str | None = None, rank_path: str
 
 def keep_good_documents(documents: DataFrame, **paths: str) -> DataFrame:
     """Documents without those that ``quality`` rejects; same columns."""
+    gone_id, gone_row = free_name(documents, "_gone_id"), free_name(documents, "_gone_row")
     gone = quality(documents, **paths).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gone_id"))
-                          & (F.xxhash64(documents["text"]) == F.col("_gone_row")), "left_anti")
+        F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row)).distinct()
+    return documents.join(gone, documents["doc_id"].eqNullSafe(F.col(gone_id))
+                          & (F.xxhash64(documents["text"]) == F.col(gone_row)), "left_anti")

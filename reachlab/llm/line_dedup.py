@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rows_of, with_new_columns
+from .common import free_name, materialise, rows_of, with_new_columns
 
 WINDOW_LINES = 3
 
@@ -65,22 +65,23 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     table gives an empty table.
     """
     base = with_new_columns(documents, ["n_lines", "n_removed"])
+    repeated_id, repeated_row, repeated = (free_name(base, n) for n in ("_repeated_id", "_repeated_row", "_repeated"))
     gone = repeated_lines(documents).select(
-        F.col("doc_id").alias("_repeated_id"), F.col("row").alias("_repeated_row"), F.col("places").alias("_repeated"))
-    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_repeated_id"))
-                       & (F.xxhash64("text") == F.col("_repeated_row")), "left")
+        F.col("doc_id").alias(repeated_id), F.col("row").alias(repeated_row), F.col("places").alias(repeated))
+    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col(repeated_id))
+                       & (F.xxhash64("text") == F.col(repeated_row)), "left")
     lines = F.split("text", "\n")
-    kept = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains("_repeated", i)))
-    text = F.when(F.col("_repeated").isNull(), F.col("text")).otherwise(kept)
+    kept = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains(repeated, i)))
+    text = F.when(F.col(repeated).isNull(), F.col("text")).otherwise(kept)
     columns = []
     for c in base.columns:
         if c == "text":
             columns.append(text.alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_repeated").isNull(), F.col("n_chars")).otherwise(
+            columns.append(F.when(F.col(repeated).isNull(), F.col("n_chars")).otherwise(
                 F.length(kept)).cast(base.schema["n_chars"].dataType).alias("n_chars"))
         else:
             columns.append(F.col(f"`{c}`"))
     return joined.select(
         *columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_repeated").isNull(), 0).otherwise(F.size("_repeated")).cast("long").alias("n_removed"))
+        F.when(F.col(repeated).isNull(), 0).otherwise(F.size(repeated)).cast("long").alias("n_removed"))

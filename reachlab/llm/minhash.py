@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, rows_of, small_batches
+from .common import discard, free_name, materialise, rows_of, small_batches
 from .components import components
 from .hashing import U64, Words, mix, shingle_sets, shingles, slices, stream
 
@@ -326,5 +326,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one_of_each_group(documents: DataFrame) -> DataFrame:
     """Documents without those that ``near_duplicates`` does not keep; same columns."""
-    gone = near_duplicates(documents).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("gone"), "left_anti")
+    name = free_name(documents, "gone")
+    gone = near_duplicates(documents).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, documents["doc_id"] == gone[name], "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WORD, materialise
+from .common import WORD, free_name, materialise
 from .hashing import U64, mix
 
 BLOCK_WORDS = 256
@@ -217,12 +217,12 @@ def mix_sources(documents: DataFrame, **parameters: int) -> Mix:
     return Mix(documents, **parameters)
 
 
-def _cut(schema: pa.Schema):
+def _cut(schema: pa.Schema, ranges_name: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = [], []
             for i, (text, ranges) in enumerate(zip(batch.column("text").to_pylist(),
-                                                   batch.column("_ranges").to_pylist(), strict=True)):
+                                                   batch.column(ranges_name).to_pylist(), strict=True)):
                 words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
                 for low, high in _merged(ranges):
                     whole = low == 0 and high == len(words)
@@ -264,14 +264,16 @@ def mixed_documents(documents: DataFrame, **parameters: int) -> DataFrame:
     first to the last word of the stretch (``n_chars``, if there is such a
     column, follows). What the mix does not take is left out.
     """
+    ranges, row, source, p_id, p_row, p_source = (
+        free_name(documents, n) for n in ("_ranges", "_row", "_source", "_id", "_r", "_s"))
     pieces = Mix(documents, **parameters).pieces().select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_r"), F.col("source").alias("_s"),
-        F.col("ranges").alias("_ranges"))
+        F.col("doc_id").alias(p_id), F.col("row").alias(p_row), F.col("source").alias(p_source),
+        F.col("ranges").alias(ranges))
     # the ranges of rows that repeat a document are together, so one of them carries the text
-    texts = documents.withColumn("_row", F.xxhash64("text")).withColumn("_source", F.col("source").cast("string")) \
-        .dropDuplicates(["doc_id", "_row", "_source"])
-    both = texts.join(pieces, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r"))
-                      & F.col("_source").eqNullSafe(F.col("_s")))
+    texts = documents.withColumn(row, F.xxhash64("text")).withColumn(source, F.col("source").cast("string")) \
+        .dropDuplicates(["doc_id", row, source])
+    both = texts.join(pieces, F.col("doc_id").eqNullSafe(F.col(p_id)) & (F.col(row) == F.col(p_row))
+                      & F.col(source).eqNullSafe(F.col(p_source)))
     schema = to_arrow_schema(documents.schema)
-    both = both.select(*[F.col(f"`{c}`") for c in documents.columns], "_ranges")
-    return both.mapInArrow(_cut(schema), documents.schema)
+    both = both.select(*[F.col(f"`{c}`") for c in documents.columns], ranges)
+    return both.mapInArrow(_cut(schema, ranges), documents.schema)

@@ -5,7 +5,8 @@ is therefore cut at single spaces between words (neither vocabulary merges
 across them) and the pieces' ids are remembered per worker. A new piece of plain
 Latin characters is cut at the vocabulary's own pre-token pattern, and each new
 pre-token goes through the library's model once; any other new piece goes
-through the whole tokenizer as it is.
+through the whole tokenizer as it is, and so does a text that may hold the string of
+an added token (which the library gives that token's id).
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # The word vocabulary drops white space; the byte vocabulary keeps it.
         self.keeps_space = self.tokenizer.normalizer is None
         self.remembered = remembered
@@ -54,6 +54,9 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
+            if "<|" in text:  # the strings of the added tokens begin like this
+                out.append(self._library(text))
+                continue
             first, *rest = text.split(" ")
             found = list(map(self.pieces.get, rest))
             if None in found:
@@ -68,6 +71,9 @@ class Encoder:
                 self.rare = {}
         return out
 
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a space and a piece after it; None if white space touches that space."""
         if piece in self.pieces:

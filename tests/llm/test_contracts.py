@@ -30,9 +30,7 @@ def pages(spark):
 
 
 def _tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def _crc(ids):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from reachlab.llm import (
-    fertility, html_text, line_dedup, markov_secrets, minhash, mixing, packing, token_files, topk, warc,
+    bpe_count, collocations, fertility, html_text, line_dedup, markov_secrets, minhash, mixing, packing, token_files,
+    topk, warc, whitening,
 )
 from tests.llm import helpers as H
 
@@ -206,3 +209,67 @@ def test_html(spark, pages):
     assert len(got) == len(PAGES) and {r["text"] for r in got if r["page_id"] in (1, 2)} == {""}
     assert next(r for r in got if r["page_id"] == 9)["n_chars"] == 200_000
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def internal_names() -> list[str]:
+    """Every name that the package gives a column: what its sources alias, add or select as text."""
+    found = set()
+    for path in Path(minhash.__file__).parent.glob("*.py"):
+        found |= set(re.findall(r"""["']([A-Za-z_][A-Za-z_0-9]{0,24})["']""", path.read_text()))
+    keep = {"doc_id", "text", "lang", "source", "page_id", "url", "html", "vec_id", "embedding"}
+    lower = {}
+    for name in sorted(found | set(CLASH.split())):
+        lower.setdefault(name.lower(), name)
+    return [n for k, n in lower.items() if k not in keep]
+
+
+WITH_TEXT = [(i, " ".join(f"w{i % 7}_{k} the of and" for k in range(40)) + "\na b\nc d\ne f", "en", "ab"[i % 2]) for i in range(30)]
+
+
+@pytest.mark.parametrize("function", [
+    fertility.keep_good_documents, line_dedup.drop_repeated_lines, minhash.keep_one_of_each_group,
+    mixing.mixed_documents, packing.pack, markov_secrets.find_secrets, token_files.token_files,
+    minhash.near_duplicates, fertility.quality, bpe_count.token_counts, collocations.collocations,
+], ids=lambda f: f.__name__)
+def test_columns_named_like_internal_ones(spark, function):
+    names = [n for n in internal_names() if n != "n_chars"]
+    assert {"gone", "_gone_id", "_repeated", "_ranges", "keep", "key"} & set(names)
+    plain = H.documents(spark, WITH_TEXT)
+    wide = plain.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
+    want, got = function(plain), function(wide)
+    cols = [c for c in want.columns if c not in ("sequence_id", "offset")]
+    same = lambda df: sorted(map(repr, (tuple(r) for r in df.select(*cols).collect())))
+    assert same(got) == same(want)
+    if function in (fertility.keep_good_documents, minhash.keep_one_of_each_group, mixing.mixed_documents):
+        assert got.columns == wide.columns
+
+
+def test_embeddings_and_pages_with_such_columns(spark, pages):
+    names = internal_names()
+    wide = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(60)], "vec_id long, embedding array<double>") \
+        .select("*", *[F.lit(None).cast("string").alias(n) for n in names])
+    assert topk.top_k(wide, "vec_id % 50 = 0", 3).count() == 6
+    assert whitening.whiten(wide).count() == 180
+    taken = {c.lower() for c in pages.columns}
+    more = pages.select("*", *[F.lit(None).cast("string").alias(n) for n in names if n.lower() not in taken])
+    assert html_text.extract(more).count() == len(PAGES) and warc.archived_pages(more).count() == len(PAGES)
+
+
+SPECIAL = [(1, "a <|endoftext|> b<|startoftext|>"), (2, "<|ENDOFTEXT|> <|endoftext|"), (3, "x<|endoftext|><|endoftext|>\n <| y"),
+           (4, "no such string"), (5, "<|endoftext|>")]
+
+
+def test_strings_of_added_tokens(spark):
+    """Their ids are those of the library's plain call."""
+    import zlib
+    from array import array
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    docs = H.documents(spark, SPECIAL)
+    crc = lambda name, text, end: (lambda ids: (len(ids), zlib.crc32(array("I", ids).tobytes())))(
+        Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids + [end])
+    files = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in H.rows(token_files.token_files(docs))}
+    assert files == {i: crc("byte_bpe_50k.json", t, 2) for i, t in SPECIAL}
+    packed = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in H.rows(packing.pack(docs))}
+    assert packed == {i: crc("word_bpe_49k.json", t, 0) for i, t in SPECIAL}
