@@ -6,11 +6,11 @@ together: one pass of running totals gives the count of every phrase of one to f
 words, with as many open runs as words. Ranges of the sorted stream are read apart;
 only the runs that touch an end of a range are added up afterwards.
 
-The phrases that are frequent enough form a second, much smaller stream per order.
-In prefix order each stream is merged in lockstep with that of one word less, which
-gives the counts of a phrase's first parts, and of its extensions to the right to
-the part; in suffix order (words reversed) the same pass gives the last parts and
-the extensions to the left. Both are sort-merge joins of streams, no lookups.
+The phrases that are frequent enough form a second, much smaller stream. In prefix
+order it is merged in lockstep with the stream of what phrases begin with, which
+tells a phrase the counts of its first parts, and a part those of its extensions to
+the right; in suffix order (words reversed) the same pass gives the last parts and
+the extensions to the left. Both are sort-merge joins of sorted streams, no lookups.
 
 Windows stop where no frequent phrase can go on: pairs of words are counted in a
 table of buckets, whose count is never below that of a pair in it. The table saves
@@ -305,31 +305,24 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> DataFrame:
     return out
 
 
-def _lockstep(phrases: DataFrame) -> DataFrame:
-    """(lang, words, f, parts, longer): the counts of each phrase's shorter beginnings, shortest
-    first, and the largest count of a phrase with one word more (0 if there is none).
+def _lockstep(phrases: DataFrame, side: str) -> DataFrame:
+    """Facts (lang, words, f, side, k, count) from one order of words.
 
-    The stream of each order is merged with that of one word less.
+    The stream of what phrases begin with, in the order of these beginnings, is merged
+    with the stream of phrases. A phrase learns how often its first ``k`` words occur;
+    a phrase of two words or more, how often one with a word more does (``k`` is 0).
     """
-    begins = F.slice("words", 1, F.size("words") - 1)
-    orders = [phrases.where(F.size("words") == n) for n in range(1, LONGEST + 1)]
-    known = orders[0].withColumn("parts", F.array().cast("array<long>"))
-    out = None
-    for n in range(LONGEST):
-        if n + 1 < LONGEST:
-            longer = orders[n + 1].select(F.col("lang").alias("l2"), begins.alias("begin"), F.col("words").alias("w2"),
-                                          F.col("f").alias("f2"))
-            most = longer.groupBy("l2", "begin").agg(F.max("f2").alias("longer"))
-            same = (F.col("lang") == F.col("l2")) & (F.col("words") == F.col("begin"))
-            here = known.join(most.hint("merge"), same, "left").select(
-                "lang", "words", "f", "parts", F.coalesce("longer", F.lit(0)).alias("longer"))
-            known = longer.join(known.hint("merge"), same).select(
-                "lang", F.col("w2").alias("words"), F.col("f2").alias("f"),
-                F.concat("parts", F.array("f")).alias("parts"))
-        else:
-            here = known.withColumn("longer", F.lit(0).cast("long"))
-        out = here if out is None else out.unionByName(here)
-    return out
+    n = F.size("words")
+    begun = phrases.where(n > 1).select(
+        F.col("lang").alias("l2"), F.col("words").alias("w2"), F.col("f").alias("f2"),
+        F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.slice("words", 1, k))).alias("begin"))
+    both = begun.join(phrases.hint("merge"), (F.col("l2") == F.col("lang")) & (F.col("begin") == F.col("words")))
+    fact = lambda words, f, k, count: F.struct(
+        F.col("lang"), F.col(words).alias("words"), F.col(f).alias("f"), k.alias("k"), F.col(count).alias("count"))
+    longer = (n > 1) & (F.size("w2") == n + 1)
+    facts = F.array(fact("w2", "f2", n, "f"), F.when(longer, fact("words", "f", F.lit(0), "f2")))
+    return both.select(F.explode(facts).alias("x")).where(F.col("x").isNotNull()).select(
+        "x.lang", "x.words", "x.f", F.lit(side).alias("side"), "x.k", "x.count")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -353,11 +346,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     phrases = phrase_counts(texts, least)
     words = phrases.where(F.size("words") > 0)
     back = lambda df: df.withColumn("words", F.reverse("words"))
-    ahead = _lockstep(words).where(F.size("words") > 1)
-    behind = back(_lockstep(back(words)).where(F.size("words") > 1)).select(
-        F.col("lang").alias("l2"), F.col("words").alias("w2"), F.col("parts").alias("ends"), F.col("longer").alias("before"))
-    both = ahead.join(behind.hint("merge"), (F.col("lang") == F.col("l2")) & (F.col("words") == F.col("w2")))
-    both = both.where(F.greatest("longer", "before") < F.col("f"))
+    facts = _lockstep(words, "begins").unionByName(back(_lockstep(back(words), "ends")))
+    count = lambda side, k: F.max(F.when((F.col("side") == side) & (F.col("k") == k), F.col("count")))
+    both = facts.groupBy("lang", "words", "f").agg(
+        F.coalesce(F.max(F.when(F.col("k") == 0, F.col("count"))), F.lit(0)).alias("longer"),
+        F.array(*[count("begins", k) for k in range(1, LONGEST)]).alias("parts"),
+        F.array(*[count("ends", k) for k in range(1, LONGEST)]).alias("ends")).where(F.col("longer") < F.col("f"))
     total = phrases.where(F.size("words") == 0).select(F.col("lang").alias("l3"), F.col("f").alias("n"))
     few = total.count() <= FEW_LANGUAGES
     both = both.join(F.broadcast(total) if few else total.hint("merge"), F.col("lang") == F.col("l3"))
