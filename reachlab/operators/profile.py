@@ -203,12 +203,16 @@ def value_labels(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 # C11 --------------------------------------------------------------------------------
 def _bin_counts(df: DataFrame, features: Sequence[str], bins: int,
-                by: str | None = None) -> DataFrame:
-    """Unrounded (feature[, by], bin, lo, hi, count) for equal-width bins."""
+                by: str | None = None, own_range: bool = False) -> DataFrame:
+    """Unrounded (feature[, by], bin, lo, hi, count) for equal-width bins of each
+    feature's range, or (``own_range``) of each level's own."""
     keep = [by] if by else []
     long = _long(df, features, keep).where(F.col("value").isNotNull())
-    rng = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    x = long.join(F.broadcast(rng), "feature")             # #features rows
+    if by:
+        long = long.where(F.col(by).isNotNull()) if own_range else long
+    keys = ["feature", *keep] if own_range else ["feature"]
+    rng = long.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    x = long.join(F.broadcast(rng), keys)                  # #features (x #levels) rows
     span = F.col("hi") - F.col("lo")
     raw_bin = F.floor((F.col("value") - F.col("lo")) / span * bins)
     b = F.when(span == 0, F.lit(0)).otherwise(F.least(raw_bin, F.lit(bins - 1))).cast("int")
@@ -229,9 +233,8 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = DEFAULT_BINS,
 
 
 # C12 --------------------------------------------------------------------------------
-def box_summary(df: DataFrame, features: Sequence[str], by: str | None = None,
-                k: float = IQR_K) -> DataFrame:
-    """Quartiles, whiskers (furthest values within k x IQR) and outlier count."""
+def _fences(df: DataFrame, features: Sequence[str], by: str | None, k: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Long values joined with their (feature[, level])'s quartiles and fences; the fences; the key."""
     spark = df.sparkSession
     levels = ([r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect()]
               if by else [None])                           # a target has few levels
@@ -253,14 +256,16 @@ def box_summary(df: DataFrame, features: Sequence[str], by: str | None = None,
     level_type = df.schema[by].dataType.simpleString() if by else "int"
     qdf = spark.createDataFrame(rows, f"feature string, level {level_type}, q1 double, "
                                       "median double, q3 double, lo_fence double, hi_fence double")
-    keep = [by] if by else []
-    long = _long(df, features, keep).where(F.col("value").isNotNull())
-    if by:
-        long = long.withColumnRenamed(by, "level")
-        cond = ["feature", "level"]
-    else:
-        cond = ["feature"]
-        qdf = qdf.drop("level")
+    if not by:
+        return df, qdf.drop("level"), ["feature"]
+    return df.withColumnRenamed(by, "level"), qdf, ["feature", "level"]
+
+
+def box_summary(df: DataFrame, features: Sequence[str], by: str | None = None,
+                k: float = IQR_K) -> DataFrame:
+    """Quartiles, whiskers (furthest values within k x IQR) and outlier count."""
+    named, qdf, cond = _fences(df, features, by, k)
+    long = _long(named, features, cond[1:]).where(F.col("value").isNotNull())
     j = long.join(F.broadcast(qdf), cond)                  # #features x #levels rows
     v, lo, hi = F.col("value"), F.col("lo_fence"), F.col("hi_fence")
     agg = j.groupBy(*cond).agg(
@@ -273,10 +278,22 @@ def box_summary(df: DataFrame, features: Sequence[str], by: str | None = None,
                       "n_outliers")
 
 
+def box_outliers(df: DataFrame, features: Sequence[str], key: str, by: str | None = None,
+                 k: float = IQR_K) -> DataFrame:
+    """The points that a box plot draws beyond its whiskers: (key, feature[, level], value,
+    side), side being 'low' or 'high'. Every point is returned."""
+    named, qdf, cond = _fences(df, features, by, k)
+    long = _long(named, features, [key, *cond[1:]]).where(F.col("value").isNotNull())
+    v = F.col("value")
+    j = long.join(F.broadcast(qdf), cond).where((v < F.col("lo_fence")) | (v > F.col("hi_fence")))  # #features x #levels
+    return j.select(key, *cond, r6(v).alias("value"), F.when(v < F.col("lo_fence"), "low").otherwise("high").alias("side"))
+
+
 # C13 --------------------------------------------------------------------------------
 def density_summary(df: DataFrame, features: Sequence[str], grid: int = 50,
-                    bins: int = 200) -> DataFrame:
-    """Gaussian kernel density on ``grid`` points per feature (violin outline).
+                    bins: int = 200, by: str | None = None) -> DataFrame:
+    """Gaussian kernel density on ``grid`` points per feature (violin outline), or
+    per feature and level of ``by`` (a violin each, over the level's own range).
 
     Values are first binned (C11 with ``bins`` bins); the density at each grid
     point sums the kernel over bin centres weighted by bin counts, so cost is
@@ -285,32 +302,29 @@ def density_summary(df: DataFrame, features: Sequence[str], grid: int = 50,
     the IQR is 0. ``density_scaled`` is density x (max - min), which keeps the
     shape readable at 6 places for features on large scales.
     """
-    spark = df.sparkSession
-    counts = _bin_counts(df, features, bins)
-    q = exact_quantiles(df, list(features), [0.25, 0.75])
-    stats = _long(df, features).where(F.col("value").isNotNull()).groupBy("feature").agg(
+    named, qdf, keys = _fences(df, features, by, IQR_K)
+    counts = _bin_counts(named, features, bins, "level" if by else None, own_range=by is not None)
+    stats = _long(named, features, keys[1:]).where(F.col("value").isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"),
         F.min("value").alias("lo"), F.max("value").alias("hi"))
-    qdf = spark.createDataFrame([(f, q[f][0], q[f][1]) for f in features if q[f][0] is not None],
-                                "feature string, q1 double, q3 double")
     iqr = (F.col("q3") - F.col("q1")) / 1.349
     spread = F.when(iqr > 0, F.least(F.col("sd"), iqr)).otherwise(F.col("sd"))
-    bw = stats.join(F.broadcast(qdf), "feature").select(
-        "feature", "n", "lo", "hi",
+    bw = stats.join(F.broadcast(qdf), keys).select(        # #features x #levels rows
+        *keys, "n", "lo", "hi",
         (F.lit(1.059) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
     bw = bw.where(F.col("bw") > 0)
     gridded = bw.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g")).select(
-        "feature", "g", "n", "bw", "lo", "hi",                 # #features x grid rows
+        *keys, "g", "n", "bw", "lo", "hi",                     # #features x grid rows
         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / (grid - 1)).alias("x"))
     width = (F.col("hi") - F.col("lo")) / bins
-    centres = counts.select("feature", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("c"),
+    centres = counts.select(*keys, (F.col("lo") + (F.col("bin") + 0.5) * width).alias("c"),
                             "count")
-    pairs = gridded.join(centres, "feature")                # grid x bins per feature
+    pairs = gridded.join(centres, keys)                     # grid x bins per feature
     z = (F.col("x") - F.col("c")) / F.col("bw")
-    dens = pairs.groupBy("feature", "g", "x", "n", "bw", "lo", "hi").agg(
+    dens = pairs.groupBy(*keys, "g", "x", "n", "bw", "lo", "hi").agg(
         F.sum(F.col("count") * F.exp(-0.5 * z * z)).alias("s"))
     d = F.col("s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return dens.select("feature", F.col("g").cast("int").alias("g"), r6("x").alias("x"),
+    return dens.select(*keys, F.col("g").cast("int").alias("g"), r6("x").alias("x"),
                        r6(d).alias("density"),
                        r6(d * (F.col("hi") - F.col("lo"))).alias("density_scaled"))
 

@@ -67,14 +67,15 @@ def linear_attributions(spark, sf_dir):
 SELECT id, feature, round(value, 6) AS value, round(contribution, 6) AS contribution, space
 FROM attributions WHERE model = 'linear_a'"""))
 def attribution_store(spark, sf_dir):
-    """A5 + A6: store the attributions per (dataset, model), read one model
-    back through partition pruning (computing and storing it on a miss)."""
-    import os
-
-    from reachlab.sources.store import default_store, load_attributions, store_attributions
-    path = os.path.join(default_store(spark), os.path.basename(sf_dir.rstrip("/")))
-    store_attributions(_attr(spark, sf_dir), path, "marketing")
-    got = load_attributions(spark, path, "marketing", "linear_a", compute=lambda: _attr(spark, sf_dir))
+    """A5 + A6: ask a new store for one model's attributions, which computes and stores
+    them, store all models, and read the one back from its own folder."""
+    import uuid
+
+    from reachlab.sources.store import dataset_key, default_store, load_attributions, store_attributions
+    root, dataset = f"{default_store(spark)}/{uuid.uuid4().hex}", dataset_key(sf_dir)
+    load_attributions(spark, root, dataset, "linear_a", compute=lambda: _attr(spark, sf_dir))
+    store_attributions(_attr(spark, sf_dir), root, dataset)
+    got = load_attributions(spark, root, dataset, "linear_a")
     return got.select("id", "feature", F.round("value", 6).alias("value"),
                       F.round("contribution", 6).alias("contribution"), "space")
 
@@ -409,3 +410,45 @@ def model_key_drivers(spark, sf_dir):
     w = Window.partitionBy("model").orderBy(F.col("score").desc(), "feature")   # #features rows per model
     top = ranking.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3)
     return describe_features(top)
+
+
+# A5 / A6 on the fitted models ---------------------------------------------------------
+def _payload(spark, sf_dir, name, kind):
+    """One stored table of a fitted model: its SHAP values, importance or permutation importance."""
+    feats = _feats(spark, sf_dir)
+    test = base.split(spark, sf_dir).where(F.col("split") == "test")
+    fitted = base.fitted(spark, sf_dir, name, profile="explain")
+    if kind == "permutation":
+        return X.permutation_importance(test.select("id", "label", *feats), X.model_score(fitted, feats), feats, model=name)
+    if kind == "importance":
+        built_in = X.tree_importance(fitted, feats, name)
+        if built_in is not None:
+            return built_in.select("model", "feature", "importance")
+        stored = _stored(spark, sf_dir, name, "permutation")
+        return stored.select("model", "feature", F.col("importance_mean").alias("importance"))
+    if name == "logistic":
+        return X.logistic_attributions(fitted, test, feats)
+    return kernel_shap(spark, sf_dir) if name == "mlp" else _tree_shap(spark, sf_dir, name)
+
+
+def _stored(spark, sf_dir, name, kind):
+    from reachlab.sources.store import dataset_key, default_store, load
+    return load(spark, default_store(spark), dataset_key(sf_dir), f"{spark.sparkContext.applicationId}-{name}", kind,
+                compute=lambda: _payload(spark, sf_dir, name, kind))
+
+
+@register("stored_explanations")
+def stored_explanations(spark, sf_dir):
+    """A5 + A6: SHAP values, importance and permutation importance of the five fitted
+    models, each computed and stored on a miss and read back from its own folder; per
+    model and feature, with the model's base value."""
+    out = None
+    for name in MODEL_NAMES:
+        shap = _stored(spark, sf_dir, name, "shap").groupBy("model", "feature").agg(
+            F.avg(F.abs("contribution")).alias("mean_abs_shap"), F.first("base_value").alias("base_value"))
+        one = shap.join(_stored(spark, sf_dir, name, "importance"), ["model", "feature"]).join(
+            _stored(spark, sf_dir, name, "permutation"), ["model", "feature"]).select(
+            "model", "feature", F.round("mean_abs_shap", 6).alias("mean_abs_shap"),
+            F.round("base_value", 6).alias("base_value"), "importance", "importance_mean", "importance_std")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -222,40 +222,74 @@ def box_summary_by_target(spark, sf_dir):
     return P.box_summary(base.raw(spark, sf_dir), feats, by=TARGET)
 
 
+def _points_sql(by=None):
+    grp = "feature, level" if by else "feature"
+    return f"""
+, sub AS (SELECT ID, feature, {f"{by} AS level, " if by else ""}value FROM long WHERE value IS NOT NULL
+          AND feature IN (SELECT feature FROM kinds WHERE kind = 'continuous')),
+f AS (SELECT {grp}, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM sub GROUP BY {grp})
+SELECT ID, {grp}, round(value, 6) AS value, CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN 'low' ELSE 'high' END AS side
+FROM sub JOIN f USING ({grp}) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"""
+
+
+@register("box_outliers", with_raw(KINDS.replace(LONG, f", long AS {_unpivot(FEATURES_RAW, keep=('ID',))}") + _points_sql()))
+def box_outliers(spark, sf_dir):
+    """The points that the box plots show beyond their whiskers."""
+    return P.box_outliers(base.raw(spark, sf_dir), _kind_features(spark, sf_dir, continuous=True), "ID")
+
+
+@register("box_outliers_by_target", with_raw(
+    KINDS.replace(LONG, f", long AS {_unpivot(FEATURES_RAW, keep=('ID', 'Response'))}") + _points_sql("Response")))
+def box_outliers_by_target(spark, sf_dir):
+    return P.box_outliers(base.raw(spark, sf_dir), _kind_features(spark, sf_dir, continuous=True), "ID", by=TARGET)
+
+
 _GRID, _DBINS = 50, 200
 
 
-@register("density_summary", with_raw(KINDS + f"""
-, sub AS (SELECT feature, value FROM long WHERE value IS NOT NULL
+def _density_sql(by=None):
+    grp = "feature, level" if by else "feature"
+    return f"""
+, sub AS (SELECT feature, {f"{by} AS level, " if by else ""}value FROM long WHERE value IS NOT NULL
           AND feature IN (SELECT feature FROM kinds WHERE kind = 'continuous')),
-st AS (SELECT feature, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi,
+st AS (SELECT {grp}, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi,
               quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-       FROM sub GROUP BY feature),
-bw AS (SELECT feature, n, lo, hi,
+       FROM sub GROUP BY {grp}),
+bw AS (SELECT {grp}, n, lo, hi,
               1.059 * (CASE WHEN (q3 - q1) / 1.349 > 0 THEN least(sd, (q3 - q1) / 1.349) ELSE sd END)
                 * pow(CAST(n AS DOUBLE), -0.2) AS bw
        FROM st),
 bins AS (
-  SELECT feature, CAST(CASE WHEN hi - lo = 0 THEN 0
+  SELECT {grp}, CAST(CASE WHEN hi - lo = 0 THEN 0
                   ELSE least(floor((value - lo) / (hi - lo) * {_DBINS}), {_DBINS - 1}) END AS INTEGER) AS bin,
          count(*) AS cnt
-  FROM sub JOIN st USING (feature) GROUP BY 1, 2),
-centres AS (SELECT feature, lo + (bin + 0.5) * ((hi - lo) / {_DBINS}) AS c, cnt
-            FROM bins JOIN st USING (feature)),
-grid AS (SELECT feature, g, n, bw, lo, hi, lo + (hi - lo) * g / {_GRID - 1} AS x
+  FROM sub JOIN st USING ({grp}) GROUP BY {grp}, bin),
+centres AS (SELECT {grp}, lo + (bin + 0.5) * ((hi - lo) / {_DBINS}) AS c, cnt
+            FROM bins JOIN st USING ({grp})),
+grid AS (SELECT {grp}, g, n, bw, lo, hi, lo + (hi - lo) * g / {_GRID - 1} AS x
          FROM bw, range({_GRID}) AS r(g) WHERE bw > 0),
-dens AS (SELECT feature, g, x, n, bw, lo, hi,
+dens AS (SELECT {grp}, g, x, n, bw, lo, hi,
                 sum(cnt * exp(-0.5 * ((x - c) / bw) * ((x - c) / bw))) AS s
-         FROM grid JOIN centres USING (feature) GROUP BY feature, g, x, n, bw, lo, hi)
-SELECT feature, CAST(g AS INTEGER) AS g, round(x, 6) AS x,
+         FROM grid JOIN centres USING ({grp}) GROUP BY {grp}, g, x, n, bw, lo, hi)
+SELECT {grp}, CAST(g AS INTEGER) AS g, round(x, 6) AS x,
        round(s / (n * bw * sqrt(2 * pi())), 6) AS density,
        round(s / (n * bw * sqrt(2 * pi())) * (hi - lo), 6) AS density_scaled
-FROM dens"""))
+FROM dens"""
+
+
+@register("density_summary", with_raw(KINDS + _density_sql()))
 def density_summary(spark, sf_dir):
     feats = _kind_features(spark, sf_dir, continuous=True)
     return P.density_summary(base.raw(spark, sf_dir), feats, grid=_GRID, bins=_DBINS)
 
 
+@register("density_by_target", with_raw(KINDS.replace(LONG, _LONG_T) + _density_sql("Response")))
+def density_by_target(spark, sf_dir):
+    """C13 split by the target: a violin per feature and class."""
+    feats = _kind_features(spark, sf_dir, continuous=True)
+    return P.density_summary(base.raw(spark, sf_dir), feats, grid=_GRID, bins=_DBINS, by=TARGET)
+
+
 # C14 ------------------------------------------------------------------------------
 @register("vif")
 def vif(spark, sf_dir):

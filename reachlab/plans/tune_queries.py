@@ -7,6 +7,7 @@ with k-fold CV) is rows-only.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reachlab.operators import evaluate as E
@@ -144,6 +145,8 @@ def _tuned(spark, sf_dir, model, scoring="average_precision", n_trials=T.DEFAULT
 
 
 _STUDIES: dict[tuple, tuple] = {}
+# The studies that queries run: the model and what its trials are scored by.
+STUDIES = [("tree", "average_precision"), ("logistic", "roc_auc")]
 
 
 @register("tune_model")
@@ -168,12 +171,15 @@ def tuned_test_metrics(spark, sf_dir):
 
 @register("search_space")
 def search_space(spark, sf_dir):
-    """H1: the drawn parameters of every model's trials."""
-    parts = [T.search_space(spark, m) for m in T.SEARCH_SPACES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """H1: the drawn parameters of the studies run on the data, one row per trial and
+    parameter, with the trial's score and its rank in the study."""
+    parts = []
+    for model, scoring in STUDIES:
+        w = Window.orderBy(F.col("score").desc_nulls_last(), "trial")  # #trials rows
+        scored = _tuned(spark, sf_dir, model, scoring)[0].select(
+            F.lit(model).alias("model"), F.lit(scoring).alias("objective"), "trial", "score", F.row_number().over(w).alias("rank"))
+        parts.append(T.search_space(spark, model).join(scored, ["model", "trial"]))
+    return parts[0].unionByName(parts[1])
 
 
 # I1 - I5 ----------------------------------------------------------------------------
