@@ -36,6 +36,7 @@ Z_THRESHOLD = 3.0
 SEVERITY_LOW_PCT = 1.0
 SEVERITY_MEDIUM_PCT = 5.0
 SCREEN_DISTINCT = 50          # HLL screen: above this a feature is surely continuous
+FILTER_BITS = 28             # bits (as a power of two) that mark fingerprints of repeated rows
 MINUS = "−"
 # -------------------------------------------------------------------------------
 
@@ -102,15 +103,25 @@ def profile_completeness(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of identical rows (NULLs equal).
 
-    Only an 8-byte hash of each row is shuffled for the first grouping; the
-    full rows are compared only for hash groups that occur more than once.
+    The first grouping shuffles an 8-byte fingerprint per row. Those that repeat set
+    bits of a filter (2^28 bits in pieces of 4 KB, so 32 MB at most), which goes to a
+    second scan; only rows whose bit is set are shuffled whole and compared. The
+    filter lets through a few rows too many, never one too few, and equal
+    fingerprints of unlike rows do no harm, as whole rows are compared.
     """
-    cols = df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols]).alias("__h")
-    hashed = df.select(h, *cols)
-    hot = hashed.groupBy("__h").count().where(F.col("count") > 1).select("__h")
-    candidates = hashed.join(hot, "__h", "left_semi")
-    groups = candidates.groupBy("__h", *cols).count()
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    place = F.pmod(F.xxhash64(*cols), F.lit(1 << FILTER_BITS)).alias("place")
+    repeated = df.select(F.xxhash64(*cols).alias("h")).groupBy("h").count().where(F.col("count") > 1) \
+        .select(F.pmod("h", F.lit(1 << FILTER_BITS)).alias("place"))
+    pieces = repeated.groupBy(F.bitmap_bucket_number("place").alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)], place)
+    bit = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # at most 2^FILTER_BITS / 32,768 pieces of 4 KB
+    maybe = rows.join(F.broadcast(pieces), F.bitmap_bucket_number("place") == F.col("piece")) \
+        .where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1)
+    groups = maybe.groupBy("place", *[f"c{i}" for i in range(len(cols))]).count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long")
                       .alias("duplicates"))
 
@@ -405,23 +416,28 @@ def top_target_correlations(corr: DataFrame, target: str, k: int = 5) -> DataFra
 
 # C17 / C18 ----------------------------------------------------------------------------
 def variable_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Continuous card: mean, std, min, max, distinct values, missing n and %."""
-    long = _long(df, features)
-    n = F.count(F.lit(1))
-    per_value = long.groupBy("feature", "value").agg(n.alias("c"))
+    """Continuous card: mean, std, min, max, distinct values, missing n and %.
+
+    All of it comes from one count per (feature, value); the squares are summed
+    about each feature's mean, over the same shuffled counts.
+    """
+    per_value = _long(df, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    known = F.when(F.col("value").isNotNull(), F.col("c"))
     stats = per_value.groupBy("feature").agg(
-        F.sum("c").alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("c"))).alias("missing"),
+        F.sum("c").alias("rows"), F.sum(known).alias("known"),
         F.count("value").alias("n_unique"),
+        (F.sum(F.col("value") * known) / F.sum(known)).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    moments = long.groupBy("feature").agg(F.avg("value").alias("mean"),
-                                          F.stddev_samp("value").alias("std"))
-    out = stats.join(moments, "feature")
-    return out.select("feature", r6("mean").alias("mean"), r6("std").alias("std"),
+    apart = F.col("value") - F.col("mean")
+    squares = per_value.join(F.broadcast(stats.select("feature", "mean")), "feature").groupBy("feature").agg(  # a row per feature
+        F.sum(apart * apart * F.col("c")).alias("squares"))
+    out = stats.join(F.broadcast(squares), "feature")
+    missing = F.col("rows") - F.coalesce("known", F.lit(0))
+    std = F.when(F.col("known") > 1, F.sqrt(F.col("squares") / (F.col("known") - 1)))
+    return out.select("feature", r6("mean").alias("mean"), r6(std).alias("std"),
                       r6("min").alias("min"), r6("max").alias("max"), "n_unique",
-                      F.coalesce("missing", F.lit(0)).cast("long").alias("missing"),
-                      r6(F.coalesce("missing", F.lit(0)) / F.col("rows") * 100.0)
-                      .alias("missing_pct"))
+                      missing.cast("long").alias("missing"),
+                      r6(missing / F.col("rows") * 100.0).alias("missing_pct"))
 
 
 def categorical_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:

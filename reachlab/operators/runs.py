@@ -2,8 +2,8 @@
 
 A run is a row ``(id, name, model, job_type, created_at, state, summary
 map<string,string>, config map<string,string>)``; per-step metrics are rows of
-``run_metrics(run_id, step, metric, value)``. Both are appended to parquet
-(the sink) and read back with ordinary filters.
+``run_metrics(run_id, step, metric, value)``. Both are appended in batches to a log
+of parquet folders (``sources.run_log``) and read back with ordinary filters.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reachlab.functions.columns import r6
+from reachlab.sources import run_log
 
 # --- fixed values of the reference's run handling ------------------------------------
 STRIP_CHARS = " -_·"
 EMPTY_NAME = "run"
+UNKNOWN = "—"
 RECENT_LIMIT = 100
 SEARCH_JOB = "hparam-search"
 BASELINE_JOB = "classify-baseline"
@@ -99,14 +101,14 @@ def _map(entries: list[tuple[str, Column]]) -> Column:
     return F.map_from_entries(F.filter(arr, lambda e: e.getField("v").isNotNull()))
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """I1 sink: append to a parquet table partitioned by job type."""
-    runs.write.mode("append").partitionBy("job_type").parquet(path)
+def append_runs(runs: DataFrame, path: str, batch: str) -> bool:
+    """I1 sink: append to the run log at ``path``; a batch that is retried adds nothing."""
+    return run_log.append(runs, path, batch)
 
 
-def append_run_metrics(metrics: DataFrame, path: str) -> None:
-    """I1 sink for per-step metrics: append to a parquet table partitioned by run."""
-    metrics.write.mode("append").partitionBy("run_id").parquet(path)
+def append_run_metrics(metrics: DataFrame, path: str, batch: str) -> bool:
+    """I1 sink for per-step metrics, with the same care for retried batches."""
+    return run_log.append(metrics, path, batch)
 
 
 def run_metrics(trials: DataFrame, run_id: str = "rule-study") -> DataFrame:
@@ -120,6 +122,30 @@ def run_metrics(trials: DataFrame, run_id: str = "rule-study") -> DataFrame:
         .select("run_id", "step", "metric", r6("value").alias("value"))
 
 
+def _scalars(document: Column) -> Column:
+    """The entries of a JSON object that are numbers, strings or booleans, as text."""
+    entries = F.from_json(document, "map<string,variant>")
+    kept = F.map_filter(entries, lambda _, v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"))
+    return F.coalesce(F.transform_values(kept, lambda _, v: v.cast("string")),
+                      F.create_map().cast("map<string,string>"))
+
+
+def fetched_runs(tracked: DataFrame) -> DataFrame:
+    """Runs from the records of a tracker (id, name, job_type, created_at, state,
+    summary and config as JSON objects, url).
+
+    The maps keep scalar entries only; lists, objects and nulls in them go. ``model``
+    comes from the config. A run without a model or job type has a dash there. A
+    document that is null or no JSON object gives an empty map.
+    """
+    config = _scalars(F.col("config"))
+    text = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.lit(UNKNOWN)).otherwise(c)
+    return tracked.select(
+        "id", "name", F.coalesce(F.try_element_at(config, F.lit("model")), F.lit(UNKNOWN)).alias("model"),
+        text(F.col("job_type")).alias("job_type"), "created_at", "state",
+        _scalars(F.col("summary")).alias("summary"), config.alias("config"), "url")
+
+
 def recent_runs(runs: DataFrame, job_type_substring: str | None = SEARCH_JOB,
                 limit: int = RECENT_LIMIT) -> DataFrame:
     """The ``limit`` most recent runs first, then the job-type filter (a

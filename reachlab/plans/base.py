@@ -2,7 +2,8 @@
 
 The reference caches its loaded and preprocessed frames; here the derived
 customer table, the prepared table and the other shared inputs are
-written once per (application, data directory) as Parquet into the cluster's
+written once per application and state of the data directory (names, lengths and
+times of its files, and the session's settings that change values) as Parquet into the cluster's
 shared ``spark.checkpoint.dir`` and read back. That cuts their lineage (every
 later query plans against a scan, with column pruning, pushdown and statistics)
 and survives executor loss. ``scores`` and ``attributions`` are projections of
@@ -11,24 +12,50 @@ such a table and stay lazy. ``clear`` deletes what was written.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reachlab.operators.prep import prep_full
 from reachlab.sources.campaign import campaign_raw
 from reachlab.sources.fixtures import attributions_table, scores_table
+from reachlab.sources.store import hadoop_path
 
 _MEMO: dict[tuple, DataFrame] = {}
 _PATHS: dict[tuple, str] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir, name)
+# Settings that change what the same files give.
+_SETTINGS = ["spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.caseSensitive"]
+
+
+def _files(spark: SparkSession, folder: str) -> list:
+    """What names the present files of ``folder``: names, lengths and times of those in it,
+    and one sum over all files of its sub-folders (tables of many files), which Spark lists."""
+    store, target = hadoop_path(spark, folder)
+    found, folders = [], []
+    for f in store.listStatus(target):   # one entry per table
+        if f.isDirectory():
+            folders.append(f.getPath().toString())
+        else:
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    if folders:
+        below = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        each = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+        found.append(tuple(below.agg(F.count(F.lit(1)), F.bit_xor(each), F.sum("length")).first()))
+    return sorted(found, key=repr)
+
+
+def state_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Equal as long as the files of ``sf_dir`` and the settings stay as they are."""
+    said = repr((_files(spark, sf_dir), [spark.conf.get(s, None) for s in _SETTINGS]))
+    return (spark.sparkContext.applicationId, sf_dir, hashlib.sha256(said.encode()).hexdigest(), name)
 
 
 def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    k = _key(spark, sf_dir, name)
+    k = state_key(spark, sf_dir, name)
     df = _MEMO.get(k)
     if df is None:
         from reachlab.session import ensure_checkpoint_dir
@@ -41,7 +68,7 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Write ``build()`` once per (application, data directory, name)."""
+    """Write ``build()`` once per application, name and state of the data directory."""
     return _memo(spark, sf_dir, name, build)
 
 
@@ -75,12 +102,10 @@ _FITTED: dict[tuple, object] = {}
 
 
 def fitted(spark: SparkSession, sf_dir: str, name: str, profile: str = "compare"):
-    """A fitted pipeline per (application, data, model, profile)."""
-    from pyspark.sql import functions as F
-
+    """A fitted pipeline per application, state of the data, model and profile."""
     from reachlab.operators.catalog import feature_list_names
     from reachlab.operators.models import fit_model
-    k = _key(spark, sf_dir, f"model:{name}:{profile}")
+    k = state_key(spark, sf_dir, f"model:{name}:{profile}")
     if k not in _FITTED:
         sp = split(spark, sf_dir)
         feats = feature_list_names(sp, "label")

@@ -433,7 +433,8 @@ def _payload(spark, sf_dir, name, kind):
 
 def _stored(spark, sf_dir, name, kind):
     from reachlab.sources.store import dataset_key, default_store, load
-    return load(spark, default_store(spark), dataset_key(sf_dir), f"{spark.sparkContext.applicationId}-{name}", kind,
+    app, _, state, _ = base.state_key(spark, sf_dir, name)
+    return load(spark, default_store(spark), dataset_key(sf_dir), f"{app}-{state}-{name}", kind,
                 compute=lambda: _payload(spark, sf_dir, name, kind))
 
 

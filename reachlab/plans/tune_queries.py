@@ -7,6 +7,8 @@ with k-fold CV) is rows-only.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from reachlab.operators.split import cv_folds
 from reachlab.plans import base
 from reachlab.plans.oracle_base import SCORES_CTE, with_raw
 from reachlab.plans.registry import register
+from reachlab.session import ensure_checkpoint_dir
 from reachlab.sources import fixtures as X
+from reachlab.sources import run_log as run_log_files
 
 
 def _lit(w: float) -> str:
@@ -134,7 +138,7 @@ def parallel_coords(spark, sf_dir):
 
 def _tuned(spark, sf_dir, model, scoring="average_precision", n_trials=T.DEFAULT_TRIALS):
     """One study per (data, model, objective): trials and the refit's test scores."""
-    key = (spark.sparkContext.applicationId, sf_dir, model, scoring, n_trials)
+    key = base.state_key(spark, sf_dir, f"study:{model}:{scoring}:{n_trials}")
     if key not in _STUDIES:
         sp = base.split(spark, sf_dir)
         folds = cv_folds(sp.where(F.col("split") == "train"))
@@ -251,6 +255,34 @@ def run_log(spark, sf_dir):
     return R.run_table(_runs(spark, sf_dir))
 
 
+_LOG_COLUMNS = "id, safe_name AS name, model, job_type, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, state"
+
+
+@register("run_log_appended", with_raw(_RUNS + f"\nSELECT {_LOG_COLUMNS}, n_summary, n_config FROM named"))
+def run_log_appended(spark, sf_dir):
+    """I1 sink: the runs, appended in three batches, one of them twice, and compacted."""
+    runs = _runs(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark)}/run-log-{uuid.uuid4().hex}"
+    early = F.col("created_at") < F.lit("2026-01-02").cast("timestamp_ntz")
+    search = F.col("job_type") == R.SEARCH_JOB
+    for batch, rows in [("baseline", ~search), ("search 1", search & early), ("search 1", search & early),
+                        ("search 2", search & ~early)]:
+        R.append_runs(runs.where(rows), root, batch)
+    run_log_files.compact(spark, root, runs.schema)
+    R.append_runs(runs.where(search & early), root, "search 1")   # a late retry
+    return R.run_table(run_log_files.read(spark, root, runs.schema))
+
+
+@register("fetched_runs", with_raw(_RUNS + """
+SELECT id, safe_name AS name, model, CASE WHEN job_type = 'classify-baseline' THEN '—' ELSE job_type END AS job_type,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, state,
+       n_summary + 2 AS n_summary, n_config + 2 AS n_config, 'tracker/runs/' || id AS url FROM named"""))
+def fetched_runs(spark, sf_dir):
+    """Runs read from a tracker's records, scalar entries only, with their url."""
+    runs = R.fetched_runs(X.tracked_runs(_runs(spark, sf_dir)))
+    return R.run_table(runs).join(runs.select("id", "url"), "id")
+
+
 @register("run_metrics", with_raw(RULE + """
 , steps AS (SELECT trial, ap, CASE WHEN ap IS NULL THEN NULL
                                   ELSE max(ap) OVER (ORDER BY trial ROWS UNBOUNDED PRECEDING) END AS best

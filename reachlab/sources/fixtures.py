@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachlab.functions.columns import r6
@@ -191,3 +191,11 @@ def runs_from_board(board: DataFrame, base_time: str = "2025-12-31 12:00:00") ->
         F.create_map(F.lit("model"), F.col("model")).alias("config"))
 
 
+def tracked_runs(runs: DataFrame) -> DataFrame:
+    """Run rows as a tracker's records: JSON documents that hold nested values too."""
+    def document(column: str) -> Column:
+        return F.concat(F.lit('{"_step": 12, "_done": true, "_bins": {"n": [1, 2]}, "tags": ["a", "b"], "nothing": null, '),
+                        F.substring(F.to_json(column), F.lit(2), F.length(F.to_json(column))))
+    return runs.select("id", "name", F.nullif("job_type", F.lit(BASELINE_JOB)).alias("job_type"), "created_at", "state",
+                       document("summary").alias("summary"), document("config").alias("config"),
+                       F.concat(F.lit("tracker/runs/"), "id").alias("url"))

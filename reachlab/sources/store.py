@@ -42,14 +42,15 @@ def _folder(root: str, dataset: str, model: str, kind: str) -> str:
     return "/".join([root.rstrip("/"), *(quote(x, safe="") for x in (dataset, model, kind))])
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path, as Hadoop names them."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def _commits(spark: SparkSession, folder: str) -> list[str]:
     """Names of the commits, first to last."""
-    store, target = _hadoop(spark, f"{folder}/commits")
+    store, target = hadoop_path(spark, f"{folder}/commits")
     if not store.exists(target):
         return []
     return sorted(f.getPath().getName() for f in store.listStatus(target) if not f.getPath().getName().startswith((".", "_")))
@@ -62,7 +63,7 @@ def write(df: DataFrame, root: str, dataset: str, model: str, kind: str = SHAP)
     version = f"data-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{version}")
     number = int(([*_commits(spark, folder)] or ["0"])[-1].split("-")[0]) + 1
-    store, target = _hadoop(spark, f"{folder}/commits/{number:0{_DIGITS}d}-{version}")
+    store, target = hadoop_path(spark, f"{folder}/commits/{number:0{_DIGITS}d}-{version}")
     store.create(target, False).close()  # refuses to replace a commit
 
 
@@ -104,6 +105,6 @@ def vacuum(spark: SparkSession, root: str, dataset: str, model: str, kind: str =
     old = _commits(spark, folder)[:-1]
     for name in old:
         for path in (f"{folder}/commits/{name}", f"{folder}/{name.split('-', 1)[1]}"):
-            store, target = _hadoop(spark, path)
+            store, target = hadoop_path(spark, path)
             store.delete(target, True)
     return len(old)

@@ -15,7 +15,7 @@ from reachlab.operators import runs as R
 from reachlab.operators import split as S
 from reachlab.operators import tune as T
 from reachlab.operators.catalog import feature_list_names
-from reachlab.sources import fixtures
+from reachlab.sources import fixtures, run_log
 from reachlab.plans import base
 
 from .conftest import SF_SMALL
@@ -147,13 +147,14 @@ def test_run_sink_roundtrip(spark):
                                    "trial long, ap double, auc double, n long, params map<string,string>")
     runs = fixtures.runs_from_search(trials)
     path = os.path.join(tempfile.mkdtemp(prefix="reachlab-runs-", dir="/tmp"), "runs")
-    R.append_runs(runs, path)
-    R.append_runs(runs, path)
-    back = spark.read.parquet(path)
+    assert R.append_runs(runs, path, "a") and R.append_runs(runs, path, "b.c/d")
+    assert not R.append_runs(runs, path, "a")                    # a retried batch adds nothing
+    back = run_log.read(spark, path, runs.schema)
     assert back.count() == 4 and set(back.columns) >= {"id", "summary", "config", "job_type"}
     mpath = path + "_metrics"
-    R.append_run_metrics(R.run_metrics(trials), mpath)
-    steps = {(r["step"], r["metric"]): r["value"] for r in spark.read.parquet(mpath).collect()}
+    metrics = R.run_metrics(trials)
+    R.append_run_metrics(metrics, mpath, "a")
+    steps = {(r["step"], r["metric"]): r["value"] for r in run_log.read(spark, mpath, metrics.schema).collect()}
     assert steps[(1, "best_so_far")] == 0.5 and steps[(0, "trial_score")] == 0.4
 
 
