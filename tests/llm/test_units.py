@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import math
 import random
 import tempfile
 
@@ -316,3 +318,56 @@ def test_short_blocks_of_an_article_stay(before, after):
 def test_hidden_parts_of_an_article_go(attribute):
     got = html_text.main_text(f"<article>{_ARTICLE}<div {attribute}><p>Not, this. One.</p></div></article>")
     assert "Sentence one of 9," in got and "Not, this" not in got
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<p title=it's>Odd, here.</p>", ""), ("<!-->", ""), ("<!--->", ""), ("<!-- a > b --!>", ""), ("<p a='1'b=\"2\">Odd, here.</p>", ""),
+    ("<p =x y = 'z' class=\"o\"dd>Odd, here.</p>", ""), ("<p title=a/b?c='d>Odd, here.</p>", ""), ("</ bogus>", "</>"),
+    ("", '<p class="never closed>Odd, here.</p>'),
+])
+def test_odd_markup_loses_no_text(before, after):
+    got = html_text.main_text(f"<html><body><article>{before}{_ARTICLE}{after}</article></body></html>")
+    assert all(f"Sentence one of {i}," in got for i in range(10)) and "<" not in got and "bogus" not in got
+    assert ("Odd, here." in got) == ("Odd, here." in before + after)
+
+
+@pytest.mark.parametrize("name", ["legal-analysis", "alert-level-guide", "social-history", "search-for-truth"])
+def test_sections_of_an_article_stay_whatever_their_name(name):
+    got = html_text.main_text(f"<article>{_ARTICLE}<section class={name}><p>Of its own, this.</p></section>"
+                              f"<menu><li>Salt</li></menu><div class=share-buttons>Tell others.</div></article>")
+    assert "Of its own, this." in got and "Salt" in got and "Tell others" not in got
+
+
+@pytest.mark.parametrize("other", ["<article class=teaser><p>Not, this. One.</p></article>",
+                                   "<section id=discussion><article class=comment><p>Not, this. One.</p></article></section>",
+                                   "<ins class=adsbygoogle>Not, this. One.</ins>", "<div class=gdpr-bar><p>Not, this. One.</p></div>"])
+def test_teasers_and_discussions_go(other):
+    got = html_text.main_text(f"<body><article class='post comments-open'>{_ARTICLE}</article>{other}</body>")
+    assert "Sentence one of 9," in got and "Not, this" not in got
+
+
+@pytest.mark.parametrize("page", [
+    '<a "" ' * 160_000 + "'", '<a x="' * 160_000, "<div>x" * 160_000, "".join(f"<x{i}><p>t</p></x{i}>" for i in range(30_000)),
+    "<" * 1_000_000, "<!--" * 250_000, "<article class=comment>x" * 40_000, "<b>x" * 200_000, "<i><hr>" * 140_000,
+], ids=["quotes", "unclosed", "deep", "paths", "angles", "comments", "articles", "inline", "rules"])
+def test_hostile_markup_costs_by_its_length(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_smoothing_equals_all_pairs_of_paths():
+    rng = random.Random(4)
+    parents = [-1] + [rng.randrange(max(0, i - 6), i) for i in range(1, 120)]
+    sums = {p: [rng.randint(1, 9), rng.randint(0, 900), rng.randint(0, 40), False] for p in rng.sample(range(120), 60)}
+
+    def line(p):
+        return [p] + (line(parents[p]) if parents[p] >= 0 else [])
+
+    got = html_text.smoothed(sums, parents)
+    for p in sums:
+        total = [0.0, 0.0, 0.0]
+        for q, (nodes, chars, marks, _) in sums.items():
+            w = math.exp(-len(set(line(p)) ^ set(line(q))) ** 2 / (2 * html_text.SPREAD ** 2))
+            total = [a + w * b for a, b in zip(total, (chars / nodes, marks / nodes, 1), strict=True)]
+        assert got[p] == pytest.approx((total[0] / total[2], total[1] / total[2]), rel=1e-9)
