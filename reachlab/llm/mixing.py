@@ -25,6 +25,7 @@ from .common import WORD, free_name, materialise
 from .hashing import U64, mix
 
 BLOCK_WORDS = 256
+LEAST_BLOCKS = 64  # that a source and its target are cut into, if they have as many words
 SHARD_SLOTS = 4096  # block slots of an output shard
 WEIGHTS = (1, 2, 3)  # repeated over the sources by code point, null last
 MOST_EPOCHS = 3
@@ -120,7 +121,8 @@ def _slot_rows(shards: int, seed: int):
 class Mix:
     """Tables of one mix; all are written in the shared folder or cheap to derive.
 
-    ``sources``: source, place, source_size, target, n_blocks, quota (slots).
+    ``sources``: source, place, source_size, target, block_words (a block's length: at
+    most the parameter, and a 64th of the source or its target), n_blocks, quota (slots).
     ``documents``: doc_id, row (hash of the text), size, the source's columns,
     and begin, the number of the first word in the source.
     ``slots``: shard, place, slot, epoch, block: the block each slot takes.
@@ -128,17 +130,18 @@ class Mix:
 
     def __init__(self, documents: DataFrame, block_words: int = BLOCK_WORDS,
                  shard_slots: int = SHARD_SLOTS, seed: int = SEED):
-        self.block_words = block_words
         sized = materialise(documents.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes")
-        n_blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
+        length = F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(
+            F.least(F.col("source_size"), F.col("target")) / F.lit(LEAST_BLOCKS)))).cast("long")
+        n_blocks = F.ceil(F.col("source_size") / F.col("block_words")).cast("long")
         # as many blocks as make the target at the source's mean block length
         quota = F.when(F.col("source_size") == 0, 0).otherwise(F.least(
-            F.round(F.col("target") * n_blocks / F.col("source_size")), n_blocks * MOST_EPOCHS))
-        self.sources = materialise(targets(sized).select(
-            "*", n_blocks.alias("n_blocks"), quota.cast("long").alias("quota")), "quotas")
+            F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")), F.col("n_blocks") * MOST_EPOCHS))
+        self.sources = materialise(targets(sized).withColumn("block_words", length).withColumn("n_blocks", n_blocks)
+                                   .withColumn("quota", quota.cast("long")), "quotas")
         self.documents = self._placed(sized)
         self.slots = self._slots(shard_slots, seed)
 
@@ -175,7 +178,7 @@ class Mix:
 
     def _parts(self) -> DataFrame:
         """The part of each document in each block of its source: from_word, words."""
-        b = F.lit(self.block_words)
+        b = F.col("block_words")
         parts = self.documents.where("size > 0").withColumn("in_block", F.explode(F.sequence(
             F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))))
         low = F.greatest(F.col("begin"), F.col("in_block") * b)
@@ -183,16 +186,28 @@ class Mix:
         return parts.withColumn("from_word", low - F.col("begin")).withColumn("words", high - low)
 
     def taken(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken): the words the mix takes of each document."""
+        """(doc_id, size, source_size, target, taken, first_shard): the words the mix takes of each
+        document, and the least output shard that they go to (null: none)."""
         drawn = self.slots.groupBy(F.col("place").alias("p"), F.col("block").alias("b")).agg(
-            F.count(F.lit(1)).alias("times"))
+            F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
         parts = self._parts().join(drawn, (F.col("place") == F.col("p")) & (F.col("in_block") == F.col("b")), "left")
         some = parts.groupBy("doc_id", "row", "place", "begin", "size", "source_size", "target").agg(
-            F.sum(F.coalesce(F.col("times") * F.col("words"), F.lit(0))).cast("long").alias("taken"))
-        none = self.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-        columns = ["doc_id", "size", "source_size", "target", "taken"]
+            F.sum(F.coalesce(F.col("times") * F.col("words"), F.lit(0))).cast("long").alias("taken"),
+            F.min("shard").alias("first_shard"))
+        none = self.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long")) \
+            .withColumn("first_shard", F.lit(None).cast("long"))
+        columns = ["doc_id", "size", "source_size", "target", "taken", "first_shard"]
         return some.select(*columns).union(none.select(*columns))
 
+    def shards(self) -> DataFrame:
+        """(shard, source, slot, doc_id, row, from_word, words): what each output shard holds.
+
+        A shard is its slots in order, each the words of a block, which may be of several documents.
+        """
+        slots = self.slots.select("shard", F.col("place").alias("p"), "slot", F.col("block").alias("b"))
+        return self._parts().join(slots, (F.col("place") == F.col("p")) & (F.col("in_block") == F.col("b"))) \
+            .select("shard", "source", "slot", "doc_id", "row", "from_word", "words")
+
     def pieces(self) -> DataFrame:
         """(doc_id, row, source, ranges): the word ranges taken, as (epoch, from_word, words)."""
         drawn = self.slots.select(F.col("place").alias("p"), F.col("block").alias("b"), "epoch")

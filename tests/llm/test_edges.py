@@ -273,3 +273,32 @@ def test_strings_of_added_tokens(spark):
     assert files == {i: crc("byte_bpe_50k.json", t, 2) for i, t in SPECIAL}
     packed = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in H.rows(packing.pack(docs))}
     assert packed == {i: crc("word_bpe_49k.json", t, 0) for i, t in SPECIAL}
+
+
+@pytest.mark.parametrize("shape", [(7, 40, 5), (5, 3, 400), (4, 300, 60)])
+def test_every_source_comes_near_its_target(spark, shape):
+    sources, count, words = shape
+    docs = H.documents(spark, [(s * 1000 + i, " ".join(f"w{s}_{i}_{j}" for j in range(words + i % 3)), "en", f"s{s}")
+                               for s in range(sources) for i in range(count)])
+    mix = mixing.mix_sources(docs, shard_slots=16)
+    rows = H.rows(mix.taken())
+    taken: dict = {}
+    for r in rows:
+        key = (r["source_size"], r["target"], r["doc_id"] // 1000)
+        taken[key] = taken.get(key, 0) + r["taken"]
+        assert r["taken"] <= 3 * r["size"] and (r["first_shard"] is None) == (r["taken"] == 0)
+    assert len(taken) == sources
+    for (_, target, _), n in taken.items():
+        assert abs(n - target) <= max(1, 0.02 * target)
+    # the shards hold what is taken, and their block counts of a source are draws, not one number
+    shards = H.rows(mix.shards())
+    held: dict = {}
+    for r in shards:
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + r["words"]
+    assert held == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+    counts: dict = {}
+    for r in H.rows(mix.slots):
+        counts[r["place"], r["shard"]] = counts.get((r["place"], r["shard"]), 0) + 1
+    assert len({n for (place, _), n in counts.items() if place == 0}) > 1
+    first = {r["doc_id"]: min(x["shard"] for x in shards if x["doc_id"] == r["doc_id"]) for r in rows[:20] if r["taken"]}
+    assert first == {r["doc_id"]: r["first_shard"] for r in rows[:20] if r["taken"]}
