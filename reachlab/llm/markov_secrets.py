@@ -21,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 # Parameters: at most so many documents train the identifiers' model.
 TRAINING_DOCUMENTS = 2000
 RANDOM_STRINGS = 3000  # per alphabet
 THRESHOLD = 0.8  # nats per character
 LEAST_LENGTH = 16
 STRONG = 20.0  # nats of a stretch, whatever its length
+UNKNOWN = 0.06  # share of symbols in an identifier that follow no known pair
+WHOLE = 0.35  # nats per character against identifiers, also of the part to which a stretch belongs
 NUMBER = 8  # so many digits in a row are a number, and no part of a stretch
 SEED = 9
 
@@ -44,6 +48,8 @@ _SEPARATORS = np.flatnonzero([not c.isalnum() for c in _SYMBOLS])
 _PART = re.compile(r"[A-Za-z0-9]+")
 _NUMBER = re.compile(rf"[0-9]{{{NUMBER},}}")
 _WORD = re.compile(r"[A-Za-z0-9+/_-]{2,}")
+_LETTERS = re.compile(r"[A-Za-z]{2,}")
+_SMALL = re.compile(r"[a-z+/_-]+")
 _CODE = np.full(128, -1, dtype=np.int64)
 _CODE[np.frombuffer(_SYMBOLS.encode(), np.uint8)] = np.arange(_N)
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", _SYMBOLS[:62], _SYMBOLS)
@@ -84,11 +90,43 @@ def random_models(seed: int = SEED) -> np.ndarray:
     return np.stack(models)
 
 
-def log_ratio(run: str, random: np.ndarray, ordinary: np.ndarray) -> float:
-    """Log likelihood ratio per character of the best random model to the ordinary one."""
+def _ratio(run: str, random: np.ndarray, ordinary: np.ndarray) -> float:
+    """Log likelihood ratio per character of the best of the random models to the best ordinary one."""
     codes = _CODE[np.frombuffer(run.encode(), np.uint8)]
     before = np.concatenate([[_N], codes[:-1]])
-    return float((random[:, before, codes].sum(axis=1).max() - ordinary[before, codes].sum()) / len(codes))
+    return float((random[:, before, codes].sum(axis=1).max() - ordinary[:, before, codes].sum(axis=1).max()) / len(codes))
+
+
+def log_ratio(run: str, random: np.ndarray, ordinary: np.ndarray) -> float:
+    """Log likelihood ratio per character of the best random model to words as they stand."""
+    return _ratio(run, random, ordinary[:1])
+
+
+def unlike_names(run: str, random: np.ndarray, ordinary: np.ndarray) -> bool:
+    """Whether a run is unlike identifiers made of words; small letters alone make words, no such names."""
+    return _SMALL.fullmatch(run) is not None or _ratio(run, random, ordinary[1:]) > WHOLE
+
+
+def looks_random(run: str, random: np.ndarray, ordinary: np.ndarray) -> bool:
+    """Whether a run is unlike words as they stand, and unlike identifiers made of words."""
+    return log_ratio(run, random, ordinary) > THRESHOLD and unlike_names(run, random, ordinary)
+
+
+def identifiers(words: list[str]) -> tuple[list[str], list[str]]:
+    """Identifiers of one to four consecutive words: mixed case, and upper case; some end in a number."""
+    mixed, upper = [], []
+    at = 0
+    while at < len(words):
+        n = 1 + at % 4
+        parts = [w.lower() for w in words[at: at + n]]
+        named = [w.capitalize() for w in parts]
+        if at % 3 == 0:
+            named[at % len(named)] = parts[at % len(parts)][:4].upper()  # an abbreviation
+        number = str(at % 100) if at % 5 == 0 else ""
+        mixed += [parts[0] + "".join(named[1:]) + number, "".join(named) + number]
+        upper += [w.upper() for w in parts] + [parts[-1].upper() + number]
+        at += n
+    return mixed, upper
 
 
 def _codes(run: str) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +152,7 @@ def _stretches(run: str, random: np.ndarray, ordinary: np.ndarray) -> Iterator[t
     taken = [(m.start(), m.end(), False) for m in _NUMBER.finditer(run)]
     for m in _PART.finditer(run):
         if m.end() - m.start() >= LEAST_LENGTH and not m.group().isdigit() \
-                and log_ratio(m.group(), random, ordinary) > THRESHOLD:
+                and looks_random(m.group(), random, ordinary):
             taken = [t for t in taken if not m.start() <= t[0] < m.end()] + [(*m.span(), True)]
     for a, b, secret in sorted(taken):
         free.append((at, a))
@@ -123,9 +161,10 @@ def _stretches(run: str, random: np.ndarray, ordinary: np.ndarray) -> Iterator[t
             yield a, b
     free.append((at, len(run)))
     codes, before = _codes(run)
-    gains = random[:, before, codes] - ordinary[before, codes]
+    gains = random[:, before, codes] - ordinary[0, before, codes]
     of = np.isin(codes, _SEPARATORS)
     gains[:, of] = np.minimum(gains[:, of], 0.0)  # separators speak for neither
+    parts = [(m.start(), m.end()) for m in _PART.finditer(run)]
     while free:
         low, high = free.pop()
         if low >= high:
@@ -136,7 +175,9 @@ def _stretches(run: str, random: np.ndarray, ordinary: np.ndarray) -> Iterator[t
         if a >= b:
             continue
         if gains[:, a:b].sum(axis=1).max() >= STRONG and any(c.isalpha() for c in run[a:b]):
-            yield a, b
+            if unlike_names(run[a:b], random, ordinary) and any(
+                    x < b and a < y and unlike_names(run[x:y], random, ordinary) for x, y in parts):
+                yield a, b
         elif b - a == high - low:
             continue
         free += [(low, a), (b, high)]
@@ -144,7 +185,7 @@ def _stretches(run: str, random: np.ndarray, ordinary: np.ndarray) -> Iterator[t
 
 def _worth(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """The most that a pair of symbols can add to a run's or a stretch's ratio, at least 0."""
-    most = np.maximum((random - ordinary).max(axis=0), 0.0)
+    most = np.maximum((random - ordinary[0]).max(axis=0), 0.0)
     most[_SEPARATORS] = np.maximum(most[_SEPARATORS], most[_N])
     return most
 
@@ -181,7 +222,7 @@ def random_runs(text: str, random: np.ndarray, ordinary: np.ndarray,
         more = 0
         while more < 2 and text[high + more: high + more + 1] == "=":
             more += 1
-        if len(run) >= LEAST_LENGTH and log_ratio(run, random, ordinary) > THRESHOLD:
+        if len(run) >= LEAST_LENGTH and looks_random(run, random, ordinary):
             found.append((low, high + more))
         else:
             found += [(low + a, low + b + (more if b == len(run) else 0))
@@ -190,28 +231,33 @@ def random_runs(text: str, random: np.ndarray, ordinary: np.ndarray,
 
 
 def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = np.zeros((_N + 1, _N), dtype=np.int64)
+    for batch in small_batches(batches):
+        counts = np.zeros((3, _N + 1, _N), dtype=np.int64)
         for text in batch.column(0).to_pylist():
             marked = base_spans(text)
-            words = [m for m in _WORD.finditer(text)]
             # words inside a base match carry the other label
-            counts += bigrams([m.group() for m in words
-                               if not any(a <= m.start() < b or a < m.end() <= b for a, _, b in marked)])
+            words = [m.group() for m in _WORD.finditer(text)
+                     if not any(a <= m.start() < b or a < m.end() <= b for a, _, b in marked)]
+            mixed, upper = identifiers([w for w in words if _LETTERS.fullmatch(w)])
+            for i, some in enumerate((words, mixed, upper)):
+                counts[i] += bigrams(some)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
 
 
 def ordinary_model(documents: DataFrame, limit: int = TRAINING_DOCUMENTS) -> np.ndarray:
-    """Transitions of ordinary words, from the ``limit`` documents with the least hash of their id."""
+    """Transitions of ordinary words, of mixed-case and of upper-case identifiers made of them,
+    from the ``limit`` documents with the least hash of their id."""
     some = documents.where("doc_id is not null and text is not null").select("doc_id").distinct() \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("d"))
     sample = documents.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("d")).select("text")
-    counts = np.zeros((_N + 1) * _N, dtype=np.int64)
-    # at most one row per pair of symbols
+    counts = np.zeros(3 * (_N + 1) * _N, dtype=np.int64)
+    # at most one row per model and pair of symbols
     for r in sample.mapInArrow(_training_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[r["at"]] = r["n"]
-    return _log(counts.reshape(_N + 1, _N))
+    words, *named = counts.reshape(3, _N + 1, _N)
+    # names hold words and abbreviations that the sample does not
+    return np.stack([_log(words), *(np.log((1 - UNKNOWN) * np.exp(_log(c)) + UNKNOWN / _N) for c in named)])
 
 
 _RESULT = T.StructType([
@@ -225,7 +271,7 @@ def _find(random: np.ndarray, ordinary: np.ndarray):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = (*KINDS, "markov")
         worth = _worth(random, ordinary)
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""

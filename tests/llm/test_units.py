@@ -371,3 +371,39 @@ def test_smoothing_equals_all_pairs_of_paths():
             w = math.exp(-len(set(line(p)) ^ set(line(q))) ** 2 / (2 * html_text.SPREAD ** 2))
             total = [a + w * b for a, b in zip(total, (chars / nodes, marks / nodes, 1), strict=True)]
         assert got[p] == pytest.approx((total[0] / total[2], total[1] / total[2]), rel=1e-9)
+
+
+def test_identifiers_are_no_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ordinary, drawn = markov_secrets.ordinary_model(docs), markov_secrets.random_models()
+    for name in ("NullPointerException", "getElementsByClassName", "XMLHttpRequest", "ThisIsAnOrdinaryIdentifierName",
+                 "kubectl-v1-28-linux-amd64", "HttpServletRequestWrapper", "handleMouseEnterEvent", "parseJSONResponse",
+                 "AbstractSingletonProxyFactoryBean", "org/apache/spark/SQLContext", "PostgreSQL", "getUserById", "CLOWN"):
+        assert markov_secrets.random_runs(f"see {name} for it", drawn, ordinary) == []
+    rng = random.Random(8)
+    base62 = markov_secrets._SYMBOLS[:62]
+    hits = [bool(markov_secrets.random_runs("".join(rng.choice(base62) for _ in range(12)), drawn, ordinary)) for _ in range(400)]
+    assert np.mean(hits) > 0.93
+
+
+def test_secret_spans_against_a_direct_scorer(spark):
+    """Whole runs: log ratios added up symbol by symbol from the models' probabilities."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ordinary, drawn = markov_secrets.ordinary_model(docs), markov_secrets.random_models()
+    symbols = markov_secrets._SYMBOLS
+    rng = random.Random(9)
+
+    def likelihood(model, run):
+        at, total = len(symbols), 0.0
+        for c in run:
+            total += model[at, symbols.index(c)]
+            at = symbols.index(c)
+        return total
+
+    for _ in range(100):
+        run = "a" + "".join(rng.choice(symbols[: rng.choice([36, 62, 66])]) for _ in range(rng.randint(15, 40)))
+        best = max(likelihood(m, run) for m in drawn)
+        want = (best - likelihood(ordinary[0], run)) / len(run) > markov_secrets.THRESHOLD and (
+            (best - max(likelihood(m, run) for m in ordinary[1:])) / len(run) > markov_secrets.WHOLE)
+        assert ((0, len(run)) in markov_secrets.random_runs(run, drawn, ordinary)) >= want
+        assert markov_secrets.looks_random(run, drawn, ordinary) == want
