@@ -31,8 +31,7 @@ SHARD_PIECES = 8192
 ISLANDS = 2
 EPOCHS = 2  # migrations between them: one less
 POPULATION = 4
-GENERATIONS = (4, 64)  # per epoch: at least, and at most, in small shards,
-GENERATION_PIECES = 50_000  # with about so many pieces looked at
+GENERATIONS = 64  # per epoch, in shards of every size; fewer once no packing can be better
 WELL_FILLED = 0.98
 SEED = 1
 
@@ -165,7 +164,7 @@ def evolve(sizes: np.ndarray, capacity: int, rng: np.random.Generator, elite: np
         population.append(bins)
     least = -(-int(sizes.sum()) // capacity)
     score = [fitness(sizes, x, capacity) for x in population]
-    for _ in range(min(GENERATIONS[1], max(GENERATIONS[0], GENERATION_PIECES // max(1, len(sizes))))):
+    for _ in range(GENERATIONS):
         if -max(score)[0] <= least:
             break  # no packing has fewer
         ranked = sorted(range(len(population)), key=lambda i: score[i], reverse=True)
