@@ -10,8 +10,9 @@ How buckets are searched without pairing everything in them: exact copies fold
 into one representative first. In each bucket the documents are compared with
 one hub; what joins a hub's component needs no further comparison inside it.
 Only documents of one bucket that are still in different components are then
-compared with each other, block by block; a large bucket of mostly unlike
-documents is cut by further bands first. No pair of a bucket is left out.
+compared with each other, block by block. The documents of large buckets of
+mostly unlike texts meet by their rarest shingles instead, which similar texts
+cannot but share. No similar pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +134,41 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  *map(pa.array, sums), bands], names=_FEATURES.names)
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (row, doc_id, n, shingle) per distinct shingle of a text with n of them."""
+    for batch in small_batches(batches):
+        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+        for part in slices(texts):
+            sets = shingle_sets(texts[part], SHINGLE_WORDS)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            row, doc = (batch.column(i).slice(part.start, len(sets)).to_numpy() for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(row, sizes)), pa.array(np.repeat(doc, sizes)), pa.array(np.repeat(sizes, sizes)),
+                 pa.array(np.concatenate(sets).view(np.int64))], names=["row", "doc_id", "n", "shingle"])
+
+
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """(doc_id, key): the rarest shingles of each text (doc_id, text) that other texts hold too.
+
+    Shingles are ordered by the number of texts that hold them. Similar texts
+    share at least SIMILARITY per cent of the larger set, so the first
+    n - ceil(SIMILARITY * n / 100) + 1 of n shingles of one hold one of the other's.
+    A shingle of one text only takes its place in that order but gives no row.
+    """
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text") \
+        .mapInArrow(_shingle_rows, "row long, doc_id long, n long, shingle long")
+    rows = materialise(rows, "shingles")
+    held = rows.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    met = rows.join(held, F.col("shingle") == F.col("s")).select("row", "doc_id", "n", "shingle", "texts")
+    own = W.partitionBy("row")
+    first = F.col("n") - F.floor((SIMILARITY * F.col("n") + 99) / 100) + 1
+    rank = F.row_number().over(own.orderBy("texts", "shingle")) + F.col("n") - F.count(F.lit(1)).over(own)
+    found = materialise(met.withColumn("rank", rank).where(F.col("rank") <= first)
+                        .select("doc_id", F.col("shingle").alias("key")).distinct(), "rare")
+    discard(rows)
+    return found
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         left = [(t or "").encode() for t in batch.column(2).to_pylist()]
@@ -309,10 +346,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             groups = components(_all(links))
         if not cut or large.isEmpty():
             break
-        # A similar pair meets again in the bucket's key with another band (it
-        # shares about ten of the 32); texts that share only a passage part.
-        rows = large.join(bands, "doc_id").select("doc_id", "key", F.explode("bands").alias("band")) \
-            .select("doc_id", F.xxhash64("key", "band").alias("key")).distinct()
+        # similar texts meet again in a rare shingle; texts that share only a passage part
+        rows = rare_shingles(texts.join(large.select(F.col("doc_id").alias("d")).distinct(),
+                                        F.col("doc_id") == F.col("d"), "left_semi"))
 
     # a copy hangs on its representative, whose component is final
     copied = copies.join(groups, F.col("b") == F.col("node"), "left").select(
@@ -325,7 +361,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each_group(documents: DataFrame) -> DataFrame:
-    """Documents without those that ``near_duplicates`` does not keep; same columns."""
+    """Documents without those that ``near_duplicates`` does not keep; same columns.
+
+    Rows that repeat the doc_id and the text of a kept row go too (which of them
+    stays is not defined). Rows without a doc_id all stay.
+    """
     name = free_name(documents, "gone")
     gone = near_duplicates(documents).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(gone, documents["doc_id"] == gone[name], "left_anti")
+    kept = documents.join(gone, documents["doc_id"] == gone[name], "left_anti")
+    again = materialise(rows_of(documents, ["doc_id"]).where("doc_id is not null")
+                        .groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "again")
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"] == again[name]
+    return kept.join(again, same, "left_anti").union(
+        kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -68,7 +68,9 @@ def test_near_duplicates(spark, docs, empty):
                    (5, 1, 4, False), (7, n, 7, True), (7, n, 7, True), (8, 1, 8, True), (9, 1, 8, False),
                    (10, 1, 10, True)]
     kept = minhash.keep_one_of_each_group(docs)
-    assert kept.columns == docs.columns and kept.count() == 9
+    # the second row of doc_id 7, equal to the first, goes as well
+    assert kept.columns == docs.columns and kept.count() == 8
+    assert [r["doc_id"] for r in H.rows(kept)].count(7) == 1
     assert minhash.near_duplicates(empty).count() == 0
 
 
@@ -79,6 +81,14 @@ def test_a_repeated_id_ties_groups(spark):
     assert got == {1: 1, 2: 1, 5: 1, 6: 1}
 
 
+def test_repeats_of_a_kept_row_go(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, a), (2, b), (3, a), (4, None), (4, None), (5, ""), (5, ""), (None, a), (None, a), (6, "x"), (6, "y")]
+    kept = H.rows(minhash.keep_one_of_each_group(H.documents(spark, rows)))
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept)) == [
+        (0, a), (0, a), (1, a), (2, b), (4, ""), (5, ""), (6, "x"), (6, "y")]
+
+
 @pytest.mark.parametrize("times", [2, 4])
 def test_near_texts_on_repeated_rows(spark, times):
     """Chains of near texts, in which the first compared is too far from the last."""

@@ -95,6 +95,29 @@ def test_large_buckets_are_searched_whole(spark, monkeypatch):
     assert got == {k: c for k, (_, c) in H.near_groups(dict(docs)).items()}
 
 
+def test_rare_shingles_part_texts_that_share_a_passage(spark):
+    """400 texts with one passage: the largest group shrinks, similar pairs still meet, short texts too."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(i, " ".join(passage + [f"q{i}_{k}" for k in range(rng.randint(30, 90))])) for i in range(360)]
+    for i in range(40):  # near copies of the first ones, from equal to just below the limit
+        w = docs[i][1].split()
+        for k in rng.sample(range(len(w)), i % 6):
+            w[k] = f"e{i}_{k}"
+        docs.append((1000 + i, " ".join(w)))
+    docs += [(2000, "one two"), (2001, "one two"), (2002, ""), (2003, None)]
+    keys = H.rows(minhash.rare_shingles(H.documents(spark, docs).select("doc_id", "text")))
+    held = {}
+    for r in keys:
+        held.setdefault(r["key"], set()).add(r["doc_id"])
+    assert max(map(len, held.values())) < 40
+    sets = {i: H.shingle_set(t) for i, t in docs}
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+            and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(near) > 20 and (2000, 2001) in near
+    assert all(any({a, b} <= m for m in held.values()) for a, b in near)
+
+
 @given(st.integers(1, 5000), st.integers(0, 2**63))
 @settings(max_examples=60, deadline=None)
 def test_block_permutation_is_one(n, key):
@@ -121,6 +144,21 @@ def test_crossover_keeps_every_document_once():
         assert set(child) == set(range(child.max() + 1))
 
 
+def test_every_shard_size_gets_the_same_generations(monkeypatch):
+    """Children that beat what they replace are found in small and in full shards."""
+    for n in (300, packing.SHARD_PIECES):
+        made = []
+        real = packing.crossover
+        monkeypatch.setattr(packing, "crossover", lambda *a, real=real, made=made: made.append(real(*a)) or made[-1])
+        sizes = np.random.default_rng(n).integers(500, 900, n)
+        best = packing.evolve(sizes, 2048, np.random.default_rng(1))
+        bins = np.full(n, -1)
+        plain = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), bins, 0, 2048)
+        assert len(made) == packing.GENERATIONS
+        assert sum(x.max() + 1 < plain for x in made) > 0 and best.max() + 1 < plain
+        monkeypatch.setattr(packing, "crossover", real)
+
+
 def test_evolution_is_no_worse_than_best_fit_decreasing():
     rng = np.random.default_rng(6)
     better = 0
