@@ -113,3 +113,13 @@ def test_rank_within_equals_row_number(spark):
     expect = df.withColumn("rn", F.row_number().over(w)).orderBy("id").toPandas()["rn"]
     got = rank_within(df, ["g"], "k", "id", rows_per_task=100).orderBy("id").toPandas()["row_rank"]
     assert (expect.to_numpy() == got.to_numpy()).all()
+
+
+def test_no_buffer_holds_every_income(spark, monkeypatch):
+    from reachlab.functions import quantiles
+
+    def whole(*_):
+        raise AssertionError("every distinct value in one buffer")
+    monkeypatch.setattr(quantiles.F, "percentile", whole)
+    df = spark.range(500_001).select(F.col("id").cast("double").alias("x"))
+    assert quantiles.exact_quantiles(df, ["x"], [0.5, 0.99]) == {"x": [250_000.0, 495_000.0]}
