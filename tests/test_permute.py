@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reachlab.functions.permute import bottom_k, permuted, sides
+from reachlab.functions.permute import bottom_k, permuted, permuted_places, round_tables, sides
 from reachlab.operators import explain as X
 
 
@@ -75,3 +75,27 @@ def test_importance_equals_a_loop_over_the_permutations(spark):
             drops.append(auc(score(**values)) - auc(score(now["u"], now["v"])))
         assert got[f]["importance_mean"] == pytest.approx(np.mean(drops), abs=1e-6)
         assert got[f]["importance_std"] == pytest.approx(np.std(drops), abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 101, 1499])
+def test_looked_up_places_are_those_of_the_expression(spark, n):
+    for f, rep in (("a", 0), ("b", 3)):
+        want = [r["at"] for r in spark.range(n).select("id", permuted(F.col("id"), n, 42, F.lit(f), F.lit(rep)).alias("at"))
+                .orderBy("id").collect()]
+        tables = round_tables(n, 42, f, rep)
+        assert permuted_places(np.arange(n), n, tables).tolist() == want
+        assert sum(len(t) for t in (*tables[0], tables[1])) <= 5 * sum(sides(n))  # not one hash per row
+
+
+def test_looked_up_walks_end_for_every_size():
+    for n in range(1, 120):  # some rectangles have cells outside that only lead to each other
+        places = permuted_places(np.arange(n), n, round_tables(n, 42, "a", n % 5))
+        assert sorted(places.tolist()) == list(range(n))
+
+
+def test_missing_values_move_as_missing(spark):
+    rows = spark.createDataFrame([(i, i + 1, None if i % 3 else float(i)) for i in range(30)], "id long, __i long, x double")
+    moved = X._moved_values(rows, ["x"], 2, 30, 42).collect()
+    assert X._moved_values(rows.limit(0), ["x"], 2, 0, 42).count() == 0
+    assert len(moved) == 60 and {r["__to"] for r in moved if r["rep"] == 1} == set(range(1, 31))
+    assert sorted(r["__v"] for r in moved if r["__v"] is not None) == sorted([float(i) for i in range(0, 30, 3)] * 2)
