@@ -16,6 +16,7 @@ from reachlab.functions.ordered import rank_within, running_totals
 from reachlab.operators import evaluate as E
 from reachlab.operators import profile
 from reachlab.operators import split as S
+from reachlab.plans import base
 from reachlab.sources.tables import TABLES
 from scripts.oracle_check import _rows
 
@@ -83,3 +84,30 @@ def test_splits_keep_rows_without_label(holes):
     sides = {(r["label"], r["split"]): r["count"] for r in out.groupBy("label", "split").count().collect()}
     assert sides[(None, "test")] == 15 and sides[(None, "train")] == 60
     assert S.cv_folds(df).count() == 300 and S.with_class_weight(df).count() == 300
+
+
+def test_a_value_shared_by_many_rows_is_counted_not_ranked(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 60)
+    data = [(m, 0.5 if i % 2 else ((i * 37) % 101) / 7.0 - m, (i * i + m) % 3 == 0) for m in range(3) for i in range(400)]
+    data += [(0, None, True), (0, None, False), (1, float("nan"), True), (1, float("-inf"), False), (1, float("inf"), True)]
+    rows = spark.createDataFrame([(m, p, int(y)) for m, p, y in data], "model int, p double, label int")
+    got = {r["model"]: (r["roc_auc"], r["average_precision"]) for r in E.ranking_metrics(rows).collect()}
+    place = lambda p: (-1, 0.0) if p is None else (1, 0.0) if p != p else (0, p)
+    for m in range(3):
+        scored = [(place(p), y) for g, p, y in data if g == m]
+        pos, neg = [p for p, y in scored if y], [p for p, y in scored if not y]
+        auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+        ap = sum(sum(b >= a for b in pos) / sum(b >= a for b, _ in scored) for a in pos) / len(pos)
+        assert got[m] == pytest.approx((auc, ap), abs=1e-12)
+    ranked = E._ranked_by_range(rows.select("model", "p", F.col("label").cast("long").alias("pos"),
+                                            (1 - F.col("label")).cast("long").alias("neg")), ["model"], len(data))
+    assert ranked.where(F.col("pos") + F.col("neg") >= 200).count() == 3
+
+
+def test_customers_of_one_partition_are_spread_before_their_trials(spark):
+    from reachlab.sources import fixtures
+
+    raw = base.raw(spark, SF_SMALL).coalesce(1)
+    scored = fixtures.rule_scores(raw, fixtures.rule_trials(3))
+    assert scored.count() == 3 * raw.count()
+    assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
