@@ -32,6 +32,26 @@ def test_knn_matches_brute_force(points, monkeypatch):
             assert mine["nbr"].tolist() == [j for j in range(250, 290) if j != i][:5]
 
 
+def test_most_cells_are_left_out(spark, monkeypatch):
+    """Rows of many yes/no components: a row meets few of the cells, and the neighbours are the exact ones."""
+    rng = np.random.default_rng(5)
+    x = np.hstack([4.0 * rng.integers(0, 2, (900, 5)), rng.normal(0, 1, (900, 5))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    met, meet = [], RS._meet
+
+    def counted(probes, members, k):
+        met.append(probes.count())
+        return meet(probes, members, k)
+
+    monkeypatch.setattr(RS, "ROWS_PER_CELL", 30)
+    monkeypatch.setattr(RS, "_meet", counted)
+    got = RS.exact_knn(df, k=3).toPandas()
+    assert sum(met) < 0.35 * len(x) * len(x) / 30
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(got.sort_values(["id", "rank"])["dist"].to_numpy().reshape(-1, 3), np.sort(d, axis=1)[:, :3], atol=1e-9)
+
+
 def test_smote_balances_and_interpolates(spark):
     rng = np.random.default_rng(2)
     n0, n1 = 120, 30
