@@ -123,3 +123,21 @@ def test_no_buffer_holds_every_income(spark, monkeypatch):
     monkeypatch.setattr(quantiles.F, "percentile", whole)
     df = spark.range(500_001).select(F.col("id").cast("double").alias("x"))
     assert quantiles.exact_quantiles(df, ["x"], [0.5, 0.99]) == {"x": [250_000.0, 495_000.0]}
+
+
+def test_exact_quantiles_of_many_columns_are_not_one_expression_each(spark, monkeypatch):
+    """The plan that finds the digits does not grow by a key expression per column, which was too long to compile."""
+    from reachlab.functions import quantiles
+    plans, read = [], quantiles._read
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return read(rows)
+
+    monkeypatch.setattr(quantiles, "_read", seen)
+    values = [None, -2.5, -0.0, 0.0, 1e-310, 7.0, float("inf"), float("nan"), float("-inf"), 3.25, 3.25]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(
+        *[(F.col("x") * (1.0 + i)).alias(f"c{i}") for i in range(26)])
+    got = exact_quantiles(df, df.columns, [0.0, 0.5, 2 / 3], small_total=0)
+    assert got["c0"] == [float("-inf"), 1.625, 3.25] and got["c25"] == [float("-inf"), 42.25, 84.5]
+    assert plans and not any("LOG2(" in p.upper() for p in plans)
