@@ -68,3 +68,13 @@ def test_a_fit_does_not_run_a_job_per_step(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     rows.unpersist()
     assert jobs < 60 and time.time() - start < 30
+
+
+def test_models_of_a_query_are_fitted_side_by_side(spark, monkeypatch):
+    from reachlab.plans import base
+
+    monkeypatch.setattr(base, "split", lambda *a: None)
+    monkeypatch.setattr(base, "fitted", lambda s, d, n, profile: time.sleep(0.5) or (n, profile))
+    start = time.time()
+    assert base.fitted_all(spark, "x", ["a", "b", "c", "d"], "explain") == {n: (n, "explain") for n in "abcd"}
+    assert time.time() - start < 1.5
